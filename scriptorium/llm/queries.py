@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.exact_dedup import exact_dedup
+from scriptorium.llm.jaccard_join import near_duplicates
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.packing import pack
 from scriptorium.llm.warc import round_trip
@@ -59,12 +60,18 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_warc": op2_warc,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
