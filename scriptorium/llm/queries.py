@@ -10,6 +10,7 @@ from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import near_duplicates
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.packing import pack
+from scriptorium.llm.substring_dedup import remove_repeats
 from scriptorium.llm.warc import round_trip
 from scriptorium.session import load, ship
 
@@ -44,6 +45,12 @@ FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    kept = remove_repeats(load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -69,6 +76,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_warc": op2_warc,
+        "op5_substring_dedup": op5_substring_dedup,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard_join": op10_jaccard_join,
