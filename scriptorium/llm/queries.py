@@ -11,6 +11,7 @@ from scriptorium.llm.jaccard_join import near_duplicates
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.packing import pack
 from scriptorium.llm.substring_dedup import remove_repeats
+from scriptorium.llm.url_filter import RULES, judge_urls
 from scriptorium.llm.warc import round_trip
 from scriptorium.session import load, ship
 
@@ -45,6 +46,26 @@ FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
 """
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    judged = judge_urls(load(spark, sf_dir, "pages"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: The driver tables hold no canonical links or refreshes; aliases are tested against brute force.
+OP4_SQL = """
+WITH rules(action, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
+                                    ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+cut AS (SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+judged AS (SELECT page_id, host, path,
+    (SELECT arg_max({'rule': h || p, 'action': action}, length(h || p)) FROM rules
+     WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best FROM cut)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict FROM judged
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     kept = remove_repeats(load(spark, sf_dir, "documents"))
@@ -76,6 +97,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_warc": op2_warc,
+        "op4_url_filter": op4_url_filter,
         "op5_substring_dedup": op5_substring_dedup,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
@@ -84,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_warc": OP2_SQL, "op4_url_filter": OP4_SQL, "op9_exact_dedup": OP9_SQL}
