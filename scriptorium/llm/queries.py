@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import near_duplicates
+from scriptorium.llm.language_id import held_out, identify
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.packing import pack
 from scriptorium.llm.substring_dedup import remove_repeats
@@ -72,6 +73,13 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = load(spark, sf_dir, "documents")
+    found = identify(docs, docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -99,6 +107,7 @@ def queries() -> dict:
         "op2_warc": op2_warc,
         "op4_url_filter": op4_url_filter,
         "op5_substring_dedup": op5_substring_dedup,
+        "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard_join": op10_jaccard_join,
