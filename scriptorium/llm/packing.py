@@ -9,6 +9,7 @@ cutting up the smallest windows, and the last rest is cut at powers of two, whic
 
 from __future__ import annotations
 
+import functools
 import heapq
 import os
 from collections.abc import Iterator
@@ -23,8 +24,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Pieces partitioned at once; the state is one row of window sums for each.
 BATCH_PIECES = 1024
-#: Words whose ids a worker remembers; beyond that it starts anew.
-MEMORY_WORDS = 300_000
+#: Words whose ids a worker remembers; beyond that it keeps those of its last batch.
+MEMORY_WORDS = 800_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
@@ -44,19 +45,63 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        self.folds = ids("AbZ") == ids("abz")
+        # Where the model marks the ends of words, many words can be encoded as one text and told apart again.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+
+    def _each(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        made = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return ((w, np.asarray(x.ids, "<u4").tobytes()) for w, x in zip(words, made))
+
+    def _letters(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Words of letters alone, each of which is one word to the pre-tokenizer."""
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = np.asarray(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) != len(part) or ends[-1] != 4 * len(ids):  # letters that this pre-tokenizer parts
+                yield from self._each(part)
+                continue
+            raw = ids.tobytes()
+            yield from zip(part, (raw[a:b] for a, b in zip([0, *ends], ends)))
+
+    def _learn(self, new: set[bytes]) -> None:
+        if self.ends is None:
+            self.known.update(self._each(list(new)))
+            return
+        # A word of letters with points or commas after it is the one and then the others.
+        cores = {w: c for w in new if (c := w.rstrip(b".,")) and c.decode("utf-8", "replace").isalpha()}
+        self.known.update(self._letters([c for c in set(cores.values()) if c not in self.known]))
+        tails = {w[len(c) :] for w, c in cores.items()} - {b""}
+        self.known.update(self._each([w for w in tails.union(new.difference(cores)) if w not in self.known]))
+        known = self.known
+        known.update({w: known[c] + known[w[len(c) :]] for w, c in cores.items() if len(w) > len(c)})
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        found = []
         for text in texts:
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            known = self.known
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
-                if len(known) + len(new) > MEMORY_WORDS:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
-                made = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-                known.update((w, np.asarray(x.ids, "<u4").tobytes()) for w, x in zip(new, made))
-            yield b"".join([known[w] for w in words]) + self.end
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            # Lower case is only folded early where that can't make a special token's name.
+            found.append((raw.lower() if self.folds and b"<|" not in raw else raw).split())
+        distinct = set().union(*found)
+        new = distinct.difference(self.known)
+        if len(self.known) + len(new) > MEMORY_WORDS:
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        self._learn(new)
+        known = self.known.__getitem__
+        for words in found:
+            yield b"".join(map(known, words)) + self.end
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str, end_id: int | None) -> WordEncoder:
+    """One for each worker process, which keeps what it knows between tasks."""
+    return WordEncoder(path, end_id)
 
 
 def difference(sizes: list[int], windows: int) -> np.ndarray:
@@ -157,7 +202,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id)
         serial = TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
 
