@@ -10,6 +10,7 @@ from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import near_duplicates
 from scriptorium.llm.language_id import held_out, identify
 from scriptorium.llm.mixing import mix
+from scriptorium.llm.neighbours import nearest
 from scriptorium.llm.packing import pack
 from scriptorium.llm.substring_dedup import remove_repeats
 from scriptorium.llm.url_filter import RULES, judge_urls
@@ -85,6 +86,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return nearest(load(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
@@ -109,6 +115,7 @@ def queries() -> dict:
         "op5_substring_dedup": op5_substring_dedup,
         "op6_language_id": op6_language_id,
         "op7_mixing": op7_mixing,
+        "op8_neighbours": op8_neighbours,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard_join": op10_jaccard_join,
     }
