@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import near_duplicates
 from scriptorium.llm.language_id import held_out, identify
+from scriptorium.llm.lm_score import score_documents
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.neighbours import nearest
 from scriptorium.llm.packing import pack
@@ -48,6 +49,15 @@ FROM pages WINDOW w AS (PARTITION BY coalesce(html, ''))
 """
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as good; a document counts as such if any of its labels says so."""
+    prepare(spark)
+    good = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    docs = load(spark, sf_dir, "documents")
+    marked = docs.join(good, docs["doc_id"] == good["good_id"], "left")
+    return score_documents(marked, F.col("good_id").isNotNull())
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     judged = judge_urls(load(spark, sf_dir, "pages"), RULES)
@@ -111,6 +121,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_warc": op2_warc,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_url_filter": op4_url_filter,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_language_id": op6_language_id,
