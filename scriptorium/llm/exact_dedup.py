@@ -60,3 +60,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """One row of each group of equal texts, all columns; of rows that share text and identifier, one stays."""
+    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("kept_id_"), F.col("text_sha256").alias("kept_sha_")).distinct()
+    marked = docs.withColumn("sha_", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    same = marked[id_col].eqNullSafe(kept["kept_id_"]) & (marked["sha_"] == kept["kept_sha_"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "sha_"]).drop("sha_")

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm.words import mix
 
@@ -146,14 +147,15 @@ def _fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [_pack(model)], "worst": [worst]})
 
 
-def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang_pred, score, bits, rejected), a row for each row of docs.
 
     train gives labelled rows in the columns of the same names; those with a null text or language are
     left out, and a sample of about SAMPLE_ROWS for each language is read, chosen by hashes of the texts.
     Texts that are null or without letters are `und` with score 0 and rejected, as is everything when
     there is nothing to learn from. bits is the cross-entropy per character. Of equal languages the
-    first by name wins. Whole texts count; other columns are ignored.
+    first by name wins. Whole texts count; other columns are ignored. id_col may be any expression, as a
+    struct of all columns to carry them along.
     """
     import pickle
 
@@ -187,8 +189,15 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
                 names=["doc_id", "lang_pred", "score", "bits", "rejected"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+    key = F.col(id_col) if isinstance(id_col, str) else id_col
+    rows = docs.select(key.alias("doc_id"), F.col(text_col).alias("text"))
+    found = T.StructType([rows.schema["doc_id"]]).add("lang_pred", "string").add("score", "double").add("bits", "double").add("rejected", "boolean")
+    return rows.mapInArrow(run, found)
+
+
+def keep_identified(docs: DataFrame, train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs, all columns, whose texts aren't rejected."""
+    return identify(docs, train, F.struct(*docs.columns), text_col, lang_col).where("NOT rejected").select("doc_id.*")
 
 
 def held_out(id_col: str = "doc_id"):

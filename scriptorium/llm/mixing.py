@@ -114,15 +114,16 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken), a row for each input row.
+    """(doc_id, mark, size, source_size, target, copies, taken), a row for each input row.
 
     size counts the words of a text (null: 0); null sources form one source, the last. Sources without
     words have target 0 and take nothing. A source that can't meet its target exactly, as one with a
     single document, comes as near as whole documents allow. Repeated rows count each for itself.
-    The same rows give the same mix. An empty table gives no rows; other columns are ignored.
+    The same rows give the same mix. mark is xxhash64 of the text, copies the times it is taken. An empty table gives no rows; other columns are ignored.
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
+        F.xxhash64(text_col).alias("mark"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
     )
@@ -135,17 +136,27 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), mo
         lambda pdf: _fit(pdf, seed), "source string, size long, source_size long, target double, rounds int, extra long"
     )
     p = durable(plan, "mixing-plan").withColumnsRenamed({"source": "p_source", "size": "p_size"})
-    mark = F.xxhash64(F.lit(seed), "doc_id")
-    marked = sized.withColumn("mark", mark).withColumn("bucket", F.shiftrightunsigned("mark", 56))
+    marked = sized.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bucket", F.shiftrightunsigned("draw", 56))
     group = Window.partitionBy("source", "size").orderBy("bucket")
     buckets = (
         marked.groupBy("source", "size", "bucket")
         .agg(F.count(F.lit(1)).alias("m"))
         .select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("bucket").alias("b_bucket"), (F.sum("m").over(group) - F.col("m")).alias("before"))
     )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("mark", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("draw", "doc_id", "mark"))
     ranked = marked.withColumn("rank", rank)
     same = F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("bucket") == F.col("b_bucket"))
     planned_rows = ranked.join(buckets, same).join(p, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size")))
     copies = F.col("rounds") + (F.col("before") + F.col("rank") <= F.col("extra")).cast("long")
-    return planned_rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return planned_rows.select("doc_id", "mark", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all columns, each as many times as the mix takes it. Texts without words cost nothing and stay once."""
+    mixed = mix(docs, id_col=id_col, text_col=text_col, **options)
+    copies = mixed.groupBy("doc_id", "mark").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias("copies_"))
+    copies = copies.where("copies_ > 0").withColumnsRenamed({"doc_id": "mixed_id_", "mark": "mixed_mark_"})
+    # Rows that share identifier and text are the same to the mix: one of them stands for all their copies.
+    marked = docs.withColumn("mark_", F.xxhash64(text_col)).dropDuplicates([id_col, "mark_"])
+    same = marked[id_col].eqNullSafe(copies["mixed_id_"]) & (marked["mark_"] == copies["mixed_mark_"])
+    return marked.join(copies, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies_")).alias("copy_")).drop("copy_")
