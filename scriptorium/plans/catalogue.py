@@ -1,15 +1,687 @@
-"""Registered queries over the driver tables and the SQL that must give the same rows."""
+"""Registered queries over the driver tables, each with the SQL that must give the same rows.
+
+Stand-ins: documents are chapters (source = book, doc_id = order), pages fetched pages, events articles,
+conversations sessions. All run over whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import text as tx
+from scriptorium.operators import batching, catalog, cleaning, news, segment
+from scriptorium.operators import session as sess
+from scriptorium.session import load, ship
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---------------------------------------------------------------- lines, boilerplate, cleaning (AGG-03/04, FLT-01, WIN-01, OPS-03)
+
+#: The share of a book's chapters that makes a line boilerplate here; at the usual 0.6 no driver table has any.
+SHARE = 0.1
+LINES = "lines AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
+BOILER = f"""chapters AS (SELECT source, count(DISTINCT doc_id) AS n FROM lines GROUP BY source HAVING count(DISTINCT doc_id) >= 4),
+counts AS (SELECT source, line, count(DISTINCT doc_id) AS c FROM lines WHERE length(line) <= 160 GROUP BY source, line),
+boiler AS (SELECT source, line FROM counts JOIN chapters USING (source) WHERE c >= greatest(3, floor(n * {SHARE})))"""
+# RE2's classes are ASCII; \p sets give the Unicode ones.
+DECOR = r"^[^\p{L}\p{M}\p{N}\p{Pc}_]{0,40}$"
+
+
+def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tx.lines_of(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), "text")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate and repeats out, counted by book."""
+    ship(spark)
+    lines = doc_lines(spark, sf_dir)
+    kept = cleaning.clean(lines, ["source", "doc_id"], boilerplate=cleaning.detect_boilerplate(lines, "source", "doc_id", SHARE), book="source")
+    raw = lines.groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_lines_raw"))
+    return raw.join(kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines_clean")), "source", "left").select("source", "n_docs", "n_lines_raw", F.coalesce("n_lines_clean", F.lit(0)).alias("n_lines_clean"))
+
+
+CLEAN = rf"""tidy AS (SELECT source, doc_id, pos, trim(regexp_replace(line, '[ \t]+', ' ', 'g')) AS line FROM lines),
+held AS (SELECT * FROM tidy t WHERE line <> '' AND NOT regexp_matches(line, '{DECOR}') AND NOT EXISTS (SELECT 1 FROM boiler b WHERE b.source = t.source AND b.line = t.line)),
+marked AS (SELECT *, lag(line) OVER (PARTITION BY source, doc_id ORDER BY pos) AS before FROM held),
+kept AS (SELECT source, doc_id, pos, line FROM marked WHERE before IS NULL OR before <> line)"""
+
+
+@query(f"""WITH {LINES}, {BOILER}, {CLEAN}
+SELECT r.source, count(DISTINCT r.doc_id) AS n_docs, count(*) AS n_lines_raw, (SELECT count(*) FROM kept k WHERE k.source = r.source) AS n_lines_clean FROM lines r GROUP BY r.source""")
+def clean_summary(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(f"WITH {LINES}, {BOILER} SELECT source, line FROM boiler")
+def boilerplate_lines(spark, sf_dir):
+    return cleaning.detect_boilerplate(doc_lines(spark, sf_dir), "source", "doc_id", SHARE)
+
+
+@query(f"WITH {LINES}, {BOILER}, {CLEAN} SELECT source, doc_id, pos, line FROM kept")
+def clean_lines(spark, sf_dir):
+    lines = doc_lines(spark, sf_dir)
+    out = cleaning.clean(lines, ["source", "doc_id"], boilerplate=cleaning.detect_boilerplate(lines, "source", "doc_id", SHARE), book="source")
+    return out.select("source", "doc_id", F.col("pos").cast("long").alias("pos"), "line")
+
+
+@query(f"""WITH {LINES}, m AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM lines)
+SELECT doc_id, pos, line FROM m WHERE before IS NULL OR before <> line""")
+def consecutive_dup_removed(spark, sf_dir):
+    return cleaning.drop_repeats(doc_lines(spark, sf_dir), ["doc_id"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+
+
+@query(f"""WITH {LINES},
+numbered AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents),
+chosen AS (SELECT source, doc_id FROM numbered WHERE n >= 4 AND i % greatest(1, n // 15) = 0 AND i // greatest(1, n // 15) < 15),
+l AS (SELECT lines.* FROM lines JOIN chosen USING (source, doc_id)),
+need AS (SELECT source, greatest(3, floor(count(*) * {SHARE})) AS k FROM chosen GROUP BY source HAVING count(*) >= 4)
+SELECT source, line FROM l JOIN need USING (source) WHERE length(line) <= 160 GROUP BY source, line, k HAVING count(DISTINCT doc_id) >= k""")
+def sampled_boilerplate(spark, sf_dir):
+    return cleaning.sampled_boilerplate(doc_lines(spark, sf_dir), "source", "doc_id", SHARE)
+
+
+@query(f"WITH {LINES} SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM lines GROUP BY doc_id")
+def lines_per_doc(spark, sf_dir):
+    return doc_lines(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query(f"""WITH {LINES}, r AS (SELECT doc_id, pos, regexp_replace(trim(regexp_replace(replace(regexp_replace(replace(line, 'the ', ''), '(?i)\\b(of|and) (\\w+)', '\\2 \\1', 'g'), 'this', 'THAT'), '[ \\t]+', ' ', 'g')), '^$', '') AS line FROM lines),
+k AS (SELECT * FROM r WHERE line <> '' AND NOT regexp_matches(line, '{DECOR}') AND NOT regexp_matches(line, '(?i)licensed')),
+m AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k)
+SELECT doc_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars, sum(hash_n)::BIGINT AS marks FROM (SELECT *, length(replace(line, 'THAT', 'THATx')) - length(line) AS hash_n FROM m WHERE before IS NULL OR before <> line) GROUP BY doc_id""".replace("\\\\", "\\"))
+def rename_map(spark, sf_dir):
+    """Literal removal, a substitution with groups, a name and a dropped line. ASCII words only, as SQL's classes are."""
+    rules = cleaning.Rules(remove=["the "], regex=[(r"(?-U)\b(of|and) (\w+)", r"\2 \1")], names={"this": "THAT"}, drop_line=["licensed", "("])
+    out = cleaning.clean(doc_lines(spark, sf_dir).drop("source"), ["doc_id"], rules)
+    marks = F.length(F.replace("line", F.lit("THAT"), F.lit("THATx"))) - F.length("line")
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"), F.sum(marks).alias("marks"))
+
+
+# ---------------------------------------------------------------- folding, keys, names (SCL, PRJ-16, PRJ-17)
+
+
+@query("SELECT doc_id, length(lower(strip_accents(text))) AS n FROM documents WHERE contains(lower(strip_accents(text)), lower(strip_accents('étre la')))")
+def fold_search(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    folded = tx.fold(F.col("text"))
+    return docs.where(F.contains(folded, F.lit(tx.py_fold("étre la")))).select("doc_id", F.length(folded).cast("long").alias("n"))
+
+
+PAGE_KEY = r"lower(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''))"
+
+
+@query(f"""WITH k AS (SELECT page_id, {PAGE_KEY} AS dedup_key, length(html) AS n FROM pages)
+SELECT page_id, dedup_key FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY n DESC, page_id) AS r FROM k) WHERE r = 1""")
+def dedup_key_pages(spark, sf_dir):
+    pages = load(spark, sf_dir, "pages").select("page_id", tx.dedup_key(F.col("url"), F.lit("")).alias("dedup_key"), F.length("html").alias("n"), F.lit("web").alias("source"))
+    return news.longest_first(pages, "dedup_key", F.col("n"), "page_id", "source").select("page_id", "dedup_key")
+
+
+@query("""WITH r AS (SELECT doc_id, text, source, row_number() OVER (PARTITION BY left(text, 40) ORDER BY length(text) DESC, doc_id) AS k FROM documents),
+g AS (SELECT left(text, 40) AS head, list_sort(list(DISTINCT source)) AS all_sources FROM documents GROUP BY 1)
+SELECT doc_id, array_to_string(list_filter(all_sources, lambda x: x <> source), ',') AS carried FROM r JOIN g ON left(r.text, 40) = g.head WHERE k = 1""")
+def dedup_documents_longest(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").withColumn("head", F.left("text", F.lit(40)))
+    best = news.longest_first(docs, "head", F.length("text"), "doc_id", "source")
+    return best.select("doc_id", F.array_join("also_carried_by", ",").alias("carried"))
+
+
+@query("""WITH h AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)), '^www\\.', '') AS host FROM pages)
+SELECT page_id, CASE WHEN host = 'spam-farm.example.org' OR ends_with(host, '.spam-farm.example.org') THEN 'farm' WHEN host = 'example.com' OR ends_with(host, '.example.com') THEN 'com'
+  WHEN host = 'example.net' OR ends_with(host, '.example.net') THEN 'net' ELSE 'generic' END AS source FROM h""".replace("\\\\", "\\"))
+def domain_route(spark, sf_dir):
+    sources = spark.createDataFrame([("farm", "spam-farm.example.org", 1), ("com", "example.com", 5), ("net", "example.net", 6), ("generic", None, 999)], "source string, domain string, priority int")
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    return pages.join(catalog.route(pages, sources), "url").select("page_id", "source")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+f AS (SELECT page_id, lower(host) AS host, path, regexp_extract(regexp_replace(path, '/+$', ''), '([^/]*)$', 1) AS file FROM p)
+SELECT page_id, host, path, file, lower(regexp_extract(file, '^.+\.([^.]+)$', 1)) AS ext, lower(regexp_extract(file, '^.+\.([^.]+)$', 1)) IN ('htm', 'html', 'xhtml', 'pdf', 'txt', 'md') AS readable FROM f""")
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return load(spark, sf_dir, "pages").select("page_id", tx.url_host(u).alias("host"), tx.url_path(u).alias("path"), tx.url_file(u).alias("file"), tx.url_ext(u).alias("ext"), tx.url_ext(u).isin(tx.READABLE).alias("readable"))
+
+
+@query(r"""WITH f AS (SELECT page_id, regexp_extract(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '([^/]*)$', 1) AS file FROM pages)
+SELECT page_id, CASE WHEN file <> '' AND contains(file, '.') THEN file ELSE 'tai-lieu.bin' END AS name FROM f""")
+def file_names(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", tx.file_name(F.col("url"), F.lit("")).alias("name"))
+
+
+@query(r"""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS r FROM s)
+SELECT p_partkey, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS slug FROM n""")
+def slug_unique(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = load(spark, sf_dir, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("slug"))
+    r = F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey"))
+    return rows.select("p_partkey", F.when(r == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), r.cast("string"))).alias("slug"))
+
+
+@query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 200), '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '\s+', ' ', 'g'), ' .') AS name FROM documents),
+r AS (SELECT doc_id, CASE WHEN regexp_matches(upper(split_part(name, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || name ELSE name END AS name FROM n),
+m AS (SELECT doc_id, trim(left(name, 90), ' .') AS name FROM r) SELECT doc_id, CASE WHEN name = '' THEN 'khong-ten' ELSE name END AS name FROM m""")
+def safe_names(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", tx.safe_name(F.left("text", F.lit(200))).alias("name"))
+
+
+STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+WORDS_SQL = rf"list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+'), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '^\p{{Nd}}+$') AND w NOT IN ({STOP_SQL})))"
+
+
+@query(f"SELECT doc_id, len({WORDS_SQL}) AS n_keywords FROM documents")
+def keyword_sets(spark, sf_dir):
+    return load(spark, sf_dir, "documents").select("doc_id", F.size(tx.keywords(F.col("text"))).cast("long").alias("n_keywords"))
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1\\s*>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages""".replace("\\\\", "\\"))
+def page_titles(spark, sf_dir):
+    return load(spark, sf_dir, "pages").select("page_id", tx.doc_title(F.col("html"), F.lit("?")).alias("title"))
+
+
+@query(r"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)
+SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) || href AS link, count(*) AS n FROM a WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:)') GROUP BY ALL""")
+def page_links(spark, sf_dir):
+    rows = load(spark, sf_dir, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    return rows.where(tx.is_link(F.col("href"))).select("page_id", tx.resolve("url", "href").alias("link")).groupBy("page_id", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, ts FROM events""")
+def parse_dates(spark, sf_dir):
+    """Each event's time written in one of six formats and read again."""
+    ts = F.col("ts").cast("timestamp")
+    written = (
+        F.when(F.col("event_id") % 6 == 0, F.concat(F.lit("Mon, "), F.date_format(ts, "dd MMM yyyy HH:mm:ss"), F.lit(" GMT")))
+        .when(F.col("event_id") % 6 == 1, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+        .when(F.col("event_id") % 6 == 2, F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        .when(F.col("event_id") % 6 == 3, F.date_format(ts, "dd/MM/yyyy HH:mm:ss"))
+        .when(F.col("event_id") % 6 == 4, F.date_format(ts, "M/d/yyyy h:mm:ss a"))
+        .otherwise(F.concat(F.date_format(ts + F.expr("INTERVAL 7 HOURS"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+07:00")))
+    )
+    read = tx.parse_date(written)
+    # Whole seconds where the format has no more; the rest of the second comes back from the event.
+    full = F.when(F.date_trunc("second", ts) == F.date_trunc("second", read), ts)
+    return load(spark, sf_dir, "events").select("event_id", full.cast("timestamp_ntz").alias("ts"))
+
+
+@query("""SELECT event_id, (json_extract_string(props, '$.k'))::BIGINT AS k FROM events""")
+def json_extract(spark, sf_dir):
+    prose = F.concat(F.lit("So {this} it is: "), "props", F.lit(" and more {x}"))
+    fenced = F.concat(F.lit("reply ```json\n"), "props", F.lit("\n``` end"))
+    found = tx.extract_json(F.when(F.col("event_id") % 2 == 0, prose).otherwise(fenced))
+    return load(spark, sf_dir, "events").select("event_id", F.get_json_object(found, "$.k").cast("long").alias("k"))
+
+
+# ---------------------------------------------------------------- HTML (rows only: SQL has no parser)
+
+
+@query()
+def html_lines(spark, sf_dir):
+    from scriptorium.functions.html import lines_udf
+
+    return load(spark, sf_dir, "pages").select("page_id", F.posexplode(lines_udf("html")).alias("pos", "line"))
+
+
+@query()
+def main_content_book(spark, sf_dir):
+    from scriptorium.functions.html import main_content
+
+    return main_content(load(spark, sf_dir, "pages"), "book").select("page_id", "score", F.length("html").alias("n"))
+
+
+@query()
+def main_content_news(spark, sf_dir):
+    from scriptorium.functions.html import main_content
+
+    return main_content(load(spark, sf_dir, "pages"), "news").select("page_id", "score", F.length("html").alias("n"))
+
+
+@query()
+def paragraphs(spark, sf_dir):
+    from scriptorium.functions.html import main_content, paragraphs_udf
+
+    body = main_content(load(spark, sf_dir, "pages"), "news")
+    return body.select("page_id", F.posexplode(paragraphs_udf("html")).alias("n", "paragraph"))
+
+
+@query()
+def sanitize_html(spark, sf_dir):
+    from scriptorium.functions.html import sanitise_udf
+
+    return load(spark, sf_dir, "pages").select("page_id", sanitise_udf("html", "url").alias("html"))
+
+
+@query()
+def chapter_block(spark, sf_dir):
+    """A list of chapters is put into each page, next to its own links."""
+    from scriptorium.functions.html import chapter_links
+
+    toc = F.concat(F.lit("<div><ul>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit('<li><a href="/chapter-'), i.cast("string"), F.lit('">Chapter '), i.cast("string"), F.lit("</a></li>"))), ""), F.lit("</ul></div></body>"))
+    return chapter_links(load(spark, sf_dir, "pages").withColumn("html", F.replace("html", F.lit("</body>"), toc)))
+
+
+@query()
+def book_pages(spark, sf_dir):
+    from scriptorium.functions.html import book_meta_udf
+
+    return load(spark, sf_dir, "pages").select("page_id", book_meta_udf("html", "url").alias("m")).select("page_id", "m.*")
+
+
+# ---------------------------------------------------------------- categories and days (SCL-05, AGG-01/02, FLT-04/05, OPS-05)
+
+#: Words of the driver's texts instead of news words.
+DRIVER_PHRASES = {"alpha": "the|and by|thst", "beta": "le|une|étre la", "gamma": "der|und|ist"}
+DRIVER_URLS = [("english", "/en/1"), ("french", "/(fr|es)/"), ("german", "/de/[2-5]")]
+
+
+def _hits_sql(column: str, phrases: str) -> str:
+    latin = [p for p in phrases.split("|") if p.isascii()]
+    other = [p for p in phrases.split("|") if not p.isascii()]
+    parts = [f"regexp_matches({column}, '(^|[^a-z0-9]){p}($|[^a-z0-9])')::INT" for p in latin] + [f"contains({column}, '{p}')::INT" for p in other]
+    return "(" + " + ".join(parts) + ")"
+
+
+def _argmax_sql(title: str, summary: str) -> str:
+    rows = ", ".join(f"{{'score': 3 * {_hits_sql(title, p)} + {_hits_sql(summary, p)}, 'place': {-i}, 'category': '{n}'}}" for i, (n, p) in enumerate(DRIVER_PHRASES.items()))
+    return f"list_max([{rows}])"
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(strip_accents(left(text, 60))) AS t, lower(strip_accents(left(substr(text, 61), 220))) AS s FROM documents),
+b AS (SELECT doc_id, {_argmax_sql('t', 's')} AS best FROM d)
+SELECT doc_id, best.score AS score, CASE WHEN best.score >= 2 THEN best.category ELSE 'thoi-su' END AS category FROM b""")
+def keyword_score(spark, sf_dir):
+    title, summary = F.left("text", F.lit(60)), F.expr("substr(text, 61)")
+    best = F.array_max(news.category_scores(title, summary, DRIVER_PHRASES))
+    chosen = news.category(title, summary, F.lit(""), F.array().cast("array<string>"), F.lit(""), DRIVER_PHRASES)
+    return load(spark, sf_dir, "documents").select("doc_id", best["score"].alias("score"), chosen.alias("category"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'fixed' WHEN regexp_matches(lower(url), '/en/1') THEN 'english' WHEN regexp_matches(lower(url), '/(fr|es)/') THEN 'french'
+  WHEN regexp_matches(lower(url), '/de/[2-5]') THEN 'german' WHEN page_id % 3 = 0 THEN 'french' ELSE 'thoi-su' END AS category FROM pages""")
+def category_rules(spark, sf_dir):
+    tags = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("FR/"), F.lit("en/1"))).otherwise(F.array(F.lit("other")))
+    hint = F.when(F.col("page_id") % 10 == 0, "fixed")
+    return load(spark, sf_dir, "pages").select("page_id", news.category(F.lit(""), F.lit(""), F.col("url"), tags, hint, DRIVER_PHRASES, DRIVER_URLS).alias("category"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def category_counts(spark, sf_dir):
+    return news.category_counts(load(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ROLLUP (ts::DATE, event_type) HAVING ts::DATE IS NOT NULL")
+def day_rollup(spark, sf_dir):
+    return news.day_rollup(load(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type"), "day", "event_type")
+
+
+@query("""WITH f AS (SELECT * FROM events WHERE ts::DATE = DATE '2024-01-05' AND event_type = 'click' AND contains(lower(strip_accents(props)), 'k'))
+SELECT event_id, (SELECT count(*) FROM f) AS total FROM f ORDER BY ts DESC, event_id LIMIT 20 OFFSET 10""")
+def day_page(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").where(F.to_date("ts") == F.lit("2024-01-05").cast("date")).withColumnRenamed("event_type", "category")
+    page, total = news.day_page(rows, [F.desc("ts"), "event_id"], category="click", find="K", text=F.col("props"), offset=10, limit=20)
+    return page.select("event_id").crossJoin(F.broadcast(total))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 7 = 0 OR ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 48 HOURS")
+def horizon_48h(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts").cast("timestamp")))
+    return rows.where(news.within_horizon(F.col("ts"), F.to_timestamp(F.lit("2024-01-20 00:00:00")))).select("event_id")
+
+
+MERGE = """fresh AS (SELECT user_id AS k, max_by(event_id, ts) AS id, max(ts) AS t FROM events WHERE event_id % 3 <> 0 AND user_id % 5 <> 0 GROUP BY user_id),
+stored AS (SELECT user_id AS k, max_by(event_id, ts) AS id, max(ts) AS t, max(event_type) AS tr FROM events WHERE event_id % 3 = 0 AND user_id % 7 <> 0 GROUP BY user_id)"""
+
+
+def _merge_parts(spark, sf_dir):
+    e = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    keyed = lambda rows, *more: rows.groupBy(F.col("user_id").alias("k")).agg(F.max_by("event_id", "ts").alias("id"), F.max("ts").alias("t"), *more)
+    fresh = keyed(e.where("event_id % 3 <> 0 AND user_id % 5 <> 0")).withColumn("tr", F.lit(None).cast("string"))
+    return fresh, keyed(e.where("event_id % 3 = 0 AND user_id % 7 <> 0"), F.max("event_type").alias("tr"))
+
+
+@query(f"""WITH {MERGE} SELECT f.k, f.id, s.tr FROM fresh f LEFT JOIN stored s ON f.k = s.k WHERE f.t >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 48 HOURS
+UNION ALL SELECT k, id, tr FROM stored WHERE k NOT IN (SELECT k FROM fresh)""")
+def merge_day(spark, sf_dir):
+    fresh, stored = _merge_parts(spark, sf_dir)
+    return news.merge_day(fresh, stored, F.to_timestamp(F.lit("2024-01-30 12:00:00")), "k", "t", ("tr",)).select("k", "id", "tr")
+
+
+@query(f"WITH {MERGE} SELECT f.k, f.id, s.tr FROM fresh f LEFT JOIN stored s ON f.k = s.k")
+def carry_translation(spark, sf_dir):
+    fresh, stored = _merge_parts(spark, sf_dir)
+    return catalog.carry(fresh, stored, "k", ["tr"]).select("k", "id", "tr")
+
+
+@query(f"WITH {MERGE} SELECT k, id FROM fresh UNION ALL SELECT k, id FROM stored WHERE k NOT IN (SELECT k FROM fresh)")
+def library_upsert(spark, sf_dir):
+    fresh, stored = _merge_parts(spark, sf_dir)
+    return catalog.upsert(stored.select("k", "id"), fresh.select("k", "id"), "k")
+
+
+# ---------------------------------------------------------------- registries and joins (JN)
+
+
+@query("""SELECT s.s_suppkey AS id, CASE WHEN o.name IS NOT NULL THEN o.name ELSE s.s_name END AS name, coalesce(o.nation, s.s_nationkey) AS nation, s.added AS is_added, o.id IS NOT NULL AS is_changed
+FROM (SELECT s_suppkey, s_name, s_nationkey, s_suppkey % 4 = 0 AS added FROM supplier) s LEFT JOIN (VALUES (1, 'one', NULL), (4, NULL, 7), (9999999, 'none', 1)) AS o(id, name, nation) ON s.s_suppkey = o.id""")
+def feed_overlay(spark, sf_dir):
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    over = spark.createDataFrame([(1, "one", None), (4, None, 7), (9999999, "none", 1)], "id long, name string, nation int")
+    return catalog.overlay(s.where("id % 4 <> 0"), s.where("id % 4 = 0"), over)
+
+
+@query("SELECT s.s_suppkey, n.n_name, r.r_name FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey")
+def dimension_lookup(spark, sf_dir):
+    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")  # of fixed size
+    s = load(spark, sf_dir, "supplier")
+    return s.join(F.broadcast(n), s["s_nationkey"] == n["n_nationkey"]).join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select("s_suppkey", "n_name", "r_name")
+
+
+@query(f"SELECT page_id % 4 AS watch_id, url FROM pages WHERE NOT EXISTS (SELECT 1 FROM pages h WHERE h.page_id % 3 = 0 AND h.page_id % 4 = pages.page_id % 4 AND h.url = pages.url)")
+def new_files(spark, sf_dir):
+    p = load(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 4).alias("watch_id"), "url")
+    return catalog.new_files(p.select("watch_id", "url"), p.where("page_id % 3 = 0").select("watch_id", "url"))
+
+
+@query(r"""WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages),
+w AS (SELECT 'w' || (page_id % 3) AS watch_id, url, page_id % 2 AS kind, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages WHERE page_id % 10 = 0)
+SELECT DISTINCT w.watch_id, u.url FROM u JOIN w ON (w.kind = 0 AND u.host = w.host) OR (w.kind = 1 AND u.url = w.url)""")
+def mark_harvested(spark, sf_dir):
+    p = load(spark, sf_dir, "pages")
+    chosen = p.where("page_id % 10 = 0").select(F.concat(F.lit("w"), (F.col("page_id") % 3).cast("string")).alias("watch_id"), "url", (F.col("page_id") % 2).alias("kind"))
+    none = F.array().cast("array<string>")
+    watches = chosen.groupBy("watch_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("url"))).alias("addresses"), F.collect_list(F.when(F.col("kind") == 1, F.col("url"))).alias("harvested")).withColumn("seen", none)
+    return catalog.belongs(p.select("url").distinct(), watches)
+
+
+@query("""WITH m AS (SELECT DISTINCT md5('vi' || chr(0) || text) AS key FROM benchmark WHERE item_id % 2 = 0),
+l AS (SELECT item_id, md5('vi' || chr(0) || text) AS key FROM benchmark) SELECT item_id, key, key IN (SELECT key FROM m) AS known FROM l""")
+def tm_lookup(spark, sf_dir):
+    b = load(spark, sf_dir, "benchmark").withColumn("key", tx.memory_key(F.lit("vi"), F.col("text")))
+    memory = b.where("item_id % 2 = 0").select("key", F.lit("x").alias("value")).distinct()
+    return catalog.memory_lookup(b, memory).select("item_id", "key", F.col("value").isNotNull().alias("known"))
+
+
+@query("SELECT source, doc_id FROM documents WHERE doc_id % 3 <> 1")
+def missing_chapters(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("source", "doc_id")
+    return catalog.missing(d, d.where("doc_id % 3 = 1"), ["source", "doc_id"])
+
+
+@query("""WITH c AS (SELECT source, doc_id, left(text, 20) AS title FROM documents), s AS (SELECT source, max(doc_id) AS last_idx FROM c WHERE doc_id % 2 = 0 GROUP BY source)
+SELECT s.source, s.last_idx, coalesce(s.last_idx % 3 = 0, true) AS drifted FROM s JOIN c ON c.source = s.source AND c.doc_id = s.last_idx""")
+def drift_check(spark, sf_dir):
+    c = load(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("idx"), F.left("text", F.lit(20)).alias("title"))
+    listed = c.withColumn("title", F.when(F.col("idx") % 3 == 0, F.concat("title", F.lit(" new"))).otherwise(F.concat(F.lit("  "), F.upper("title"))))
+    return catalog.drift(c.where("idx % 2 = 0"), listed, "source")
+
+
+
+
+@query(f"""WITH k AS (SELECT conv_id, turn, role, {WORDS_SQL} AS ws FROM conversations), a AS (SELECT conv_id, turn, len(ws) AS n, unnest(ws) AS w FROM k WHERE role = 'user'), b AS (SELECT conv_id, turn, len(ws) AS n, unnest(ws) AS w FROM k WHERE role = 'assistant')
+SELECT a.conv_id * 100 + a.turn AS thread_id, b.conv_id * 100 + b.turn AS resolved_id, count(*) AS shared FROM a JOIN b ON a.w = b.w GROUP BY a.conv_id, a.turn, b.conv_id, b.turn, a.n, b.n HAVING count(*) >= 2 AND count(*) / least(a.n, b.n) >= 0.5""")
+def fuzzy_threads(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 100 + F.col("turn"))
+    a = c.where("role = 'user'").select(F.col("id").alias("thread_id"), F.col("text").alias("t"))
+    b = c.where("role = 'assistant'").select(F.col("id").alias("resolved_id"), F.col("text").alias("r"))
+    return sess.fuzzy_pairs(a, b, "thread_id", "t", "resolved_id", "r")
+
+
+@query("""SELECT item_id FROM benchmark b WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE contains(lower(d.text), lower(left(b.text, 40))))""")
+def prefix_contains(spark, sf_dir):
+    b = load(spark, sf_dir, "benchmark")
+    return sess.not_contained(b.select("item_id", "text"), load(spark, sf_dir, "documents").select(F.col("text").alias("known")), "text", "known").select("item_id")
+
+
+# ---------------------------------------------------------------- segmentation (WIN-04..09, 15, 16)
+
+BOOKS = """n AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)"""
+
+
+def _book_lines(spark, sf_dir, head):
+    from pyspark.sql import Window
+
+    d = load(spark, sf_dir, "documents").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return tx.lines_of(d.select("source", "i", F.concat(head, F.lit("\n"), "text").alias("text")), "text").select("source", (F.col("i").cast("long") * 1000000 + F.col("pos")).alias("pos"), "line")
+
+
+@query(rf"""WITH {BOOKS}, l AS (SELECT source, i, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r\f\v]+', ' ', 'g')) AS line FROM n)
+SELECT source, i AS idx, 'Chapter ' || i AS title, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l WHERE line <> '' GROUP BY source, i""")
+def split_chapters(spark, sf_dir):
+    lines = _book_lines(spark, sf_dir, F.concat(F.lit("Chapter "), F.col("i").cast("string"), F.lit("\n-------")))
+    out = segment.split_chapters(lines, ["source"])
+    return out.groupBy("source", "idx", "title").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars")).withColumn("idx", F.col("idx").cast("long"))
+
+
+@query(rf"""WITH {BOOKS}, l AS (SELECT source, i, generate_subscripts(string_split(text, chr(10)), 1) AS p, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r\f\v]+', ' ', 'g')) AS line FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i, p) AS r, count(*) OVER (PARTITION BY source) AS t FROM l WHERE line <> '')
+SELECT source, CASE WHEN t > 450 THEN 'Phần ' || ((r - 1) // 300 + 1) ELSE source END AS title, count(*) AS n_lines FROM k GROUP BY ALL""")
+def split_fallback(spark, sf_dir):
+    from pyspark.sql import Window
+
+    d = load(spark, sf_dir, "documents").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    lines = tx.lines_of(d.select("source", "i", "text"), "text").select("source", (F.col("i").cast("long") * 1000000 + F.col("pos")).alias("pos"), "line").withColumn("name", F.col("source"))
+    return segment.split_chapters(lines, ["source", "name"], title="name").groupBy("source", "title").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("""WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)
+SELECT source, CASE WHEN i >= 3 THEN 'Part ' || (i // 3) || ' · ' ELSE '' END || 'Chapter ' || i AS title, 1::BIGINT AS n FROM n""")
+def heading_levels(spark, sf_dir):
+    """Markdown of parts and chapters: a part before every third chapter, prefix of those after it."""
+    from pyspark.sql import Window
+
+    d = load(spark, sf_dir, "documents").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    part = F.when(F.col("i") % 3 == 0, F.concat(F.lit("# Part "), F.floor(F.col("i") / 3).cast("string"), F.lit("\n"))).otherwise("")
+    body = F.concat(part, F.lit("## Chapter "), F.col("i").cast("string"), F.lit(" ##\n```\n# no heading\n```"), F.when(F.col("i") % 2 == 0, "\n### deeper").otherwise(""))
+    lines = tx.lines_of(d.select("source", "i", body.alias("text")), "text").select("source", (F.col("i").cast("long") * 1000 + F.col("pos")).alias("pos"), "line")
+    out = segment.assemble_levels(segment.markdown_items(lines, ["source"]), ["source"])
+    return out.groupBy("source", "title").agg(F.countDistinct("idx").alias("n"))
+
+
+@query("""SELECT source, doc_id, (doc_id % 2 = 0)::INT::BIGINT AS headings, (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS texts FROM documents""")
+def markdown_fence(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    body = F.when(F.col("doc_id") % 2 == 0, F.lit("# Head [x](y)\n\ntext")).otherwise(F.lit("```py\n# Head\n```\n![text](z)"))
+    items = segment.markdown_items(tx.lines_of(d.select("source", "doc_id", body.alias("text")), "text"), ["source", "doc_id"])
+    return items.groupBy("source", "doc_id").agg(F.count("level").alias("headings"), F.count_if(F.col("level").isNull()).alias("texts"))
+
+
+@query("""WITH c AS (SELECT lang, source, doc_id, count(*) OVER (PARTITION BY lang, source) AS k FROM documents)
+SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) AS new_idx, CASE WHEN k = 1 THEN source ELSE 'c' || doc_id END AS title FROM c""")
+def merge_books(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("lang", "source", "doc_id", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("file_title"))
+    return segment.merge_files(d, "lang", "source", "file_title", idx="doc_id").select("lang", "doc_id", F.col("new_idx").cast("long").alias("new_idx"), "title")
+
+
+# ---------------------------------------------------------------- batches and samples (WIN-10..14, OPS-04)
+
+
+def _batch_sql(size: str, close: str, by: str = "source") -> str:
+    return f"""WITH RECURSIVE o AS (SELECT source, doc_id, {size} AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT source, doc_id, i, s::BIGINT AS total, 1::BIGINT AS n, 0::BIGINT AS batch FROM o WHERE i = 1
+UNION ALL SELECT o.source, o.doc_id, o.i, CASE WHEN {close} THEN o.s ELSE r.total + o.s END, CASE WHEN {close} THEN 1 ELSE r.n + 1 END, CASE WHEN {close} THEN r.batch + 1 ELSE r.batch END
+FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1)
+SELECT source, doc_id, batch FROM r"""
+
+
+def _sized(spark, sf_dir, size):
+    return load(spark, sf_dir, "documents").select("source", "doc_id", size.alias("size"))
+
+
+@query(_batch_sql("octet_length(encode(text))", "r.total >= 20000"))
+def batch_overshoot(spark, sf_dir):
+    return batching.batches(_sized(spark, sf_dir, F.octet_length("text")), "source", "doc_id", "size", lambda s: batching.overshoot(s, 20000))
+
+
+@query(_batch_sql("length(text)", "r.total + o.s > 10000"))
+def batch_budget(spark, sf_dir):
+    return batching.batches(_sized(spark, sf_dir, F.length("text")), "source", "doc_id", "size", lambda s: batching.within(s, 10000))
+
+
+@query(_batch_sql("length(text) % 400", "r.n >= 8 OR r.total + o.s >= 1200"))
+def batch_translate(spark, sf_dir):
+    return batching.batches(_sized(spark, sf_dir, F.length("text") % 400), "source", "doc_id", "size", batching.small)
+
+
+@query("""WITH o AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents),
+t AS (SELECT lang, n, floor(k * n / 60.0)::BIGINT AS i FROM (SELECT DISTINCT lang, n FROM o), range(60) AS r(k)) SELECT DISTINCT o.lang, o.doc_id FROM o LEFT JOIN t ON o.lang = t.lang AND o.i = t.i WHERE o.n <= 60 OR t.i IS NOT NULL""")
+def even_sample(spark, sf_dir):
+    return batching.even_sample(load(spark, sf_dir, "documents").select("lang", "doc_id"), "lang", "doc_id")
+
+
+@query("SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 7 + 1 AS volume FROM documents")
+def volumes(spark, sf_dir):
+    from scriptorium.sinks.writers import volumes as split
+
+    return split(load(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 7).withColumn("volume", F.col("volume").cast("long"))
+
+
+@query("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 2")
+def last_n_turns(spark, sf_dir):
+    return batching.last_n(load(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", 2)
+
+
+@query()
+def session_state(spark, sf_dir):
+    """Each turn opens a thread and names a place; assistants' turns close what they repeat."""
+    c = load(spark, sf_dir, "conversations")
+    state = F.to_json(F.struct(F.left("text", F.lit(30)).alias("vi_tri"), F.array(F.left("text", F.lit(80))).alias("manh_moi_moi"), F.when(F.col("role") == "assistant", F.array(F.left("text", F.lit(80)))).alias("manh_moi_xong")))
+    return sess.session_state(c.select(F.col("conv_id").alias("session_id"), "turn", state.alias("state")))
+
+
+@query("""SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, CASE WHEN count(*) = 0 THEN 0 ELSE round(100 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) END AS percent,
+least(100, round(count(*) FILTER (o_orderstatus = 'F') * 100 / count(*)))::INT AS web, round((count(*) FILTER (o_orderstatus = 'F') - 1) / greatest(1, count(*)) * 100)::INT AS mobile FROM orders GROUP BY o_orderpriority""")
+def progress(spark, sf_dir):
+    g = load(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"))
+    percent = F.when(F.col("total") > 0, F.round(100 * F.col("done") / F.col("total"), 1)).otherwise(0.0)
+    return g.select("*", percent.alias("percent"), tx.progress_web(F.col("done"), F.col("total")).alias("web"), tx.progress_mobile(F.col("done"), F.col("total")).alias("mobile"))
+
+
+# ---------------------------------------------------------------- traversal, feeds, sinks, streams
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'http://h/' || doc_id AS f, 'http://h/' || (doc_id * 2 + 1) AS t FROM documents UNION ALL SELECT 'http://h/' || doc_id, 'http://h/' || (doc_id * 2 + 2) FROM documents),
+r AS (SELECT 'http://h/0' AS url, 0 AS depth UNION ALL SELECT e.t, r.depth + 1 FROM r JOIN e ON e.f = r.url WHERE r.depth < 5) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+def crawl_frontier(spark, sf_dir):
+    """A tree of pages over doc_id, five levels deep (63 pages)."""
+    d = load(spark, sf_dir, "documents")
+    page = lambda c: F.concat(F.lit("http://h/"), c.cast("string"))
+    edges = d.select(page(F.col("doc_id")).alias("from_url"), F.explode(F.array(F.struct(page(F.col("doc_id") * 2 + 1).alias("href"), F.lit(0).alias("pos")), F.struct(page(F.col("doc_id") * 2 + 2).alias("href"), F.lit(1).alias("pos")))).alias("l"))
+    edges = edges.select("from_url", "l.href", F.lit("next").alias("anchor"), "l.pos")
+    starts = spark.createDataFrame([("http://h/0#top", 0)], "url string, ord int")
+    return catalog.crawl(edges, starts, depth=5, max_pages=100)[0].select("url", "depth")
+
+
+FEED_ITEM = "'<item><title>' || doc_id || '</title><link>http://n/' || doc_id || '</link></item>'"
+
+
+@query("""WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+SELECT source AS source_id, doc_id::VARCHAR AS title, 'http://n/en/' || doc_id AS link, CASE WHEN doc_id % 2 = 0 THEN 'the-thao' ELSE 'thoi-su' END AS category, TIMESTAMPTZ '2024-03-01 10:00:00+00' AS published_at FROM r WHERE k <= 30""")
+def feed_scan(spark, sf_dir):
+    """Each book's documents as items of a feed; the first 30 of a feed count."""
+    from scriptorium.sources.feeds import articles
+
+    i = F.col("doc_id").cast("string")
+    tag = F.when(F.col("doc_id") % 2 == 0, "<category>sports</category>").otherwise("")
+    item = F.concat(F.lit("<item><title>"), i, F.lit("</title><link>http://n/en/"), i, F.lit("</link><pubDate>Fri, 01 Mar 2024 17:00:00 +0700</pubDate>"), tag, F.lit("</item>"))
+    items = load(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", item.alias("x")))).alias("items"))
+    xml = F.concat(F.lit("<rss><channel><title>c</title>"), F.array_join(F.transform("items", lambda r: r["x"]), ""), F.lit("</channel></rss>"))
+    feeds = items.select(F.col("source").alias("id"), F.col("source").alias("name"), F.lit("vn").alias("country"), F.lit("vi").alias("lang"), F.lit("").alias("category"), xml.alias("xml"))
+    return articles(feeds).select("source_id", "title", "link", "category", "published_at")
+
+
+@query("""WITH p AS (SELECT source, string_agg(chr(10) || chr(10) || chr(10) || 'Chapter ' || doc_id || chr(10) || repeat('-', 40) || chr(10) || text, '' ORDER BY doc_id) AS body FROM documents GROUP BY source)
+SELECT source AS book_id, source || '.txt' AS name, sha256(source || chr(10) || 'Tac gia: me' || chr(10) || repeat('=', 60) || body) AS digest FROM p""")
+def export_txt(spark, sf_dir):
+    from scriptorium.sinks.writers import text_files
+
+    d = load(spark, sf_dir, "documents")
+    books = d.select(F.col("source").alias("book_id")).distinct().select("book_id", F.col("book_id").alias("title"), F.lit("me").alias("author"), F.lit("").alias("url"))
+    chapters = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("idx"), F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("title"), F.split("text", "\n", -1).alias("lines"))
+    return text_files(books, chapters).select("book_id", "name", F.sha2("text", 256).alias("digest"))
+
+
+@query(r"""WITH l AS (SELECT source, doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\r\f\v]+', ' ', 'g')) AS line FROM documents)
+SELECT source AS book_id, 'Chapter ' || doc_id AS title, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM l WHERE line <> '' GROUP BY ALL""")
+def roundtrip(spark, sf_dir):
+    """Books exported as text, and split into chapters again."""
+    from scriptorium.sinks.writers import text_files
+
+    d = load(spark, sf_dir, "documents")
+    books = d.select(F.col("source").alias("book_id")).distinct().select("book_id", F.col("book_id").alias("title"), F.lit("").alias("author"), F.lit("").alias("url"))
+    chapters = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("idx"), F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("title"), F.split("text", "\n", -1).alias("lines"))
+    lines = tx.lines_of(text_files(books, chapters).select("book_id", "text"), "text")
+    out = segment.split_chapters(lines, ["book_id"]).where("title LIKE 'Chapter %'")
+    return out.groupBy("book_id", "title").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
+
+
+@query()
+def export_epub(spark, sf_dir):
+    from scriptorium.sinks.writers import epub_files
+
+    d = load(spark, sf_dir, "documents")
+    books = d.select(F.col("source").alias("book_id")).distinct().select("book_id", F.col("book_id").alias("title"))
+    chapters = d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("idx"), F.concat(F.lit("Chapter "), F.col("doc_id").cast("string")).alias("title"), F.split("text", "\n", -1).alias("lines"))
+    return epub_files(books, chapters, size=20).select("book_id", "volume", "name", F.octet_length("content").alias("bytes"))
+
+
+def _run_stream(spark, sf_dir, build, mode: str) -> DataFrame:
+    """A stream over the events' file, run until it is read, its result from the shared folder or memory."""
+    from scriptorium.session import new_path
+
+    schema = load(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    out, at = new_path(spark, "stream"), new_path(spark, "stream-checkpoint")
+    if mode == "append":
+        made = build(stream)
+        made.writeStream.outputMode("append").option("checkpointLocation", at).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+        return spark.read.schema(made.schema).parquet(out)
+    made = build(stream)
+
+    def last(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    made.writeStream.outputMode("complete").option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(last).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(out)
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY user_id")
+def stream_dedupe(spark, sf_dir):
+    from scriptorium.streaming.news import first_seen
 
+    return _run_stream(spark, sf_dir, lambda s: first_seen(s, "user_id", horizon="400 days").select("user_id"), "append").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
-def queries():
-    return {}
 
+@query("SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_day_counts(spark, sf_dir):
+    from scriptorium.streaming.news import day_counts
 
-def oracle_sql():
-    return {}
+    return _run_stream(spark, sf_dir, lambda s: day_counts(s, "event_type", horizon="400 days"), "complete")
