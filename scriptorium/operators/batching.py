@@ -54,12 +54,12 @@ def small(sizes: Column, budget: int = 1200, most: int = 8) -> Column:
     return _fold(sizes, step)
 
 
-def batches(items: DataFrame, by: str, order: str, size: str, rule) -> DataFrame:
-    """(by, order, batch): a rule over each group's sizes in order; only order and size go through the group."""
+def batches(items: DataFrame, by: str, order: str, size: str, rule, out: str = "batch") -> DataFrame:
+    """(by, order, out): a rule over each group's sizes in order; only order and size go through the group."""
     rows = items.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("rows_"))
     numbered = rows.withColumn("batch_", rule(F.transform("rows_", lambda r: r[size].cast("bigint"))))
     zipped = F.explode(F.arrays_zip(F.col(f"rows_.{order}").alias("o"), F.col("batch_").alias("b"))).alias("z")
-    return numbered.select(by, zipped).select(by, F.col("z.o").alias(order), F.col("z.b").alias("batch"))
+    return numbered.select(by, zipped).select(by, F.col("z.o").alias(order), F.col("z.b").alias(out))
 
 
 def chunk(order: Column, by: list, k: int) -> Column:

@@ -144,9 +144,10 @@ def map_reduce(notes: DataFrame, model, merge, budget: int, by: str = "book", or
         if counts.where("n_ > 1").isEmpty():
             return rows.select(by, text)
         sized = rows.withColumn("size_", F.length(text))
-        groups = batches(sized, by, order, "size_", lambda s: within(s, budget))
+        groups = batches(sized, by, order, "size_", lambda s: within(s, budget), out="group_")
         # A group of one would never shrink: pairs are forced where nothing else would merge.
-        stuck = groups.groupBy(by).agg((F.max("batch") + 1 == F.count(F.lit(1))).alias("stuck_"))
-        groups = groups.join(stuck, by).withColumn("batch", F.when(F.col("stuck_"), F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / 2)).otherwise(F.col("batch"))).drop("stuck_")
-        joined = rows.join(groups, [by, order]).groupBy(by, "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda r: r[text]), "\n\n").alias("joined_"), F.count(F.lit(1)).alias("k_"))
-        rows = durable(joined.select(by, F.col("batch").alias(order), F.when(F.col("k_") > 1, merge(F.col("joined_"))).otherwise(F.col("joined_")).alias(text)), "merged-notes")
+        stuck = groups.groupBy(by).agg((F.max("group_") + 1 == F.count(F.lit(1))).alias("stuck_"))
+        pair = F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / 2)
+        groups = groups.join(stuck, by).withColumn("group_", F.when(F.col("stuck_"), pair).otherwise(F.col("group_"))).drop("stuck_")
+        joined = rows.join(groups, [by, order]).groupBy(by, "group_").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda r: r[text]), "\n\n").alias("joined_"), F.count(F.lit(1)).alias("k_"))
+        rows = durable(joined.select(by, F.col("group_").alias(order), F.when(F.col("k_") > 1, merge(F.col("joined_"))).otherwise(F.col("joined_")).alias(text)), "merged-notes")
