@@ -25,21 +25,20 @@ def fuzzy_pairs(threads: DataFrame, resolved: DataFrame, thread_id: str, thread:
 def not_contained(fresh: DataFrame, known: DataFrame, text: str, within: str, chars: int = 40) -> DataFrame:
     """Fresh rows whose first characters are in no known text, in any case (JN-10).
 
-    A prefix can only stand where its first word-like run stands whole or at the text's cut, so candidates
-    meet by 8-character grams of the known texts; the containment itself decides.
+    An equi join: known texts are cut into overlapping pieces, and these into all substrings of the few
+    lengths that the prefixes have (at most `chars` of them).
     """
-    gram = 8
-    rows = fresh.withColumn("id_", F.xxhash64(*fresh.columns)).withColumn("p_", F.lower(F.left(text, F.lit(chars))))
-    long, short = rows.where(F.length("p_") >= gram), rows.where(F.length("p_") < gram)
-    low = known.select(F.lower(within).alias("t_")).distinct()
-    at = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t_") - gram + 1), lambda i: F.substring(F.col("t_"), i, F.lit(gram))))).alias("g_")
-    grams = low.where(F.length("t_") >= gram).select("t_", at)
-    hits = long.select("id_", "p_", F.left("p_", F.lit(gram)).alias("g_")).distinct().join(grams, "g_").where(F.contains("t_", F.col("p_"))).select("id_").distinct()
-    # Prefixes shorter than a gram are few distinct strings; they are looked up by all substrings of their length.
-    sizes = F.explode(F.sequence(F.lit(1), F.lit(gram - 1))).alias("n_")
-    pieces = low.select("t_", sizes).where(F.length("t_") >= F.col("n_")).select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t_") - F.col("n_") + 1), lambda i: F.substring(F.col("t_"), i, F.col("n_"))))).alias("p_")).distinct()
-    small = short.select("id_", "p_").join(pieces, "p_").select("id_").union(short.where("p_ = ''").select("id_"))
-    return rows.join(hits.union(small).distinct(), "id_", "left_anti").drop("id_", "p_")
+    piece = 256
+    rows = fresh.withColumn("p_", F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(chars))))
+    lengths = [r[0] for r in rows.select(F.length("p_")).distinct().collect() if r[0]]
+    texts = known.select(F.lower(within).alias("t_")).where("t_ <> ''").distinct()
+    found = texts.limit(1).select(F.lit("").alias("p_"))  # the empty prefix is in any text
+    for n in lengths:
+        starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t_") - n + 1), F.lit(piece))).alias("i_")
+        cuts = texts.where(F.length("t_") >= n).select("t_", starts).select(F.substring(F.col("t_"), F.col("i_"), F.lit(piece + n - 1)).alias("c_"))
+        subs = cuts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("c_") - n + 1), lambda i: F.substring(F.col("c_"), i, F.lit(n)))).alias("p_"))
+        found = found.union(subs.join(rows.where(F.length("p_") == n).select("p_").distinct(), "p_", "left_semi").distinct())
+    return rows.join(found, "p_", "left_anti").drop("p_")
 
 
 # ---------------------------------------------------------------- state
