@@ -29,7 +29,7 @@ MODEL_BYTES = 512 << 20
 ALPHABET = 4096
 #: How sharply a difference in bits per character turns into a score.
 SHARPNESS = 4.0
-#: Bits per character above the worst calibration text at which a text is rejected.
+#: Bits per character above the worst calibration text, or above random letters, at which a text is rejected.
 SLACK_BITS = 2.0
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -143,7 +143,8 @@ def _fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
     model = fit(pdf.loc[~held, "text"].tolist())
     own = pdf["text"] if not held.any() else pdf.loc[held, "text"]
     bits, letters = cross_entropies(own.tolist(), [model])
-    worst = float(bits[letters].max()) if letters.any() else 0.0
+    # Not below what letters drawn at random from the language's own would take.
+    worst = max(float(np.log2(max(2, len(model[0][0])))), float(bits[letters].max()) if letters.any() else 0.0)
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [_pack(model)], "worst": [worst]})
 
 

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from scriptorium.session import durable
 
 NEAREST = 5
-#: Tables, and axes probed in each. Nearly uniform vectors of 64 dimensions, as the driver's, need 4 x 20 for a
-#: recall of 0.95; clustered ones need a fraction of it.
-TABLES, PROBES = 4, 20
+#: Tables, and axes probed in each. Nearly uniform vectors of 64 dimensions, as the driver's, need 4 x 32 for a
+#: recall of 0.98; clustered ones need a fraction of it.
+TABLES, PROBES = 4, 32
 ROUNDS = 3
 #: Entries and queries that meet in one task at most, about.
 ENTRY_BLOCK, QUERY_BLOCK = 8192, 2048
