@@ -82,7 +82,7 @@ def test_pack(spark):
 def test_edges(spark):
     assert check(spark, [(1, "same"), (1, "same")]).length.sum() == 4  # repeated rows are packed each for itself
     docs = spark.createDataFrame([(1, "x", "clash", b"y")], "doc_id long, text string, sequence_id string, ids binary")
-    assert packing.pack(docs, PATH).first()["sequence_id"] == 0
+    assert packing.pack(docs, PATH).first()["sequence_id"] % (1 << 40) == 0
     assert packing.pack(docs.limit(0), PATH).count() == 0
     assert packing.pack(spark.createDataFrame([(None, "x")], "doc_id long, text string"), PATH).first()["doc_id"] is None
     assert packing.pack(spark.createDataFrame([(1, None)], "doc_id long, text string"), PATH, end_id=None).count() == 0
