@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +12,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "spark.scriptorium.shipped"
+_FALLBACK = "file:///tmp/checkpoints"
+_LEFT_AT_EXIT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -31,11 +35,24 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints").rstrip("/")
+    return (found or _FALLBACK).rstrip("/")
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scriptorium/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/scriptorium/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    own = _own_dir(spark)
+    if own.startswith(_FALLBACK) and own not in _LEFT_AT_EXIT:  # tests: nothing stays behind
+        _LEFT_AT_EXIT.add(own)
+        atexit.register(shutil.rmtree, own.removeprefix("file://"), ignore_errors=True)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that were not written yet may still need them."""
+    remove(spark, _own_dir(spark))
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
