@@ -9,9 +9,9 @@
    of those, large (heavy) sets by single elements (l = 1), and light sets that may meet a heavy one by
    both. The boundary is the size at which pairs stop being cheaper than scanning inverted lists, by the
    mean list length that the sketch shows.
-4. In each inverted list, every class is first compared with the list's smallest and largest class only.
-   Classes linked that way form components, and then only pairs of different components that meet in a
-   list are compared. Members of one component need no further comparison, so a group of near copies
+4. In each inverted list, every class is first compared with two others only: the one whose elements are
+   the commonest, and one by a hash that changes from turn to turn. Classes linked that way form components; when few pairs of different
+   components are left that meet in a list, these are compared. Members of one component need no further comparison, so a group of near copies
    costs comparisons in proportion to its size, and no link between components is lost.
 5. Pairs are pruned by length, by their position in the order, and by a lower bound on the symmetric
    difference from parity bits; what is left is compared on the full sets.
@@ -19,6 +19,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,10 @@ PARITY_BITS = 1024
 #: A list that the sketch takes to be longer is dealt out by class while lists of one class are dropped.
 LIST_ROWS = 20_000
 LIGHT_LIMIT = 64
+#: Positions in a set's order that are told apart; the filter by position only gets weaker beyond.
+PLACES = (1 << 20) - 1
+#: Pairs of different groups in a list that may be left for each of its entries when stars end.
+PAIRS_A_POSTING = 16
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -74,23 +79,23 @@ def class_of(s: np.ndarray) -> tuple[int, int, int]:
     return _signed(int(cls[0] ^ (cls[1] >> np.uint64(1)) ^ cls[2])), _signed(int(a)), _signed(int(b))
 
 
-_LIGHT = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+_LIGHT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
 
 
 def _summaries(k: int):
-    """Batches of (doc_id, text) to a row for each document, and the task's share of the sketch as one row a block."""
+    """Batches of (doc_id, mark, text) to a row for each document, and the task's share of the sketch as one row a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.uint32)
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for _, s in shingle_sets(batch.column(1), k):
+            for _, s in shingle_sets(batch.column(2), k):
                 bits = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
                 for col, x in zip(cols, (len(s), *class_of(s), np.packbits(bits.astype(np.uint8)).tobytes())):
                     col.append(x)
                 np.add.at(counts, _slot(s), 1)
             n = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t.type) for c, t in zip(cols, list(_LIGHT)[1:6])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_LIGHT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t.type) for c, t in zip(cols, list(_LIGHT)[2:7])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_LIGHT)
         # A block goes out as its full counts, or as (slot, count) pairs where few of its slots are filled.
         blocks, packed = [], []
         for i, block in enumerate(counts.reshape(-1, BLOCK)):
@@ -100,7 +105,7 @@ def _summaries(k: int):
                 packed.append(b"D" + block.astype("<u4").tobytes() if len(at) > BLOCK // 2 else b"S" + np.stack([at.astype("<u4"), block[at]]).astype("<u4").tobytes())
         n = len(blocks)
         if n:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t.type) for t in list(_LIGHT)[:6]), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=_LIGHT)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t.type) for t in list(_LIGHT)[:7]), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=_LIGHT)
 
     return run
 
@@ -146,13 +151,17 @@ _POSTING = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.in
 
 
 def _postings(k: int, percent: int, levels, boundary: int):
-    """Batches of (doc_id, text) to index entries; meta is n << 32 | position in the order."""
+    """Batches of (doc_id, mark, text) to index entries; meta is n << 32 | commonness << 20 | position in the order.
+
+    A set's commonness is the mean level of its elements: in a group of near copies, the text that the others
+    were made from has the highest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = np.frombuffer(levels.value, np.uint8), set()
         for batch in batches:
             out = []
-            for _, s in shingle_sets(batch.column(1), k):
+            for _, s in shingle_sets(batch.column(2), k):
                 n, cls = len(s), class_of(s)[0]
                 if n < 2 or cls in seen:  # a set of one element is only near its equals; a task indexes a class once
                     continue
@@ -160,17 +169,18 @@ def _postings(k: int, percent: int, levels, boundary: int):
                 if len(seen) > 1_000_000:
                     seen.clear()
                 level, o = table[_slot(s)], int(least_overlap(n, percent))
+                meta = (n << 32) + (int(16 * level.mean()) << 20)
                 first = np.lexsort((s, level))[: n - o + 2]
                 if n <= boundary:
                     x = s[first]
                     i, j = np.triu_indices(len(x), 1)
                     pairs = mix(np.minimum(x[i], x[j]) * np.uint64(3) + np.maximum(x[i], x[j]), 0xBA5E)
-                    out.append((pairs, np.zeros(len(pairs), np.int32), cls, np.full(len(pairs), n << 32)))
+                    out.append((pairs, np.zeros(len(pairs), np.int32), cls, np.full(len(pairs), meta)))
                 if n > boundary or 100 * n >= percent * (boundary + 1):
                     at = first[: n - o + 1]
                     lists = np.ceil(2.0 ** (level[at] / 4.0) / LIST_ROWS).astype(np.int64)
                     salt = np.where(lists > 1, (cls & 0x7FFFFFFF) % np.maximum(lists, 1), 0).astype(np.int32)
-                    out.append((s[at], salt, cls, (n << 32) + np.arange(len(at))))
+                    out.append((s[at], salt, cls, meta + np.minimum(np.arange(len(at)), PLACES)))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), [len(x[0]) for x in out])), pa.array(np.concatenate([x[3] for x in out]))],
@@ -184,7 +194,7 @@ def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held, size = [], [], 0
-            for _, s in shingle_sets(batch.column(1), k):
+            for _, s in shingle_sets(batch.column(2), k):
                 rows.append(class_of(s)[0])
                 held.append(s.tobytes())
                 size += len(held[-1])
@@ -231,7 +241,7 @@ def _can_link(percent: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each input row.
+    """(doc_id, mark, n_shingles, component_id), a row for each input row; mark is xxhash64 of the text.
 
     Two documents link when 100 |A & B| >= percent |A | B| for their sets of shingle hashes (64 bits);
     component_id is the smallest identifier reachable by links. Null texts and texts without words have
@@ -240,8 +250,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     identifier joins its group without naming it. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    summaries = durable(texts.mapInArrow(_summaries(shingle), "doc_id long, n long, cls long, s1 long, s2 long, parity binary, block int, counts binary"), "shingle-sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
+    summaries = durable(texts.mapInArrow(_summaries(shingle), "doc_id long, mark long, n long, cls long, s1 long, s2 long, parity binary, block int, counts binary"), "shingle-sets")
     light = summaries.where("block IS NULL").drop("block", "counts")
 
     # The sketch has SLOTS bytes, whatever the input's size.
@@ -268,7 +278,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     shared = durable(shared.select("token", "cls", "meta").distinct(), "shared-postings")
 
     size = lambda c: F.shiftright(c, 32)
-    place = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+    place = lambda c: F.col(c).bitwiseAND(PLACES)
+    common = F.shiftright("meta", 20).bitwiseAND(0xFFF)
     known = classes.select("cls", "n", "parity")
 
     def fitting(pairs: DataFrame) -> DataFrame:
@@ -295,29 +306,59 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
 
-    # Every class against the ends of its lists.
-    ends = shared.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    star = shared.select("token", "cls").join(ends, "token").select("cls", F.explode(F.array("low", "high")).alias("end")).where("cls <> end")
-    star = durable(fitting(star.select(F.least("cls", "end").alias("a"), F.greatest("cls", "end").alias("b")).distinct()), "star-pairs")
-    found = durable(links(star), "star-links") if not star.isEmpty() else star
-
-    # Then what meets in a list across components.
-    groups = durable(components(found, "a", "b"), "class-groups")
-    own = shared.join(groups.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "meta", F.coalesce("component", "cls").alias("grp"))
-    mixed = own.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("token")
-    own = durable(own.join(mixed, "token"), "mixed-lists")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    found = tested = None
+    before = float("inf")
+    own = shared.withColumn("grp", F.col("cls"))
+    for turn in itertools.count():
+        # Every class against the list's commonest class and one that is another each turn, where these are of other groups.
+        mark = F.xxhash64(F.lit(turn), "cls")
+        ends = own.groupBy("token").agg(
+            F.max(F.struct(common.alias("x"), mark.alias("r"), "cls", "grp"))["cls"].alias("core"), F.max(F.struct(mark.alias("r"), "cls"))["cls"].alias("other"),
+            F.max(F.struct(common.alias("x"), mark.alias("r"), "cls", "grp"))["grp"].alias("core_grp"), F.max(F.struct(mark.alias("r"), "cls", "grp"))["grp"].alias("other_grp"),
+        )
+        end = F.explode(F.array(F.struct(F.col("core").alias("cls"), F.col("core_grp").alias("grp")), F.struct(F.col("other").alias("cls"), F.col("other_grp").alias("grp")))).alias("end")
+        star = own.select("token", "cls", "grp").join(durable(ends, "list-ends"), "token").select("cls", "grp", end).where("grp <> end.grp")
+        star = star.select(*ordered("cls", "end.cls")).distinct()
+        star = fitting(star if tested is None else star.join(tested, ["a", "b"], "left_anti"))
+        star = durable(star, "star-pairs")
+        fresh = star.isEmpty()
+        new = star if fresh else durable(links(star), "star-links")
+        tested = star if tested is None else tested.union(star)
+        found = new if found is None else found.union(new)
+        groups = components(found, "a", "b").withColumnRenamed("node", "cls")
+        own = shared.join(groups, "cls", "left").select("token", "cls", "meta", F.coalesce("component", "cls").alias("grp"))
+        mixed = own.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+        mixed = durable(mixed.where("n * n > within"), "mixed-lists")
+        own = durable(own.join(mixed.select("token"), "token"), "mixed-postings")
+        left = mixed.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        # Once few pairs are left for the lists' length, or a turn doesn't halve them, they are compared one by one.
+        if left["pairs"] <= PAIRS_A_POSTING * left["rows"] or left["pairs"] > before / 2 or fresh:
+            break
+        before = left["pairs"]
+
+    # Then what still meets in a list across groups.
     x, y = own.toDF("token", "a", "am", "ag"), own.toDF("token", "b", "bm", "bg")
     n, m = size("am"), size("bm")
     need = F.expr(f"({percent} * (shiftright(am, 32) + shiftright(bm, 32)) + {99 + percent}) div {100 + percent}")
     room = F.least(n - place("am"), m - place("bm")) >= need
     cross = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & room)
-    cross = durable(fitting(cross.select("a", "b").distinct().join(star, ["a", "b"], "left_anti")), "cross-pairs")
+    cross = durable(fitting(cross.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")), "cross-pairs")
     if not cross.isEmpty():
         found = durable(found.union(links(cross)), "links")
 
     ids = found.join(reps.toDF("a", "src"), "a").join(reps.toDF("b", "dst"), "b").select("src", "dst")
     whole = durable(components(ids), "components")
     named = classes.join(whole, F.col("rep") == F.col("node"), "left").select("cls", "n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    return light.where("n > 0").join(named, ["cls", "n", "s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(
-        light.where("n = 0").select("doc_id", "n", "doc_id")
+    return light.where("n > 0").join(named, ["cls", "n", "s1", "s2"]).select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id").union(
+        light.where("n = 0").select("doc_id", "mark", "n", "doc_id")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of linked documents, all columns: the one with the smallest identifier. Texts without words stay, one for each identifier."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    kept = found.groupBy("component_id", F.col("n_shingles") > 0).agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id_"), F.col("kept.mark").alias("kept_mark_"))
+    marked = docs.withColumn("mark_", F.xxhash64(text_col))
+    same = marked[id_col].eqNullSafe(kept["kept_id_"]) & (marked["mark_"] == kept["kept_mark_"])
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "mark_"]).drop("mark_")

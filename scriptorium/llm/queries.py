@@ -127,7 +127,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return near_duplicates(load(spark, sf_dir, "documents"))
+    return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 OP10_SQL = r"""
