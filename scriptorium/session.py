@@ -11,17 +11,17 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "spark.scriptorium.shipped"
+_SHIPPED: set[str] = set()
 _FALLBACK = "file:///tmp/checkpoints"
 _LEFT_AT_EXIT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once per Spark application."""
-    if spark.conf.get(_SHIPPED, "") == spark.sparkContext.applicationId:
+    if spark.sparkContext.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="scriptorium"), "scriptorium.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="scriptorium"), f"scriptorium-{uuid.uuid4().hex[:8]}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, names in os.walk(root):
             for name in sorted(names):
@@ -29,7 +29,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     spark.sparkContext.addPyFile(path)
-    spark.conf.set(_SHIPPED, spark.sparkContext.applicationId)
+    _SHIPPED.add(spark.sparkContext.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
