@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.words import mix
+from scriptorium.session import durable
 
 ORDER = 4
 #: Labelled rows that a language's model is fitted from, about; every fifth of them calibrates the rejection.
 SAMPLE_ROWS = 1000
+#: The languages' row counts are broadcast, so that only sampled texts are shuffled; their number is checked.
+LANGUAGES = 10_000
 #: The models are broadcast; their size follows from the sample's, and is checked.
 MODEL_BYTES = 512 << 20
 #: Letters that the unigram model reckons with.
@@ -162,10 +165,12 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str | Column = "doc_id",
 
     spark = docs.sparkSession
     labelled = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_"))
+    counts = durable(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_")), "languages")
+    if counts.count() > LANGUAGES:
+        raise ValueError("more than LANGUAGES labels; map them to languages first")
     share = F.lit(float(SAMPLE_ROWS)) / F.col("rows_") * F.lit(2.0**31)
     marked = labelled.withColumn("mark", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
-    sample = marked.join(counts, "lang").where(F.col("mark") < share).select("lang", "text", "mark")
+    sample = marked.join(F.broadcast(counts), "lang").where(F.col("mark") < share).select("lang", "text", "mark")
     fitted = sorted(sample.groupBy("lang").applyInPandas(_fit_language, "lang string, model binary, worst double").collect(), key=lambda r: r["lang"])
     if sum(len(r["model"]) for r in fitted) > MODEL_BYTES:
         raise ValueError("the languages' models exceed MODEL_BYTES; lower SAMPLE_ROWS or ORDER")
