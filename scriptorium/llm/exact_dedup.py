@@ -53,7 +53,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("text_sha256")
         .agg(best("run_keep").alias("keep_id"), F.sum("run_size").alias("group_size"))
     )
-    return local.select("doc_id", "text_sha256").join(groups, "text_sha256").select(
+    # Written out, the groups are a plain table: Spark can then split a digest that very many rows join.
+    return local.select("doc_id", "text_sha256").join(durable(groups, "exact-groups"), "text_sha256").select(
         "doc_id",
         "keep_id",
         "group_size",
