@@ -151,7 +151,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = _rows(docs, id_col, text_col)
     paths = durable(rows.where("doc_id IS NOT NULL").select("doc_id", "mark", "text").mapInArrow(_all_paths(window), _PATHS), "paths")
     nodes = paths.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("path").alias("low"), F.max("path").alias("high"))
-    through = paths.join(nodes.where("first < last").select("node", "first", (F.col("low") != F.col("high")).alias("branches")), "node")
+    # Aggregates are written out before they are joined: Spark splits a very common node only between plain tables.
+    nodes = durable(nodes.where("first < last").select("node", "first", (F.col("low") != F.col("high")).alias("branches")), "repeated-nodes")
+    through = paths.join(nodes, "node")
     through = durable(through, "repeated-paths")
 
     plain = through.where("NOT branches AND doc_id > first").select("doc_id", "mark", "start", (F.col("n") + window - 1).alias("words"), F.col("first").alias("source"))
@@ -162,9 +164,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     wanted = kinds.groupBy("at.doc_id", "at.mark").agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.n").alias("n"), "node", "path")).alias("wanted"))
     texts = rows.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"]).select("doc_id", "text", "wanted")
     opened = durable(texts.mapInArrow(_open_paths(window), _OPENED), "opened-windows")
-    sources = opened.groupBy("node", "window").agg(F.min("doc_id").alias("source"))
+    sources = durable(opened.groupBy("node", "window").agg(F.min("doc_id").alias("source")), "window-sources")
     by_kind = opened.join(sources, ["node", "window"]).groupBy("node", "path").agg(F.sort_array(F.collect_list(F.struct("place", "source"))).alias("windows"))
-    met = branching.select("doc_id", "mark", "node", "path", "start").join(by_kind, ["node", "path"])
+    met = branching.select("doc_id", "mark", "node", "path", "start").join(durable(by_kind, "path-windows"), ["node", "path"])
     met = met.select("doc_id", "mark", "start", F.explode(F.filter("windows", lambda x: x["source"] < F.col("doc_id"))).alias("x"))
     branched = met.select("doc_id", "mark", (F.col("start") + F.col("x.place")).alias("start"), F.lit(window).alias("words"), F.col("x.source").alias("source"))
     return plain.union(branched)
