@@ -40,6 +40,8 @@ PARITY_BITS = 1024
 #: A list that the sketch takes to be longer is dealt out by class while lists of one class are dropped.
 LIST_ROWS = 20_000
 LIGHT_LIMIT = 64
+#: Identifiers that may be broadcast; 16 MB of them.
+BROADCAST_ROWS = 1_000_000
 #: Positions in a set's order that are told apart; the filter by position only gets weaker beyond.
 PLACES = (1 << 20) - 1
 #: Pairs of different groups in a list that may be left for each of its entries when stars end.
@@ -296,8 +298,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         for x in held:
             wanted = wanted.join(x, "cls", "left_anti")
         wanted = durable(wanted.join(reps, "cls"), "wanted-sets")
-        if not wanted.isEmpty():
-            chosen = texts.join(wanted.select("rep").distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        n = wanted.count()
+        if n:
+            ids = wanted.select("rep").distinct()
+            # Texts are only shuffled where the identifiers are too many to broadcast.
+            chosen = texts.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
             made = chosen.mapInArrow(_sets(shingle), "cls long, elements binary").join(wanted.select("cls").distinct(), "cls", "left_semi")
             held.append(durable(made.dropDuplicates(["cls"]), "sets"))
         sets = held[0]
