@@ -22,6 +22,10 @@ from scriptorium.session import load, ship
 BATCH_ROWS = 512
 
 
+#: Identifiers that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
 def prepare(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -54,6 +58,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     good = load(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("good_id")).distinct()
     docs = load(spark, sf_dir, "documents")
+    # Texts are only shuffled where the labels are too many to broadcast.
+    good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     marked = docs.join(good, docs["doc_id"] == good["good_id"], "left")
     return score_documents(marked, F.col("good_id").isNotNull())
 
