@@ -181,7 +181,8 @@ def _postings(k: int, percent: int, levels, boundary: int):
                 if n > boundary or 100 * n >= percent * (boundary + 1):
                     at = first[: n - o + 1]
                     lists = np.ceil(2.0 ** (level[at] / 4.0) / LIST_ROWS).astype(np.int64)
-                    salt = np.where(lists > 1, (cls & 0x7FFFFFFF) % np.maximum(lists, 1), 0).astype(np.int32)
+                    # Dealt lists are numbered from 1: only undealt ones may be dropped for having one class.
+                    salt = np.where(lists > 1, 1 + (cls & 0x7FFFFFFF) % np.maximum(lists, 1), 0).astype(np.int32)
                     out.append((s[at], salt, cls, meta + np.minimum(np.arange(len(at)), PLACES)))
             if out:
                 yield pa.RecordBatch.from_arrays(

@@ -79,6 +79,20 @@ def test_near_duplicates_with_many_light_sets(spark, monkeypatch):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == near_brute(rows)
 
 
+@pytest.mark.parametrize("seed", [21, 22, 23, 24])
+def test_near_copies_of_hot_heavy_texts(spark, monkeypatch, seed):
+    rng, rows = random.Random(seed), []
+    for group in range(6):
+        text = [f"g{group}"] + words(rng, 120, 10_000)
+        near = text[:60] + [f"edit{group}"] + text[61:]
+        rows += [" ".join(text)] * 12 + [" ".join(near)]
+    rows = list(enumerate(rows))
+    monkeypatch.setattr(jaccard_join, "light_boundary", lambda *_: 1)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 4)  # a hot group's lists are dealt out, with one class in each
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, SCHEMA))
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()} == near_brute(rows)
+
+
 def test_boundary_grows_with_the_lists():
     found = [jaccard_join.light_boundary(x) for x in (1.0, 2.0, 4.0, 16.0)]
     assert found == sorted(found) and found[0] >= 1 and found[-1] > found[0]
