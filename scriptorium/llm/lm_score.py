@@ -1,96 +1,222 @@
 """Cross-entropy difference: how much more likely a text is under a target model than under a background model.
 
-Both models are bigram models with the same smoothing over one shared vocabulary of hashed slots, so
-their sizes do not depend on the input. Counts are taken over all documents: each task sums its own
-slots, and the sums are added up by blocks of slots. A text's score is its mean loss under the target
-model less that under the background model, in bits a token: lower is nearer to the target.
+Both models are bigram models with the same smoothing, over the words and bigrams that the corpus has,
+told apart by 64-bit hashes, so that they grow with it. Texts are worked on in chunks. A chunk's distinct
+words and bigrams are counted where it is read, and its counts dealt out by ranges of the
+hashes; each range is summed up in one place, and every chunk gets back the sums of its own entries. A
+text's score is its mean loss under the target model less that under the background model, in bits a
+token: lower is nearer to the target.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.words import mix, words
+from scriptorium.session import durable
 
-#: Bits of the shared vocabulary's slots, and of the bigrams'.
-WORD_BITS, PAIR_BITS = 18, 20
-BLOCK = 1 << 14
+#: Bits of the number of words that the unigram models reckon with at least; where the corpus has more, all of those.
+WORD_BITS = 18
 #: Words that the unigram model counts for in each bigram context.
 PRIOR = 32.0
+#: Tokens of a chunk, about; a longer text is one of its own.
+CHUNK_TOKENS = 1 << 20
+#: Bits of the number of ranges that hashes are dealt into.
+RANGE_BITS = 10
 
-# The table holds words, then bigram contexts, then bigrams.
-_CONTEXTS, _PAIRS = 1 << WORD_BITS, 2 << WORD_BITS
-_SLOTS = _PAIRS + (1 << PAIR_BITS)
+_COUNTS = "chunk long, part int, words long, learned long, tokens long, packed binary"
 
 
-def slots(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The table's slots of each word, of the word before it (or a text's start) as a context, and of both."""
-    word = mix(hashes, 21) >> np.uint64(64 - WORD_BITS)
+#: The key of a text's start as a context.
+_START = mix(np.array([1], np.uint64), 22) & ~np.uint64(1)
+
+
+def keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each word, of the word before it (or a text's start), and of both; those of words are odd, the others even."""
+    word = mix(hashes, 21) | np.uint64(1)
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    start = mix(np.array([1], np.uint64), 22)[0] >> np.uint64(64 - WORD_BITS)
-    firsts = at[:-1][np.diff(at) > 0]
-    before[firsts] = start
-    pair = mix(before * np.uint64(1 << WORD_BITS) + word, 23) >> np.uint64(64 - PAIR_BITS)
-    return word.astype(np.int64), before.astype(np.int64) + _CONTEXTS, pair.astype(np.int64) + _PAIRS
+    before[at[:-1][np.diff(at) > 0]] = _START
+    return word, before, mix(before * np.uint64(3) + word, 23) & ~np.uint64(1)
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers, the first of them ascending, each as a frame of planes of bytes, after the frames' sizes."""
+    frames = []
+    for i, x in enumerate(columns):
+        x = np.diff(x, prepend=np.zeros(1, np.uint64)) if i == 0 else x.astype(np.uint64)
+        frames.append(zstandard.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1))
+    return np.array([len(x) for x in frames], "<u4").tobytes() + b"".join(frames)
+
+
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    columns, start = [], 4 * n
+    for size in np.frombuffer(packed, "<u4", n).tolist():
+        planes = np.frombuffer(zstandard.decompress(packed[start : start + size]), np.uint8)
+        columns.append(planes.reshape(8, -1).T.copy().view(np.uint64).reshape(-1))
+        start += size
+    columns[0] = np.cumsum(columns[0])
+    return np.stack(columns)
+
+
+def _tally(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every = np.concatenate(hashes)
+    hashes.clear()
+    every.sort()
+    first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)])
+    return every[first], np.diff(first, append=len(every))
+
+
+def _chunks(chunk_tokens: int):
+    """(doc_id, text, whether it is in the target) to chunks of rows."""
+
+    def chunk(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, held = TaskContext.get().partitionId() << 32, 0, []
+        for batch in batches:
+            for w in words(batch.column(1)):
+                held.append(batch.slice(w.first, len(w.at) - 1))
+                size += len(w.hashes)
+                if size >= chunk_tokens:
+                    yield chunk(number, held)
+                    number, size, held = number + 1, 0, []
+        if held:
+            yield chunk(number, held)
+
+    return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, whether it is in the target) to the task's counts as (model, block, counts); model 0 is the background."""
-    counts = np.zeros((2, _SLOTS), np.uint32)
+    """Chunks to the counts of their keys in each range: in the target and in all, then those of them that end a text.
+
+    A word's count as a context is that of its occurrences less those that end a text.
+    """
     for batch in batches:
-        target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for w in words(batch.column(0)):
-            n = len(w.at) - 1
-            own = np.repeat(target[w.first : w.first + n], np.diff(w.at))
-            found = slots(w.hashes, w.at)
-            for model, some in ((0, slice(None)), (1, own)):
-                for x in (y[some] for y in found):
-                    np.add.at(counts[model], x, 1)
-    model, block, packed = [], [], []
-    for m in range(2):
-        for i, x in enumerate(counts[m].reshape(-1, BLOCK)):
-            if x.any():
-                model.append(m)
-                block.append(i)
-                packed.append(zlib.compress(x.astype("<u4").tobytes(), 1))
-    yield pa.RecordBatch.from_arrays([pa.array(model, pa.int32()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())], names=["model", "block", "counts"])
+        for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
+            found: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for rows in pa.ipc.open_stream(text.as_buffer()):
+                target = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                for w in words(rows.column(1)):
+                    size = np.diff(w.at)
+                    some = target[w.first : w.first + len(size)]
+                    word, _, pair = keys(w.hashes, w.at)
+                    mine, full = np.repeat(some, size), size > 0
+                    ends = word[w.at[1:][full] - 1]
+                    for to, x in zip(found, ((word[mine], pair[mine], np.repeat(_START, (full & some).sum())), (word, pair, np.repeat(_START, full.sum())), (ends[some[full]],), (ends,))):
+                        to += x
+            tallies = [_tally(x) for x in found]
+            own = tallies[1][0]
+            columns = [own]
+            for x, n in tallies:
+                columns.append(np.zeros(len(own), np.int64))
+                columns[-1][np.searchsorted(own, x)] = n
+            edges = np.searchsorted(own >> np.uint64(64 - RANGE_BITS), np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64))
+            packed = [_pack([x[a:b] for x in columns]) for a, b in zip(edges[:-1], edges[1:])]
+            none = pa.nulls(len(packed), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(packed), chunk)), pa.array(range(len(packed)), pa.int32()), none, none, none, pa.array(packed, pa.binary())], names=["chunk", "part", "words", "learned", "tokens", "packed"]
+            )
 
 
 def _add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BLOCK, np.int64)
+    """A range's counts of all chunks to their sums, for each chunk at its own keys, with the range's distinct words and its tokens."""
+    chunks, parts = [], []
     for batch in tables:
-        for x in batch.column("counts").to_pylist():
-            raw = zlib.decompress(x)
-            total += np.frombuffer(raw, "<u4" if len(raw) == 4 * BLOCK else "<i8")
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["model", "block", "counts"]
-    )
-
-
-def own_counts(doc: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """How often each token's slot occurs in its own document."""
-    _, of, counts = np.unique(doc * _SLOTS + slot, return_inverse=True, return_counts=True)
+        chunks += batch.column("chunk").to_pylist()
+        parts += [_unpack(x, 5) for x in batch.column("packed").to_pylist()]
+    at = np.cumsum([0, *(x.shape[1] for x in parts)])
+    every = np.concatenate(parts, axis=1)
+    del parts
+    known, of = np.unique(every[0], return_inverse=True)
+    sums = np.stack([np.bincount(of, weights=x, minlength=len(known)) for x in every[1:]])
+    word = (known & np.uint64(1)).astype(bool)
+    learned, tokens = (int(x[word].sum()) for x in sums[:2])
+    for i, chunk in enumerate(chunks):
+        mine = of[at[i] : at[i + 1]]
+        # The zeros stand where keys would.
+        packed = _pack([np.zeros(len(mine), np.uint64), *(x[mine] for x in sums)])
+        one = [chunk, key[0].as_py(), int(word.sum()), learned, tokens, packed]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, (pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.binary()))], names=["chunk", "part", "words", "learned", "tokens", "packed"])
+
+
+def own_counts(doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """How often each token's entry, by its place among size, occurs in its own document."""
+    _, of, counts = np.unique(doc * size + place, return_inverse=True, return_counts=True)
     return counts[of]
 
 
-def losses(table: np.ndarray, found: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...] | None) -> np.ndarray:
-    """Bits of each token under a model: bigrams with a Dirichlet prior of the unigrams, those with one count added for each slot.
+def losses(counts: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], tokens: float, vocabulary: int) -> np.ndarray:
+    """Bits of each token under a model: bigrams with a Dirichlet prior of the unigrams, those with one count added for each word.
 
-    own, a document's counts of the same slots, are taken off, so that no text is judged by itself; the
+    own, a document's counts of the same entries, are taken off, so that no text is judged by itself; the
     unigrams' total is left as it is.
     """
-    word, before, pair = (table[x] - y for x, y in zip(found, own or (0, 0, 0)))
-    single = (word + 1.0) / (table[:_CONTEXTS].sum(dtype=np.float64) + _CONTEXTS)
+    word, before, pair = (x - y for x, y in zip(counts, own))
+    single = (word + 1.0) / (tokens + vocabulary)
     return -np.log2((pair + PRIOR * single) / (before + PRIOR))
 
 
+def _score(least_words: int):
+    """A chunk's rows and its sums of each range to its documents' scores."""
+
+    def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        vocabulary, totals, text = 0, [0, 0], b""
+        for batch in tables:
+            for part, known, learned, tokens, packed in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "learned", "tokens", "packed"))):
+                if part is None:
+                    text = packed
+                else:
+                    sums[part] = _unpack(packed, 5)[1:]
+                    vocabulary, totals = vocabulary + known, [totals[0] + learned, totals[1] + tokens]
+        table = np.concatenate([sums.pop(i) for i in sorted(sums)], axis=1).astype(np.float64)
+        contexts = table[:2] - table[2:]
+        vocabulary = max(vocabulary, least_words)
+        held, sizes, found = [], [], []
+        for batch in pa.ipc.open_stream(text):
+            for w in words(batch.column(1)):
+                held.append(batch.slice(w.first, len(w.at) - 1))
+                sizes.append(np.diff(w.at))
+                found += keys(w.hashes, w.at)
+        own, of = np.unique(np.concatenate(found), return_inverse=True)
+        del found
+        if len(own) != table.shape[1]:
+            raise ValueError("a chunk's sums are not those of its keys")
+        start = 0
+        for batch, size in zip(held, sizes):
+            n = int(size.sum())
+            places = of[start : start + 3 * n].reshape(3, n)
+            start += 3 * n
+            doc = np.repeat(np.arange(len(size)), size)
+            less = tuple(own_counts(doc, x, len(own)) for x in places)
+            mine = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), size)
+            mean = []
+            for m, off in enumerate((tuple(x * mine for x in less), less)):
+                counts = (table[m, places[0]], contexts[m, places[1]], table[m, places[2]])
+                bits = losses(counts, off, float(totals[m]), vocabulary)
+                mean.append(np.bincount(doc, weights=bits, minlength=len(size)) / np.maximum(size, 1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(size.astype(np.int64)), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
+            )
+
+    # Spark reads how groups are passed from the hints, which are not in a closure's reach as names.
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "tables": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
 def score_documents(docs: DataFrame, in_target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, loss_target, loss_background, score), a row for each input row.
 
@@ -100,35 +226,10 @@ def score_documents(docs: DataFrame, in_target: Column, id_col: str = "doc_id",
     target rows the target model is uniform. Repeated rows count each time. Whole texts count; an empty
     table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(in_target, F.lit(False)).alias("target"))
-    parts = rows.mapInArrow(_count, "model int, block int, counts binary").withColumn("part", F.floor(F.spark_partition_id() / 128))
-    parts = parts.groupBy("model", "block", "part").applyInArrow(_add, "model int, block int, counts binary")
-    table = np.zeros((2, _SLOTS), np.int64)
-    for r in parts.groupBy("model", "block").applyInArrow(_add, "model int, block int, counts binary").collect():  # of fixed size
-        table[r["model"], r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    shared = spark.sparkContext.broadcast(table.astype(np.float64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, target = shared.value
-        for batch in batches:
-            n = np.zeros(len(batch), np.int64)
-            mean = np.zeros((2, len(batch)))
-            learned = batch.column(2).to_numpy(zero_copy_only=False)
-            for w in words(batch.column(1)):
-                size = np.diff(w.at)
-                here = slice(w.first, w.first + len(size))
-                n[here] = size
-                found = slots(w.hashes, w.at)
-                doc = np.repeat(np.arange(len(size)), size)
-                own = tuple(own_counts(doc, x) for x in found)
-                mine = np.repeat(learned[here], size)
-                for i, (model, less) in enumerate(((target, tuple(x * mine for x in own)), (background, own))):
-                    bits = losses(model, found, less)
-                    mean[i, here] = np.bincount(doc, weights=bits, minlength=len(size)) / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
-            )
-
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(in_target, F.lit(False)).alias("target"))
-    return named.mapInArrow(run, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(in_target, F.lit(False)).alias("target"))
+    # Written out, so that counts and scores are those of one reading.
+    chunks = durable(rows.mapInArrow(_chunks(CHUNK_TOKENS), "chunk long, packed binary"), "scored-chunks")
+    sums = chunks.mapInArrow(_count, _COUNTS).groupBy("part").applyInArrow(_add, _COUNTS)
+    none = F.lit(None)
+    whole = chunks.select("chunk", none.cast("int").alias("part"), *(none.cast("long").alias(x) for x in ("words", "learned", "tokens")), "packed")
+    return sums.union(whole).groupBy("chunk").applyInArrow(_score(1 << WORD_BITS), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -328,3 +328,31 @@ def test_scores(spark):
     assert mean(True) < mean(False)
     assert lm_score.score_documents(docs.limit(0), F.col("good")).count() == 0
     assert lm_score.score_documents(docs, F.lit(False)).count() == len(rows)
+
+
+def scored(spark, rows):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good boolean").repartition(3)
+    got = {r["doc_id"]: (r["n_tokens"], r["loss_target"], r["loss_background"], r["score"]) for r in lm_score.score_documents(docs, F.col("good")).collect()}
+    return [got[d] for d, _, _ in rows]
+
+
+def test_scores_tell_all_words_apart(spark):
+    """Of thousands of words and bigrams, none is counted for another."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(400)), i % 2 == 1) for i in range(40)]
+    for got, want in zip(scored(spark, rows), scores_brute(rows)):
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_vocabulary_grows(spark, monkeypatch):
+    rng = random.Random(10)
+    rows = [(i, " ".join(f"w{(i + 7 * k + rng.randrange(40)) % 256}" for k in range(90)), i % 3 == 1) for i in range(60)] + [(60, None, True), (61, " ", False)]
+    assert len({w for _, t, _ in rows for w in (t or "").split()}) == 256
+    monkeypatch.setattr(lm_score, "WORD_BITS", 2)
+    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 500, raising=False)
+    got = scored(spark, rows)
+    monkeypatch.setattr(lm_score, "WORD_BITS", 8)  # as many as there are
+    for x, want in zip(got, scores_brute(rows)):
+        assert x == pytest.approx(want, abs=1e-9)
