@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,9 +22,9 @@ from scriptorium.llm.words import mix
 from scriptorium.session import durable
 
 ORDER = 4
-#: Labelled rows that a language's model is fitted from, about; every fifth of them calibrates the rejection.
+#: Distinct labelled texts that a language's model is fitted from at most; every fifth of them calibrates the rejection.
 SAMPLE_ROWS = 1000
-#: The languages' row counts are broadcast, so that only sampled texts are shuffled; their number is checked.
+#: The samples' marks are broadcast, so that only sampled texts are shuffled; the languages' number is checked.
 LANGUAGES = 10_000
 #: The models are broadcast; their size follows from the sample's, and is checked.
 MODEL_BYTES = 512 << 20
@@ -151,11 +151,22 @@ def _fit_language(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "model": [_pack(model)], "worst": [worst]})
 
 
+def _least_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language, mark) to the SAMPLE_ROWS smallest distinct marks of each language in the task."""
+    least: dict[str, np.ndarray] = {}
+    for batch in batches:
+        langs, marks = batch.column(0).to_pandas(), batch.column(1).to_numpy()
+        for lang, at in langs.groupby(langs).indices.items():
+            least[lang] = np.unique(np.append(least.get(lang, np.zeros(0, np.int64)), marks[at]))[:SAMPLE_ROWS]
+    for lang, found in least.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64())], names=["lang", "mark"])
+
+
 def identify(docs: DataFrame, train: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang_pred, score, bits, rejected), a row for each row of docs.
 
     train gives labelled rows in the columns of the same names; those with a null text or language are
-    left out, and a sample of about SAMPLE_ROWS for each language is read, chosen by hashes of the texts.
+    left out, and each language's model is fitted from its SAMPLE_ROWS distinct texts with the smallest hashes, or from all if fewer.
     Texts that are null or without letters are `und` with score 0 and rejected, as is everything when
     there is nothing to learn from. bits is the cross-entropy per character. Of equal languages the
     first by name wins. Whole texts count; other columns are ignored. id_col may be any expression, as a
@@ -165,12 +176,14 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str | Column = "doc_id",
 
     spark = docs.sparkSession
     labelled = train.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = durable(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_")), "languages")
-    if counts.count() > LANGUAGES:
+    marked = labelled.withColumn("mark", F.xxhash64("text").bitwiseAND(0x7FFFFFFFFFFFFFFF))
+    # Texts that share a mark count as one; each task keeps the smallest marks it has, and the least of those are taken.
+    marks = marked.select("lang", "mark").mapInArrow(_least_marks, "lang string, mark long").distinct()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
+    chosen = durable(marks.withColumn("place", first).where(F.col("place") <= SAMPLE_ROWS).drop("place"), "sample-marks")
+    if chosen.select("lang").distinct().count() > LANGUAGES:
         raise ValueError("more than LANGUAGES labels; map them to languages first")
-    share = F.lit(float(SAMPLE_ROWS)) / F.col("rows_") * F.lit(2.0**31)
-    marked = labelled.withColumn("mark", F.xxhash64("text").bitwiseAND(0x7FFFFFFF))
-    sample = marked.join(F.broadcast(counts), "lang").where(F.col("mark") < share).select("lang", "text", "mark")
+    sample = marked.join(F.broadcast(chosen), ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))
     fitted = sorted(sample.groupBy("lang").applyInPandas(_fit_language, "lang string, model binary, worst double").collect(), key=lambda r: r["lang"])
     if sum(len(r["model"]) for r in fitted) > MODEL_BYTES:
         raise ValueError("the languages' models exceed MODEL_BYTES; lower SAMPLE_ROWS or ORDER")

@@ -154,6 +154,16 @@ def test_language_edges(spark):
     assert language_id.identify(docs.limit(0), train).count() == 0
 
 
+@pytest.mark.parametrize("texts", [1, 3])
+def test_languages_of_few_texts(spark, texts):
+    """Copies of few texts teach their language, too, and count once."""
+    few = {lang: [f"{body} {i}x" for i in "abc"[:texts]] for lang, body in {"en": "the cat and the dog went home", "fr": "le chat et la souris sont là", "de": "der hund und die katze gehen", "es": "el perro y los gatos se van"}.items()}
+    train = spark.createDataFrame([(i, x[i % texts], lang) for lang, x in few.items() for i in range(3000)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, x[0], None) for i, x in enumerate(few.values())], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, train).collect()}
+    assert got == dict(enumerate(few))
+
+
 # ---------------------------------------------------------------- mixing
 
 
