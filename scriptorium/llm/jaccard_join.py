@@ -2,13 +2,15 @@
 
 1. Every text becomes its set of shingle hashes. Texts with equal sets form a class; only classes are
    joined, so copies are never paired.
-2. A sketch of fixed size counts all shingles. Each set is ordered from rare to common by it; the order
-   only has to be the same for all, so the sketch's error costs time, never links.
+2. All shingles are counted: texts are worked on in chunks, a chunk's distinct shingles are dealt out by
+   ranges of slots, several for each shingle of the input, summed up there, and every chunk gets back how
+   common its own are. Each set is ordered from rare to common; the order only has to be the same for all,
+   so shingles that share a slot cost time, never links. What no other set has is not indexed at all.
 3. With J >= t, a set of n shares at least o = ceil(t n) elements with any partner, and two sets that
    share o elements share l of their first n - o + l. Small (light) sets are indexed by all pairs (l = 2)
    of those, large (heavy) sets by single elements (l = 1), and light sets that may meet a heavy one by
    both. The boundary is the size at which pairs stop being cheaper than scanning inverted lists, by the
-   mean list length that the sketch shows.
+   mean length of the lists that were counted.
 4. In each inverted list, every class is first compared with two others only: the one whose elements are
    the commonest, and one by a hash that changes from turn to turn. Classes linked that way form components; when few pairs of different
    components are left that meet in a list, these are compared. Members of one component need no further comparison, so a group of near copies
@@ -20,38 +22,39 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.components import components
-from scriptorium.llm.words import grams, mix, words
+from scriptorium.llm.rows import keep_rows
+from scriptorium.llm.words import chunks, grams, mix, pack_sorted, unpack_sorted, words
 from scriptorium.session import durable
 
 SHINGLE = 5
 PERCENT = 75
-#: Slots of the sketch, and of a block of it.
-SLOTS, BLOCK = 1 << 21, 1 << 14
 PARITY_BITS = 1024
-#: A list that the sketch takes to be longer is dealt out by class while lists of one class are dropped.
+#: Bytes of text in a chunk, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 6 << 20
+#: Bytes of text for each shingle, about, the slots for each, and the shingles that are summed up in one range, about.
+SHINGLE_BYTES, SLOTS_EACH, RANGE_SHINGLES = 6, 8, 1 << 22
+#: Ranges at least, so that all cores have some.
+LEAST_RANGES = 64
+#: A list of more entries is dealt out by class while lists of one class are dropped.
 LIST_ROWS = 20_000
 LIGHT_LIMIT = 64
-#: Identifiers that may be broadcast; 16 MB of them.
-BROADCAST_ROWS = 1_000_000
 #: Positions in a set's order that are told apart; the filter by position only gets weaker beyond.
 PLACES = (1 << 20) - 1
 #: Pairs of different groups in a list that may be left for each of its entries when stars end.
 PAIRS_A_POSTING = 16
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-
-
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of each text; a shorter text has its whole sequence as the only one, one without words none."""
     for w in words(column, lower=True):
@@ -81,61 +84,74 @@ def class_of(s: np.ndarray) -> tuple[int, int, int]:
     return _signed(int(cls[0] ^ (cls[1] >> np.uint64(1)) ^ cls[2])), _signed(int(a)), _signed(int(b))
 
 
-_LIGHT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+_SUMMARY = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("parity", pa.binary()), ("part", pa.int32()), ("packed", pa.binary())])
+_LEVEL = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("packed", pa.binary()), ("total", pa.float64()), ("squares", pa.float64())])
+_INDEX = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("meta", pa.int64()), ("elements", pa.binary())])
+_SUMMARY_SQL = "chunk long, doc_id long, mark long, n long, cls long, s1 long, s2 long, parity binary, part int, packed binary"
+_LEVEL_SQL = "chunk long, part int, packed binary, total double, squares double"
+_INDEX_SQL = "token long, salt int, cls long, meta long, elements binary"
 
 
-def _summaries(k: int):
-    """Batches of (doc_id, mark, text) to a row for each document, and the task's share of the sketch as one row a block."""
+def _rows_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """Those columns, the schema's others null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.uint32)
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for _, s in shingle_sets(batch.column(2), k):
-                bits = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-                for col, x in zip(cols, (len(s), *class_of(s), np.packbits(bits.astype(np.uint8)).tobytes())):
-                    col.append(x)
-                np.add.at(counts, _slot(s), 1)
-            n = len(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t.type) for c, t in zip(cols, list(_LIGHT)[2:7])), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_LIGHT)
-        # A block goes out as its full counts, or as (slot, count) pairs where few of its slots are filled.
-        blocks, packed = [], []
-        for i, block in enumerate(counts.reshape(-1, BLOCK)):
-            at = np.flatnonzero(block)
-            if len(at):
-                blocks.append(i)
-                packed.append(b"D" + block.astype("<u4").tobytes() if len(at) > BLOCK // 2 else b"S" + np.stack([at.astype("<u4"), block[at]]).astype("<u4").tobytes())
-        n = len(blocks)
-        if n:
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(n, t.type) for t in list(_LIGHT)[:7]), pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=_LIGHT)
 
-    return run
+def _opened(packed, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """The batches of a chunk of (doc_id, mark, text), and their sets."""
+    for rows in pa.ipc.open_stream(packed):
+        yield rows, [s for _, s in shingle_sets(rows.column(2), k)]
 
 
-def _sum_blocks(tables: Iterator[pa.RecordBatch]) -> np.ndarray:
-    total = np.zeros(BLOCK, np.int64)
-    for batch in tables:
-        for x in batch.column("counts").to_pylist():
-            if x[:1] == b"S":
-                at, n = np.frombuffer(x, "<u4", offset=1).reshape(2, -1)
-                total[at] += n
-            else:
-                total += np.frombuffer(x, "<u4" if x[:1] == b"D" else "<i8", offset=1)
-    return total
+def _slots(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)) >> np.uint64(64 - bits)
+
 
+def _summaries(k: int, bits: int, range_bits: int):
+    """Chunks to a row for each document, and one for each range with the slots of the chunk's classes, repeated as often as they occur."""
 
-def _merge_blocks(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([b"Q" + _sum_blocks(tables).tobytes()], pa.binary())], names=["block", "counts"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
+                classes: dict[int, np.ndarray] = {}
+                for rows, sets in _opened(packed.as_buffer(), k):
+                    cols: list[list] = [[] for _ in range(5)]
+                    for s in sets:
+                        bits_of = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                        cls = class_of(s)
+                        for col, x in zip(cols, (len(s), *cls, np.packbits(bits_of.astype(np.uint8)).tobytes())):
+                            col.append(x)
+                        if len(s) > 1:
+                            classes[cls[0]] = s
+                    yield _rows_of(_SUMMARY, chunk=np.full(len(rows), chunk), doc_id=rows.column(0), mark=rows.column(1), **dict(zip(("n", "cls", "s1", "s2", "parity"), cols)))
+                slots = _slots(list(classes.values()), bits)
+                slots.sort()
+                edges = np.searchsorted(slots >> np.uint64(bits - range_bits), np.arange((1 << range_bits) + 1, dtype=np.uint64))
+                found = [i for i in range(1 << range_bits) if edges[i] < edges[i + 1]]
+                if found:
+                    yield _rows_of(_SUMMARY, chunk=np.full(len(found), chunk), part=found, packed=[pack_sorted(slots[edges[i] : edges[i + 1]]) for i in found])
 
+    return run
 
-def _level_blocks(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four levels for each doubling of the count."""
-    total = _sum_blocks(tables)
-    levels = np.floor(4 * np.log2(total + 1)).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([levels.tobytes()], pa.binary()), pa.array([float(total.sum())]), pa.array([float((total.astype(float) ** 2).sum())])],
-        names=["block", "levels", "total", "squares"],
-    )
+
+def _levels(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's slots of all chunks to how common they are, for each chunk at its own distinct slots.
+
+    0 stands for a slot that occurs once, else there are four levels for each doubling. A row without a
+    chunk has the entries of lists of two and more, and the sum of these lists' squared lengths.
+    """
+    of, parts = [], []
+    for batch in tables:
+        of += batch.column("chunk").to_pylist()
+        parts += [unpack_sorted(x) for x in batch.column("packed").to_pylist()]
+    known, counts = np.unique(np.concatenate(parts), return_counts=True)
+    levels = np.where(counts > 1, 1 + np.floor(4 * np.log2(counts)), 0).astype(np.uint8)
+    many = counts[counts > 1].astype(float)
+    yield _rows_of(_LEVEL, part=[key[0].as_py()], total=[many.sum()], squares=[(many * many).sum()])
+    for chunk, x in zip(of, parts):
+        own = x[np.append(True, x[1:] != x[:-1])]
+        yield _rows_of(_LEVEL, chunk=[chunk], part=[key[0].as_py()], packed=[zstandard.compress(levels[np.searchsorted(known, own)].tobytes(), 1)])
 
 
 def light_boundary(list_rows: float, percent: int = PERCENT) -> int:
@@ -149,64 +165,71 @@ def light_boundary(list_rows: float, percent: int = PERCENT) -> int:
     return found
 
 
-_POSTING = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()), ("meta", pa.int64())])
+def _index(k: int, percent: int, bits: int, boundary: int):
+    """A chunk's texts, levels and own classes to index entries, and to the sets of the classes that have some.
 
-
-def _postings(k: int, percent: int, levels, boundary: int):
-    """Batches of (doc_id, mark, text) to index entries; meta is n << 32 | commonness << 20 | position in the order.
-
-    A set's commonness is the mean level of its elements: in a group of near copies, the text that the others
-    were made from has the highest.
+    meta is n << 32 | commonness << 20 | position in the order. A set's commonness is the mean level of its
+    elements: in a group of near copies, the text that the others were made from has the highest.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = np.frombuffer(levels.value, np.uint8), set()
-        for batch in batches:
-            out = []
-            for _, s in shingle_sets(batch.column(2), k):
-                n, cls = len(s), class_of(s)[0]
-                if n < 2 or cls in seen:  # a set of one element is only near its equals; a task indexes a class once
-                    continue
-                seen.add(cls)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                level, o = table[_slot(s)], int(least_overlap(n, percent))
-                meta = (n << 32) + (int(16 * level.mean()) << 20)
-                first = np.lexsort((s, level))[: n - o + 2]
-                if n <= boundary:
-                    x = s[first]
-                    i, j = np.triu_indices(len(x), 1)
-                    pairs = mix(np.minimum(x[i], x[j]) * np.uint64(3) + np.maximum(x[i], x[j]), 0xBA5E)
-                    out.append((pairs, np.zeros(len(pairs), np.int32), cls, np.full(len(pairs), meta)))
-                if n > boundary or 100 * n >= percent * (boundary + 1):
-                    at = first[: n - o + 1]
-                    lists = np.ceil(2.0 ** (level[at] / 4.0) / LIST_ROWS).astype(np.int64)
-                    # Dealt lists are numbered from 1: only undealt ones may be dropped for having one class.
-                    salt = np.where(lists > 1, 1 + (cls & 0x7FFFFFFF) % np.maximum(lists, 1), 0).astype(np.int32)
-                    out.append((s[at], salt, cls, meta + np.minimum(np.arange(len(at)), PLACES)))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([x[0] for x in out]).view(np.int64)), pa.array(np.concatenate([x[1] for x in out])), pa.array(np.repeat(np.array([x[2] for x in out], np.int64), [len(x[0]) for x in out])), pa.array(np.concatenate([x[3] for x in out]))],
-                    schema=_POSTING,
-                )
-
-    return run
-
-
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, held, size = [], [], 0
-            for _, s in shingle_sets(batch.column(2), k):
-                rows.append(class_of(s)[0])
-                held.append(s.tobytes())
-                size += len(held[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(held, pa.binary())], names=["cls", "elements"])
-                    rows, held, size = [], [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(held, pa.binary())], names=["cls", "elements"])
-
+    def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels: dict[int, bytes] = {}
+        text, own = None, set()
+        for batch in tables:
+            for part, cls, packed in zip(*(batch.column(x).to_pylist() for x in ("part", "cls", "packed"))):
+                if cls is not None:
+                    own.add(cls)
+                elif part is not None:
+                    levels[part] = zstandard.decompress(packed)
+                else:
+                    text = packed
+        table = np.frombuffer(b"".join(levels.pop(i) for i in sorted(levels)), np.uint8)
+        classes: dict[int, np.ndarray] = {}
+        for _, sets in _opened(text, k):
+            classes |= {class_of(s)[0]: s for s in sets if len(s) > 1}
+        distinct, of = np.unique(_slots(list(classes.values()), bits), return_inverse=True)
+        if len(distinct) != len(table):
+            raise ValueError("a chunk's levels are not those of its slots")
+        out, size, start = [], 0, 0
+        for cls, s in classes.items():
+            n, level = len(s), table[of[start : start + len(s)]]
+            start += n
+            if cls not in own:
+                continue
+            o = int(least_overlap(n, percent))
+            first = np.lexsort((s, level))[: n - o + 2]
+            common = level[first] > 0
+            if not common.any():
+                continue
+            meta, made = (n << 32) + (int(16 * level.mean()) << 20), []
+            if n <= boundary:
+                x = s[first[common]]
+                i, j = np.triu_indices(len(x), 1)
+                pairs = mix(np.minimum(x[i], x[j]) * np.uint64(3) + np.maximum(x[i], x[j]), 0xBA5E)
+                made.append((pairs, np.zeros(len(pairs), np.int32), np.full(len(pairs), meta)))
+            if n > boundary or 100 * n >= percent * (boundary + 1):
+                places = np.flatnonzero(common[: n - o + 1])
+                at = first[places]
+                lists = np.ceil(2.0 ** ((level[at] - 1) / 4.0) / LIST_ROWS).astype(np.int64)
+                # Dealt lists are numbered from 1: only undealt ones may be dropped for having one class.
+                salt = np.where(lists > 1, 1 + (cls & 0x7FFFFFFF) % np.maximum(lists, 1), 0).astype(np.int32)
+                made.append((s[at], salt, meta + np.minimum(places, PLACES)))
+            if sum(len(x[0]) for x in made):
+                out += [(cls, *x) for x in made]
+                yield _rows_of(_INDEX, cls=[cls], elements=[s.tobytes()])
+                size += sum(len(x[0]) for x in made)
+            if size > 1 << 18:
+                yield entries(out)
+                out, size = [], 0
+        if out:
+            yield entries(out)
+
+    def entries(out: list[tuple]) -> pa.RecordBatch:
+        cls = np.repeat(np.array([x[0] for x in out], np.int64), [len(x[1]) for x in out])
+        return _rows_of(_INDEX, token=np.concatenate([x[1] for x in out]).view(np.int64), salt=np.concatenate([x[2] for x in out]), cls=cls, meta=np.concatenate([x[3] for x in out]))
+
+    # Spark reads how groups are passed from the hints, which are not in a closure's reach as names.
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "tables": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
@@ -252,33 +275,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     only with the same sequence. Texts are read whole. Repeated rows and copies fall in one class. A null
     identifier joins its group without naming it. An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    summaries = durable(texts.mapInArrow(_summaries(shingle), "doc_id long, mark long, n long, cls long, s1 long, s2 long, parity binary, block int, counts binary"), "shingle-sets")
-    light = summaries.where("block IS NULL").drop("block", "counts")
-
-    # The sketch has SLOTS bytes, whatever the input's size.
-    blocks = (
-        summaries.where("block IS NOT NULL").select("block", "counts", F.floor(F.spark_partition_id() / 128).alias("part"))
-        .groupBy("block", "part").applyInArrow(_merge_blocks, "block int, counts binary")
-        .groupBy("block").applyInArrow(_level_blocks, "block int, levels binary, total double, squares double").collect()
-    )
-    levels = bytearray(SLOTS)
-    for b in blocks:
-        levels[b["block"] * BLOCK : (b["block"] + 1) * BLOCK] = b["levels"]
-    total, squares = sum(b["total"] for b in blocks), sum(b["squares"] for b in blocks)
-    mean_list = max(1.0, squares / total - total / SLOTS) if total else 1.0
-    boundary = light_boundary(mean_list, percent)
-
-    # A class is a set; one document stands for it.
-    classes = durable(
-        light.where("n > 0").groupBy("cls", "n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity")), "shingle-classes"
-    )
-    index = _postings(shingle, percent, spark.sparkContext.broadcast(bytes(levels)), boundary)
-    postings = texts.mapInArrow(index, "token long, salt int, cls long, meta long")
+    # Written out, so that counts and index are those of one reading.
+    held = durable(texts.mapInArrow(chunks(CHUNK_BYTES, 2), "chunk long, packed binary"), "shingled-chunks")
+    shingles = 1 + (docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0) // SHINGLE_BYTES
+    range_bits = max(LEAST_RANGES, shingles // RANGE_SHINGLES).bit_length() - 1
+    bits = max(range_bits, math.ceil(math.log2(shingles * SLOTS_EACH)))
+    summaries = durable(held.mapInArrow(_summaries(shingle, bits, range_bits), _SUMMARY_SQL), "shingle-sets")
+    light = summaries.where("part IS NULL").drop("part", "packed")
+    levels = durable(summaries.where("part IS NOT NULL").select("chunk", "part", "packed").groupBy("part").applyInArrow(_levels, _LEVEL_SQL), "shingle-levels")
+    lists = levels.where("chunk IS NULL").agg(F.sum("total"), F.sum("squares")).first()
+    boundary = light_boundary(lists[1] / lists[0] if lists[0] else 1.0, percent)
+
+    # A class is a set; one document stands for it, and one chunk indexes it.
+    classes = light.where("n > 0").groupBy("cls", "n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"), F.min("chunk").alias("chunk"))
+    classes = durable(classes, "shingle-classes")
+    none = lambda kind: F.lit(None).cast(kind)
+    told = levels.where("chunk IS NOT NULL").select("chunk", "part", none("long").alias("cls"), "packed")
+    told = told.union(held.select("chunk", none("int"), none("long"), "packed")).union(classes.where("n > 1").select("chunk", none("int"), "cls", none("binary")))
+    index = durable(told.groupBy("chunk").applyInArrow(_index(shingle, percent, bits, boundary), _INDEX_SQL), "shingle-index")
+    sets = index.where("token IS NULL").select("cls", "elements")
     lists = Window.partitionBy("token", "salt")
-    shared = postings.withColumns({"low": F.min("cls").over(lists), "high": F.max("cls").over(lists)}).where("low <> high OR salt > 0")
-    shared = durable(shared.select("token", "cls", "meta").distinct(), "shared-postings")
+    shared = index.where("token IS NOT NULL").select("token", "salt", "cls", "meta").withColumns({"low": F.min("cls").over(lists), "high": F.max("cls").over(lists)}).where("low <> high OR salt > 0")
+    shared = durable(shared.select("token", "cls", "meta"), "shared-postings")
 
     size = lambda c: F.shiftright(c, 32)
     place = lambda c: F.col(c).bitwiseAND(PLACES)
@@ -291,24 +310,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         close = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
         return pairs.join(x, "a").join(y, "b").where(close).where(_can_link(percent)("n", "m", "p", "q")).select("a", "b").distinct()
 
-    reps = classes.select("cls", "rep")
-    held: list[DataFrame] = []
-
     def links(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        for x in held:
-            wanted = wanted.join(x, "cls", "left_anti")
-        wanted = durable(wanted.join(reps, "cls"), "wanted-sets")
-        n = wanted.count()
-        if n:
-            ids = wanted.select("rep").distinct()
-            # Texts are only shuffled where the identifiers are too many to broadcast.
-            chosen = texts.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-            made = chosen.mapInArrow(_sets(shingle), "cls long, elements binary").join(wanted.select("cls").distinct(), "cls", "left_semi")
-            held.append(durable(made.dropDuplicates(["cls"]), "sets"))
-        sets = held[0]
-        for x in held[1:]:
-            sets = sets.union(x)
         both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_compare(percent), "a long, b long")
 
@@ -332,7 +334,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         new = star if fresh else durable(links(star), "star-links")
         tested = star if tested is None else tested.union(star)
         found = new if found is None else found.union(new)
-        groups = components(found, "a", "b").withColumnRenamed("node", "cls")
+        groups = durable(components(found, "a", "b").withColumnRenamed("node", "cls"), "components")
         own = shared.join(groups, "cls", "left").select("token", "cls", "meta", F.coalesce("component", "cls").alias("grp"))
         mixed = own.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
         mixed = durable(mixed.where("n * n > within"), "mixed-lists")
@@ -351,20 +353,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     cross = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("ag") != F.col("bg")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & room)
     cross = durable(fitting(cross.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")), "cross-pairs")
     if not cross.isEmpty():
-        found = durable(found.union(links(cross)), "links")
+        groups = durable(components(durable(found.union(links(cross)), "links"), "a", "b").withColumnRenamed("node", "cls"), "components")
 
-    ids = found.join(reps.toDF("a", "src"), "a").join(reps.toDF("b", "dst"), "b").select("src", "dst")
-    whole = durable(components(ids), "components")
-    named = classes.join(whole, F.col("rep") == F.col("node"), "left").select("cls", "n", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
+    grouped = durable(classes.join(groups, "cls", "left").select("cls", "n", "s1", "s2", "rep", F.coalesce("component", "cls").alias("grp")), "grouped-classes")
+    named = grouped.join(grouped.groupBy("grp").agg(F.min("rep").alias("component_id")), "grp").select("cls", "n", "s1", "s2", "component_id")
     return light.where("n > 0").join(named, ["cls", "n", "s1", "s2"]).select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id").union(
         light.where("n = 0").select("doc_id", "mark", "n", "doc_id")
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of linked documents, all columns: the one with the smallest identifier. Texts without words stay, one for each identifier."""
+    """One row of each group of linked documents, all columns: the one with the smallest identifier. Texts without words stay, one for each identifier.
+
+    Handling of nulls, repeated rows and empty tables is that of near_duplicates; columns may have any names.
+    """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.groupBy("component_id", F.col("n_shingles") > 0).agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark")).alias("kept")).select(F.col("kept.doc_id").alias("kept_id_"), F.col("kept.mark").alias("kept_mark_"))
-    marked = docs.withColumn("mark_", F.xxhash64(text_col))
-    same = marked[id_col].eqNullSafe(kept["kept_id_"]) & (marked["mark_"] == kept["kept_mark_"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "mark_"]).drop("mark_")
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "mark"))
+    kept = found.groupBy("component_id", F.col("n_shingles") > 0).agg(least.alias("kept")).select("kept.doc_id", "kept.mark")
+    times = found.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times"))
+    kept = kept.join(times, kept["doc_id"].eqNullSafe(times["doc_id"]) & (kept["mark"] == times["mark"])).select(kept["doc_id"], kept["mark"], "times")
+    return keep_rows(docs, kept, F.col(id_col).cast("long"), F.xxhash64(text_col))

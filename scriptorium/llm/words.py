@@ -6,11 +6,13 @@ table, then mixed; they are the same in every process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 
 #: Bytes of text worked on at once; a longer text is worked on alone.
 SLICE_BYTES = 1 << 20
@@ -53,6 +55,55 @@ class Words(NamedTuple):
     ends: np.ndarray  #: and the one after its last
 
 
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, one after the last) of stretches of texts of `most` bytes in all; a longer text is alone."""
+    column = column.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def chunks(most: int, text: int) -> Callable:
+    """Batches of rows to chunks of rows: (chunk, packed), at most about `most` bytes of the column at `text`, or one longer text."""
+
+    def chunk(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, held = TaskContext.get().partitionId() << 32, 0, []
+        for batch in batches:
+            for i, j in slices(batch.column(text), most):
+                part = batch.slice(i, j - i)
+                more = part.column(text).nbytes
+                if held and size + more > most:
+                    yield chunk(number, held)
+                    number, size, held = number + 1, 0, []
+                held.append(part)
+                size += more
+        if held:
+            yield chunk(number, held)
+
+    return run
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Ascending unsigned numbers, as planes of bytes of their differences."""
+    steps = np.diff(x, prepend=np.zeros(1, np.uint64))
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    return np.cumsum(planes.reshape(8, -1).T.copy().view(np.uint64).reshape(-1))
+
+
 def words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
     """The words of a column of texts, some documents at a time; null has none."""
     column = column.cast(pa.large_string()).fill_null("")
