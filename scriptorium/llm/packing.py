@@ -3,8 +3,8 @@
 One pass without a shuffle: every task tokenises its documents, cuts the full sequences off each one,
 and gathers what is left in bounded batches. In a batch, differencing merges partial partitions with
 opposing imbalances until one near-equal partition into windows remains; where a window exceeds the
-capacity, the batch is partitioned again into one window more. What then remains free is filled by
-cutting up the smallest windows, and the last rest is cut at powers of two, which need no padding.
+capacity, the batch is partitioned again into one window more. These windows are the sequences; what a
+window is short of the capacity is left to padding, about 1 % of it with batches of this size.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.words import slices
+
 CAPACITY = 4096
 END_ID = 2
 #: Pieces partitioned at once; the state is one row of window sums for each.
-BATCH_PIECES = 1024
+BATCH_PIECES = 2048
+#: Bytes of text that are encoded at once; a longer text is encoded alone.
+ENCODED_BYTES = 4 << 20
 #: Words whose ids a worker remembers; beyond that it keeps those of its last batch.
 MEMORY_WORDS = 800_000
 
@@ -158,39 +162,6 @@ def near_equal(sizes: list[int], capacity: int) -> list[list[int]]:
     return [x for x in out if x]
 
 
-def _level(windows: list[list[tuple]], capacity: int) -> Iterator[list[tuple]]:
-    """Windows of (doc, start, ids, total) pieces without padding: the smallest are cut up to fill the others."""
-    size = lambda w: sum(len(p[2]) for p in w) // 4
-    windows = sorted(windows, key=size, reverse=True)
-    while len(windows) > 1:
-        first = windows.pop(0)
-        room = capacity - size(first)
-        while room and windows:
-            doc, start, ids, total = windows[-1].pop()
-            if len(ids) // 4 > room:
-                windows[-1].append((doc, start + room, ids[4 * room :], total))
-                ids = ids[: 4 * room]
-            first.append((doc, start, ids, total))
-            room -= len(ids) // 4
-            if not windows[-1]:
-                windows.pop()
-        yield first
-    for rest in windows:
-        left = size(rest)
-        while left:
-            room = capacity if left >= capacity else 1 << (left.bit_length() - 1)
-            left -= room
-            own = []
-            while room:
-                doc, start, ids, total = rest.pop(0)
-                if len(ids) // 4 > room:
-                    rest.insert(0, (doc, start + room, ids[4 * room :], total))
-                    ids = ids[: 4 * room]
-                own.append((doc, start, ids, total))
-                room -= len(ids) // 4
-            yield own
-
-
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
@@ -219,24 +190,25 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, _ARROW)], schema=_ARROW)
 
         def flush():
-            dealt = near_equal([len(p[2]) // 4 for p in rest], capacity)
-            return rows(_level([[rest[i] for i in w] for w in dealt], capacity))
+            return rows([rest[i] for i in w] for w in near_equal([len(p[2]) // 4 for p in rest], capacity))
 
         for batch in batches:
-            full = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                total, step = len(ids) // 4, 4 * capacity
-                for i in range(0, len(ids), step):
-                    piece = (doc, i // 4, ids[i : i + step], total)
-                    if len(piece[2]) == step:
-                        full.append([piece])
-                    else:
-                        rest.append(piece)
-                if len(rest) >= BATCH_PIECES:
-                    yield flush()
-                    rest.clear()
-            if full:
-                yield rows(full)
+            for i, j in slices(batch.column(1), ENCODED_BYTES):
+                part = batch.slice(i, j - i)
+                full = []
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                    total, step = len(ids) // 4, 4 * capacity
+                    for at in range(0, len(ids), step):
+                        piece = (doc, at // 4, ids[at : at + step], total)
+                        if len(piece[2]) == step:
+                            full.append([piece])
+                        else:
+                            rest.append(piece)
+                    if len(rest) >= BATCH_PIECES:
+                        yield flush()
+                        rest.clear()
+                if full:
+                    yield rows(full)
         if rest:
             yield flush()
 

@@ -68,8 +68,6 @@ def check(spark, rows, schema="doc_id long, text string", parts=2):
             assert ids == want[0] and (g.start.values == np.r_[0, g.length.cumsum().values[:-1]]).all()
     for _, g in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
         assert (g.offset.values == np.r_[0, g.length.cumsum().values[:-1]]).all() and g.length.sum() <= 4096
-    sums = got.groupby("sequence_id").length.sum()
-    assert all(n == 4096 or n & (n - 1) == 0 for n in sums)  # no padding at all
     assert got.length.sum() == sum(len(plain(t)) for _, t, *_ in rows)
     return got
 
@@ -79,6 +77,22 @@ def test_pack(spark):
     check(spark, [(i, "the and of " * (i * 37 % 900)) for i in range(80)], parts=3)
 
 
+def test_the_differenced_windows_are_the_sequences(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "the " * int(n)) for i, n in enumerate(rng.integers(1, 700, 600))]
+    got = check(spark, rows, parts=1)
+    sizes = got.sort_values("doc_id").length.tolist()  # no document is cut
+    assert len(got) == len(rows)
+    sums = got.groupby("sequence_id").length.sum()
+    want = packing.near_equal(sizes, 4096)
+    assert sorted(sums) == sorted(sum(sizes[i] for i in w) for w in want)
+    assert len(sums) <= -(-sum(sizes) // 4096) + 1 and sums.max() - sums.min() <= 20
+
+
+def test_long_texts(spark):
+    check(spark, [(1, "word another " * 60_000), (2, "x"), (3, "a" * 300_000), (4, None)], parts=1)
+
+
 def test_edges(spark):
     assert check(spark, [(1, "same"), (1, "same")]).length.sum() == 4  # repeated rows are packed each for itself
     docs = spark.createDataFrame([(1, "x", "clash", b"y")], "doc_id long, text string, sequence_id string, ids binary")
@@ -94,5 +108,7 @@ def test_query(spark, data):
     got = queries.queries()["op1_packing"](spark, data).toPandas()
     docs = {r["doc_id"]: plain(r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     assert set(got.doc_id) == set(docs)
+    sums = got.groupby("sequence_id").length.sum()
+    assert sums.max() <= 4096 and 4096 * len(sums) - sums.sum() <= 0.05 * sums.sum()
     for r in got.itertuples():
         assert r.ids_crc32 == zlib.crc32(np.asarray(docs[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(docs[r.doc_id])
