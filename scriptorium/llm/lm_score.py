@@ -15,19 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import mix, words
+from scriptorium.llm.words import chunks, mix, words
 from scriptorium.session import durable
 
 #: Bits of the number of words that the unigram models reckon with at least; where the corpus has more, all of those.
 WORD_BITS = 18
 #: Words that the unigram model counts for in each bigram context.
 PRIOR = 32.0
-#: Tokens of a chunk, about; a longer text is one of its own.
-CHUNK_TOKENS = 1 << 20
+#: Bytes of text in a chunk, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 6 << 20
 #: Bits of the number of ranges that hashes are dealt into.
 RANGE_BITS = 10
 
@@ -74,31 +73,6 @@ def _tally(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[first], np.diff(first, append=len(every))
 
 
-def _chunks(chunk_tokens: int):
-    """(doc_id, text, whether it is in the target) to chunks of rows."""
-
-    def chunk(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            for batch in held:
-                out.write_batch(batch)
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "packed"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size, held = TaskContext.get().partitionId() << 32, 0, []
-        for batch in batches:
-            for w in words(batch.column(1)):
-                held.append(batch.slice(w.first, len(w.at) - 1))
-                size += len(w.hashes)
-                if size >= chunk_tokens:
-                    yield chunk(number, held)
-                    number, size, held = number + 1, 0, []
-        if held:
-            yield chunk(number, held)
-
-    return run
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks to the counts of their keys in each range: in the target and in all, then those of them that end a text.
 
@@ -228,8 +202,8 @@ def score_documents(docs: DataFrame, in_target: Column, id_col: str = "doc_id",
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(in_target, F.lit(False)).alias("target"))
     # Written out, so that counts and scores are those of one reading.
-    chunks = durable(rows.mapInArrow(_chunks(CHUNK_TOKENS), "chunk long, packed binary"), "scored-chunks")
-    sums = chunks.mapInArrow(_count, _COUNTS).groupBy("part").applyInArrow(_add, _COUNTS)
+    held = durable(rows.mapInArrow(chunks(CHUNK_BYTES, 1), "chunk long, packed binary"), "scored-chunks")
+    sums = held.mapInArrow(_count, _COUNTS).groupBy("part").applyInArrow(_add, _COUNTS)
     none = F.lit(None)
-    whole = chunks.select("chunk", none.cast("int").alias("part"), *(none.cast("long").alias(x) for x in ("words", "learned", "tokens")), "packed")
+    whole = held.select("chunk", none.cast("int").alias("part"), *(none.cast("long").alias(x) for x in ("words", "learned", "tokens")), "packed")
     return sums.union(whole).groupBy("chunk").applyInArrow(_score(1 << WORD_BITS), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

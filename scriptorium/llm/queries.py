@@ -60,7 +60,8 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     # Texts are only shuffled where the labels are too many to broadcast.
     good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
-    marked = docs.join(good, docs["doc_id"] == good["good_id"], "left")
+    # Only what is scored is joined, under names of its own: documents may have a column of any name.
+    marked = docs.select(docs["doc_id"], docs["text"]).join(good, docs["doc_id"] == good["good_id"], "left")
     return score_documents(marked, F.col("good_id").isNotNull())
 
 
@@ -70,7 +71,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-#: The driver tables hold no canonical links or refreshes; aliases are tested against brute force.
+#: The driver tables hold no canonical links or refreshes; the tests hold aliases against a plain search of the graph.
 OP4_SQL = """
 WITH rules(action, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'),
                                     ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
