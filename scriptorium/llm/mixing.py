@@ -16,15 +16,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.rows import keep_rows
 from scriptorium.session import durable
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Budgets up to so many words go to the dynamic program; larger ones are first filled greedily.
+#: Words that are left to the dynamic program at least, where the budget has so many: its memory is a few bits for each.
 PROGRAM_WORDS = 1 << 16
 
 
 def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int = 0) -> list[int]:
-    """How many documents of each length to take, so that their words come as near the budget as the program can bring them."""
+    """How many documents of each length to take, so that their words come as near the budget as the program can bring them.
+
+    Each length first gives its share. Of the rest, PROGRAM_WORDS and at least twice the longest document's words go to
+    the dynamic program, so that it can still combine any lengths; what is beyond is taken length by length, in seeded
+    order. The program's answer is the nearest sum to what it was given; with many lengths that is the budget itself.
+    """
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget <= 0 or total == 0:
         return [0] * len(lengths)
@@ -152,11 +158,12 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), mo
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, all columns, each as many times as the mix takes it. Texts without words cost nothing and stay once."""
+    """The rows of docs, all columns, each as many times as the mix takes it. Texts without words cost nothing and stay once.
+
+    Rows that share identifier and text are the same to the mix: one of them stands for all their copies.
+    Nulls and empty tables are handled as by mix; columns may have any names.
+    """
     mixed = mix(docs, id_col=id_col, text_col=text_col, **options)
-    copies = mixed.groupBy("doc_id", "mark").agg(F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias("copies_"))
-    copies = copies.where("copies_ > 0").withColumnsRenamed({"doc_id": "mixed_id_", "mark": "mixed_mark_"})
-    # Rows that share identifier and text are the same to the mix: one of them stands for all their copies.
-    marked = docs.withColumn("mark_", F.xxhash64(text_col)).dropDuplicates([id_col, "mark_"])
-    same = marked[id_col].eqNullSafe(copies["mixed_id_"]) & (marked["mark_"] == copies["mixed_mark_"])
-    return marked.join(copies, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies_")).alias("copy_")).drop("copy_")
+    wanted = F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies")))
+    kept = mixed.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("times"), wanted.alias("copies")).where("copies > 0")
+    return keep_rows(docs, kept, F.col(id_col), F.xxhash64(text_col), "copies")

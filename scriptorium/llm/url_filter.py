@@ -76,14 +76,17 @@ def address(url: str) -> str:
 
 
 class _Links(HTMLParser):
-    """Where a page says that it is the same as another: canonical links and refreshes."""
+    """Where a page says that it is the same as another: canonical links and refreshes, and what these are relative to."""
 
     def __init__(self) -> None:
         super().__init__()
         self.found: list[str] = []
+        self.base = ""
 
     def handle_starttag(self, tag, attrs):
         named = {k: v or "" for k, v in attrs}
+        if tag == "base" and not self.base:
+            self.base = named.get("href", "").strip()
         if tag == "link" and "canonical" in named.get("rel", "").lower().split():
             self.found.append(named.get("href", ""))
         if tag == "meta" and named.get("http-equiv", "").strip().lower() == "refresh":
@@ -92,19 +95,30 @@ class _Links(HTMLParser):
 
     handle_startendtag = handle_starttag
 
+    def parse_marked_section(self, i, report=1):
+        """Marked sections that aren't well formed are passed over like comments: up to the next >."""
+        end = self.rawdata.find(">", i + 3)
+        return end + 1 if end >= 0 else -1
+
+
+def same_as(url: str, html: str) -> Iterator[str]:
+    """The whole URLs that a page names as its own."""
+    parser = _Links()
+    parser.feed(html)
+    for goal in filter(None, map(str.strip, parser.found)):
+        try:
+            yield urljoin(urljoin(url, parser.base), goal)
+        except ValueError:  # not a URL
+            continue
+
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         src, dst = [], []
-        for url, html in zip(*(c.to_pylist() for c in batch.columns)):
-            parser = _Links()
-            parser.feed(html)
-            for goal in filter(None, map(str.strip, parser.found)):
-                try:
-                    whole = urljoin(url, goal)
-                except ValueError:  # not a URL
-                    continue
-                a, b = address(url), address(whole)
+        for url, html in zip(*batch.columns):
+            a = address(url.as_py())
+            for goal in same_as(url.as_py(), html.as_py()):
+                b = address(goal)
                 if a and b and a != b:
                     src.append(a)
                     dst.append(b)
@@ -114,7 +128,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst) addresses: from a page to its canonical link and to where it refreshes. Only pages that can have such a tag are parsed."""
     rows = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).where("u IS NOT NULL")
-    return rows.where(F.col("h").rlike(r"(?i)canonical|refresh")).mapInArrow(_edges, "src string, dst string").distinct()
+    return rows.where(F.col("h").rlike(r"(?i)<link[\s/]|http-equiv")).mapInArrow(_edges, "src string, dst string").distinct()
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
