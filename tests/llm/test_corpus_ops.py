@@ -94,6 +94,50 @@ def test_aliases(spark):
     assert url_filter.judge_urls(docs.limit(0), url_filter.RULES).count() == 0
 
 
+def test_odd_markup(spark):
+    rows = [(1, "http://a.org/en/x", "<![x[y]]><base href='http://b.com/en/'><link rel='canon&#105;cal' href=q>"), (2, "http://[bad", "<link rel=canonical href=x>"), (3, "http://c.org/", "<![CDATA[ <link rel=canonical href='http://z.com/en/'>")]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(rows, PAGE), url_filter.RULES).collect()}
+    assert got[1] == "block" and set(got) == {1, 2, 3}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="<>![]-/?&;#x= '\"linkrelcanoicbsmthp:.", max_size=60))
+def test_any_markup_is_read(html):
+    list(url_filter.same_as("http://a.org/", html))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_spread_as_by_a_plain_search(spark, seed):
+    """Verdicts against a breadth-first search from every URL over canonical links and a redirect log."""
+    rng = random.Random(seed)
+    urls = [f"http://h{i}.{rng.choice(['com', 'org', 'net', 'io'])}/{rng.choice(['en', 'de', 'es', 'x'])}/{i}" for i in range(60)]
+    links = [(rng.choice(urls), rng.choice(urls)) for _ in range(35)]
+    log = [(rng.choice(urls), rng.choice(urls)) for _ in range(10)]
+    goal = dict(links)
+    pages = [(i, u, f"<link rel=canonical href='{goal[u]}'>" if u in goal else "") for i, u in enumerate(urls)]
+    near: dict = {u: set() for u in urls}
+    for a, b in [*goal.items(), *log]:
+        near[a].add(b)
+        near[b].add(a)
+
+    def own(u):
+        host, path = u[7:].split("/", 1)
+        fits = [(len(r.host + r.path), r.action) for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and ("/" + path).startswith(r.path)]
+        return max(fits)[1] if fits else None
+
+    def verdict(u):
+        seen, todo = {u}, [u]
+        while todo:
+            for x in near[todo.pop()] - seen:
+                seen.add(x)
+                todo.append(x)
+        said = {own(x) for x in seen}
+        return own(u) or ("block" if "block" in said and "allow" not in said else "allow")
+
+    got = url_filter.judge_urls(spark.createDataFrame(pages, PAGE), url_filter.RULES, spark.createDataFrame(log, "src string, dst string"))
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {i: verdict(u) for i, u in enumerate(urls)}
+
+
 def test_redirect_log(spark):
     pages = spark.createDataFrame([(i, f"http://h{i}.org/", "") for i in range(6)], PAGE)
     log = spark.createDataFrame([("http://h0.org/", "https://h1.org/#x"), ("http://h1.org/", "http://z.com/en/"), ("http://h2.org/", "http://h3.org/"), (None, "x")], "src string, dst string")
@@ -130,6 +174,55 @@ def test_kneser_ney_sums_to_one():
         assert total == pytest.approx(1, abs=1e-4)
 
 
+def kneser_ney_brute(texts, word, order=4):
+    """Bits per character of a word, with counts held in dictionaries of strings."""
+    from collections import defaultdict
+
+    seen: list[dict] = [defaultdict(int) for _ in range(order + 1)]
+    for t in texts:
+        t = "_" * order + t.lower().replace(" ", "_")
+        for i in range(order, len(t)):
+            seen[order][t[i - order + 1 : i + 1]] += 1
+    for n in range(order - 1, 0, -1):
+        for g in seen[n + 1]:
+            seen[n][g[1:]] += 1
+
+    def chance(g):
+        if not g:
+            return 1 / language_id.ALPHABET
+        counts = seen[len(g)]
+        one, two = (sum(c == k for c in counts.values()) for k in (1, 2))
+        off = one / (one + 2 * two) if one else 0.5
+        after = [c for x, c in counts.items() if x[:-1] == g[:-1]]
+        if not after:
+            return chance(g[1:])
+        return max(0.0, counts.get(g, 0) - off if g in counts else 0.0) / sum(after) + off * len(after) / sum(after) * chance(g[1:])
+
+    padded = "_" * order + word.lower().replace(" ", "_")
+    return sum(-np.log2(chance(padded[i - order + 1 : i + 1])) for i in range(order, len(padded))) / len(word)
+
+
+def test_kneser_ney_against_brute_force():
+    texts, words = ["abracadabra banana", "a cab", "bad cab bad"], ["abra", "bandana", "cab zoo", "b"]
+    bits, letters, n = language_id.cross_entropies(words, [language_id.fit(texts)])
+    assert letters.all() and n.tolist() == [len(w) for w in words]
+    assert bits[:, 0] == pytest.approx([kneser_ney_brute(texts, w) for w in words], rel=1e-5)
+
+
+def test_models_in_blocks(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, "中文" * 20)], "doc_id long, text string"), allowMissingColumns=True)
+    one = {r["doc_id"]: r for r in language_id.identify(docs, docs).collect()}
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 1)  # each model is a block
+    several = {r["doc_id"]: r for r in language_id.identify(docs, docs).collect()}
+    assert all((r["lang_pred"], r["rejected"]) == (several[d]["lang_pred"], several[d]["rejected"]) and r["score"] == pytest.approx(several[d]["score"]) for d, r in one.items())
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 100)
+    train = spark.createDataFrame([(i, "the cat and the dog went home " * (200 if i == 0 else 1) + chr(97 + i), "en") for i in range(20)], "doc_id long, text string, lang string")
+    assert language_id.identify(train, train).where("lang_pred = 'en'").count() == 20
+
+
 def test_languages(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     from scriptorium.llm import queries

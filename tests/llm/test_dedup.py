@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import exact_dedup, jaccard_join, substring_dedup
 from scriptorium.llm.components import components
@@ -140,6 +141,32 @@ def test_exact(spark, keep):
     assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_copies_cut_into_runs(spark, monkeypatch, keep):
+    monkeypatch.setattr(exact_dedup, "RUN_ROWS", 7)
+    monkeypatch.setattr(exact_dedup, "RUN_BYTES", 2000)
+    rng = random.Random(8)
+    texts = ["same head " * 5 + x for x in "abc"] + ["z" * 900, "y"]
+    rows = [(i, texts[rng.choice([0, 0, 0, 0, 1, 2, 3, 4])]) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    groups: dict = {}
+    for d, t in rows:
+        groups.setdefault(t, []).append(d)
+    best = max if keep == "largest" else min
+    got = {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(docs, keep=keep).collect()}
+    assert got == {(d, best(groups[t]), len(groups[t])) for d, t in rows}
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs, keep=keep).collect()) == sorted(best(x) for x in groups.values())
+
+
+def test_neighbours_decide_all_groups(spark, data):
+    """Every group of copies is one run of the content sort, so none is joined by a digest."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    runs = exact_dedup._runs(rows, "largest").collect()
+    assert not any(r["cut"] for r in runs)
+    assert sum(r["place"] == 1 for r in runs) == rows.select("body").distinct().count() < len(runs)
+
+
 def test_exact_edges(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (2, "a", "y"), (3, "b", None)], "doc_id long, text string, kept string")
     assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect())) == [(2, "a", "y"), (3, "b", None)]
