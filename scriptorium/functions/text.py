@@ -27,8 +27,8 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Normal form C. Python sees every value, but most return at once; use `nfc_if_needed` on columns that are mostly ASCII."""
-    return _nfc(c)
+    """Normal form C. ASCII is in it already: Python gets a null for it."""
+    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 @lru_cache(maxsize=1)

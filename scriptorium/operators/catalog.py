@@ -9,6 +9,10 @@ from scriptorium.functions.text import READABLE, KNOWN_UNREADABLE, is_link, like
 from scriptorium.session import durable
 
 
+# Fixed value: what a link to a page of a list looks like.
+PAGE_LINK = r"(?i)(trang[-=/](\d+)|[?&]page=(\d+)|/page/(\d+))"
+
+
 def overlay(base: DataFrame, added: DataFrame, overrides: DataFrame, key: str = "id") -> DataFrame:
     """Built-in and added rows with the non-null fields of their overrides, and flags for both (JN-01)."""
     rows = base.withColumn("is_added", F.lit(False)).unionByName(added.withColumn("is_added", F.lit(True)))
@@ -47,6 +51,32 @@ def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     return fresh.unionByName(stored.join(fresh.select(key).distinct(), key, "left_anti"))
 
 
+def write_back(stored: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Stored rows with the non-null fields of the values of their key (JN-07); values without a stored row are left out, the last of a key by its fields' order counts."""
+    fields = [c for c in values.columns if c != key and c in stored.columns]
+    last = values.groupBy(key).agg(F.max(F.struct(*fields)).alias("new_"))
+    joined = stored.join(last, key, "left")
+    return joined.select(*(F.coalesce(F.col(f"new_.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in stored.columns))
+
+
+def walk_pages(edges: DataFrame, starts: DataFrame, limit: int = 300) -> DataFrame:
+    """(work, url): the pages of a list that are reached from a work's first page by links to pages, `limit` for each work (OPS-02).
+
+    edges are (from_url, href), starts (work, url). One round a level, with an anti join to what was seen; where a
+    round would exceed a work's limit, the first by address stay.
+    """
+    links = durable(edges.where(F.col("href").rlike(PAGE_LINK)).select("from_url", F.substring_index("href", "#", 1).alias("to")).distinct(), "page-links")
+    seen = durable(starts.select("work", F.substring_index("url", "#", 1).alias("url")).distinct(), "pages")
+    last = seen
+    while not last.isEmpty():
+        found = last.join(links, F.col("url") == F.col("from_url")).select("work", F.col("to").alias("url")).distinct().join(seen, ["work", "url"], "left_anti")
+        held = seen.groupBy("work").agg(F.count(F.lit(1)).alias("held_"))
+        place = F.row_number().over(Window.partitionBy("work").orderBy("url"))
+        last = durable(found.withColumn("place_", place).join(held, "work").where(F.col("place_") + F.col("held_") <= limit).select("work", "url"), "next-pages")
+        seen = durable(seen.union(last), "pages")
+    return seen
+
+
 def memory_lookup(rows: DataFrame, memory: DataFrame, key: str = "key") -> DataFrame:
     """Rows with the remembered value, null for what still has to be translated (JN-06)."""
     return rows.join(memory.select(key, "value"), key, "left")
@@ -90,29 +120,32 @@ def upsert_watches(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     return rows.groupBy("watch_id").agg(F.first("addresses").alias("addresses"), seen.alias("seen"))
 
 
-def crawl(edges: DataFrame, starts: DataFrame, depth: int = 1, max_pages: int = 60, max_files: int = 300, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def crawl(edges: DataFrame, starts: DataFrame, depth: int = 1, max_pages: int | None = 60, max_files: int = 300, blocked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, files) of a breadth-first traversal (OPS-01).
 
     edges are (from_url, href, anchor, pos) of fetched pages, starts (url, ord). Pages are visited by depth,
     parent's order and place, each once, max_pages at most; blocked pages count but have no links. Links to
     documents are collected from any host, max_files at most, and never followed; others are followed on
-    the same host. One round a level: a join with the frontier and an anti join with what was seen.
+    the same host. One round a level: a join with the frontier and an anti join with what was seen. With
+    max_pages None all are visited, and their order within a level, which only the cap needs, is left open.
     """
     spark = edges.sparkSession
     links = edges.where(is_link(F.trim("href"))).withColumn("to", F.substring_index(resolve(F.col("from_url"), F.trim("href")), "#", 1))
     ext = url_ext(F.col("to"))
     links = links.withColumn("ext", ext).withColumn("is_file", ext.isin(READABLE + KNOWN_UNREADABLE))
     links = durable(links.withColumn("probe", ~F.col("is_file") & (F.col("ext") == "") & like_document(F.col("anchor"), F.col("to"))), "links")
-    first = Window.partitionBy("url").orderBy("ord")
     frontier = starts.select(F.substring_index(F.trim("url"), "#", 1).alias("url"), "ord").where("url LIKE 'http%'")
-    frontier = frontier.withColumn("k", F.row_number().over(first)).where("k = 1").select("url", F.row_number().over(Window.orderBy("ord")).cast("long").alias("ord"), F.lit(0).alias("depth"))
+    frontier = frontier.groupBy("url").agg(F.min("ord").alias("ord"))
+    if max_pages is not None:
+        frontier = frontier.orderBy("ord", "url").limit(max_pages).withColumn("ord", F.row_number().over(Window.orderBy("ord", "url")))
+    frontier = frontier.select("url", F.col("ord").cast("long").alias("ord"), F.lit(0).alias("depth"))
     seen = spark.createDataFrame([], frontier.schema)
     for level in range(depth + 1):
         # A level is at most what is left of the pages' cap, so its order fits one task.
-        left = max_pages - seen.count()
-        if left <= 0:
+        left = None if max_pages is None else max_pages - seen.count()
+        if left is not None and left <= 0:
             break
-        frontier = durable(frontier.orderBy("ord").limit(left), "frontier")
+        frontier = durable(frontier if left is None else frontier.orderBy("ord").limit(left), "frontier")
         seen = durable(seen.union(frontier), "seen")
         if level == depth or frontier.isEmpty():
             break
@@ -120,8 +153,10 @@ def crawl(edges: DataFrame, starts: DataFrame, depth: int = 1, max_pages: int =
         base = seen.agg(F.max("ord")).first()[0]
         nxt = open_pages.join(links.where("NOT is_file AND NOT probe"), F.col("url") == F.col("from_url")).where(url_host(F.col("to")) == url_host(F.col("url")))
         nxt = nxt.groupBy("to").agg(F.min(F.struct("ord", "pos")).alias("at")).join(seen.select(F.col("url").alias("to")), "to", "left_anti")
-        top = nxt.orderBy("at").limit(max_pages)
-        frontier = top.select(F.col("to").alias("url"), (F.lit(base) + F.row_number().over(Window.orderBy("at"))).cast("long").alias("ord"), F.lit(level + 1).alias("depth"))
+        place = F.lit(level + 1)
+        if max_pages is not None:
+            nxt, place = nxt.orderBy("at").limit(max_pages), F.lit(base) + F.row_number().over(Window.orderBy("at"))
+        frontier = nxt.select(F.col("to").alias("url"), place.cast("long").alias("ord"), F.lit(level + 1).alias("depth"))
     readers = seen if blocked is None else seen.join(blocked.select("url"), "url", "left_anti")
     files = readers.join(links.where("is_file"), F.col("url") == F.col("from_url")).groupBy("to").agg(F.min(F.struct("ord", "pos", "from_url", "anchor", "ext")).alias("at"))
     files = files.orderBy("at.ord", "at.pos").limit(max_files)

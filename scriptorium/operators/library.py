@@ -58,6 +58,12 @@ def days(articles: DataFrame, day: str = "day") -> DataFrame:
     return counts.groupBy(day).agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "n")))).alias("by_category")).orderBy(F.desc(day))
 
 
+def progress(rows: DataFrame, by: str, done: Column, cached: Column, failed: Column) -> DataFrame:
+    """(by, total, done, cached, failed, percent to one decimal, 0 of nothing) of a job's chapters (AGG-09)."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("done"), F.count_if(cached).alias("cached"), F.count_if(failed).alias("failed"))
+    return counts.withColumn("percent", F.when(F.col("total") > 0, F.round(100 * F.col("done") / F.col("total"), 1)).otherwise(0.0))
+
+
 def selection_counts(files: DataFrame) -> DataFrame:
     """AGG-13."""
     return files.agg(F.count_if("selected").alias("selected"), F.count_if(F.col("selected") & ~F.col("readable")).alias("unreadable"))

@@ -116,6 +116,11 @@ def day_page(rows: DataFrame, order: list, category: str = "", country: str = ""
     return rows.orderBy(*order).offset(offset).limit(limit), total
 
 
+def newest_first(rows: DataFrame, ts: str = "published_at", then: str = "place") -> DataFrame:
+    """The latest first, undated rows last, equal ones by arrival (SRT-01)."""
+    return rows.orderBy(F.desc_nulls_last(ts), then)
+
+
 def category_counts(rows: DataFrame, category: str = "category") -> DataFrame:
     return rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"))
 

@@ -5,39 +5,64 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import STOP_WORDS, keywords
+from scriptorium.session import durable
 
 
 def fuzzy_pairs(threads: DataFrame, resolved: DataFrame, thread_id: str, thread: str, resolved_id: str, text: str, least: int = 2, share: float = 0.5) -> DataFrame:
     """(thread_id, resolved_id, shared): at least two common keywords, and half of the smaller set's (JN-09).
 
-    Words are exploded and joined, so no pair without a common word is ever formed.
+    Words are ordered from rare to common. Of the smaller set only as many of the rarest are looked up as must
+    hold a common one; the commonest words, which would pair everything, are rarely among them.
     """
-    a = threads.select(thread_id, keywords(F.col(thread)).alias("k")).select(thread_id, F.size("k").alias("na"), F.explode("k").alias("w"))
-    b = resolved.select(resolved_id, keywords(F.col(text)).alias("k")).select(resolved_id, F.size("k").alias("nb"), F.explode("k").alias("w"))
-    both = a.join(b, "w").groupBy(thread_id, resolved_id).agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return both.where((F.col("shared") >= least) & (F.col("shared") / F.least("na", "nb") >= share)).select(thread_id, resolved_id, "shared")
+    a = durable(threads.select(F.col(thread_id).alias("id"), keywords(F.col(thread)).alias("k")).where(F.size("k") >= least).distinct(), "threads")
+    b = durable(resolved.select(F.col(resolved_id).alias("id"), keywords(F.col(text)).alias("k")).where(F.size("k") >= least).distinct(), "resolved")
+    counts = a.select(F.explode("k").alias("w")).union(b.select(F.explode("k").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    counts = durable(counts, "word-counts")
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        words = rows.select("id", F.xxhash64("k").alias("mark"), F.size("k").alias("size"), F.explode("k").alias("w")).join(counts, "w")
+        place = F.row_number().over(Window.partitionBy("id", "mark").orderBy("n", "w"))
+        need = F.greatest(F.lit(least), F.ceil(F.col("size") * share))
+        return durable(words.select("id", "mark", "size", "w", (place <= F.col("size") - need + 1).alias("rare")), "ranked-words")
+
+    x, y = (ranked(r).toDF(f"{p}_id", f"{p}_mark", f"{p}_size", "w", f"{p}_rare") for r, p in ((a, "a"), (b, "b")))
+    pair = ["a_id", "a_mark", "b_id", "b_mark"]
+    small = x.where("a_rare").join(y, "w").where("a_size <= b_size").select(*pair)
+    large = y.where("b_rare").join(x, "w").where("b_size < a_size").select(*pair)
+    both = small.union(large).distinct()
+    sets = lambda r, p: r.select(F.col("id").alias(f"{p}_id"), F.xxhash64("k").alias(f"{p}_mark"), F.col("k").alias(f"{p}_k"))
+    both = both.join(sets(a, "a"), ["a_id", "a_mark"]).join(sets(b, "b"), ["b_id", "b_mark"])
+    both = both.withColumn("shared", F.size(F.array_intersect("a_k", "b_k")).cast("long"))
+    close = (F.col("shared") >= least) & (F.col("shared") / F.least(F.size("a_k"), F.size("b_k")) >= share)
+    return both.where(close).select(F.col("a_id").alias(thread_id), F.col("b_id").alias(resolved_id), "shared")
 
 
 def not_contained(fresh: DataFrame, known: DataFrame, text: str, within: str, chars: int = 40) -> DataFrame:
     """Fresh rows whose first characters are in no known text, in any case (JN-10).
 
-    An equi join: known texts are cut into overlapping pieces, and these into all substrings of the few
-    lengths that the prefixes have (at most `chars` of them).
+    A prefix of three words or more is looked up by the rarest of its inner words, which any text that holds it has
+    as a whole word, and only then compared. Shorter ones meet all substrings of their few lengths.
     """
-    piece = 256
     rows = fresh.withColumn("p_", F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(chars))))
-    lengths = [r[0] for r in rows.select(F.length("p_")).distinct().collect() if r[0]]
-    texts = known.select(F.lower(within).alias("t_")).where("t_ <> ''").distinct()
-    found = texts.limit(1).select(F.lit("").alias("p_"))  # the empty prefix is in any text
+    texts = durable(known.select(F.lower(within).alias("t_")).where("t_ <> ''").distinct().withColumn("id_", F.xxhash64("t_")), "known-texts")
+    prefixes = durable(rows.select("p_").where("p_ <> ''").distinct().withColumn("inner_", F.array_distinct(F.slice(F.split("p_", " "), 2, F.greatest(F.lit(0), F.size(F.split("p_", " ")) - 2)))), "prefixes")
+    tokens = durable(texts.select("id_", F.explode(F.array_distinct(F.split("t_", " "))).alias("w_")), "known-words")
+    counts = tokens.groupBy("w_").agg(F.count(F.lit(1)).alias("n_"))
+    inner = prefixes.where("size(inner_) > 0").select("p_", F.explode("inner_").alias("w_")).join(counts, "w_", "left")
+    anchor = inner.groupBy("p_").agg(F.min(F.struct(F.coalesce("n_", F.lit(0)).alias("n_"), "w_"))["w_"].alias("w_"))
+    met = anchor.join(tokens, "w_").select("p_", "id_").join(texts, "id_").where(F.contains("t_", F.col("p_")))
+    found = texts.limit(1).select(F.lit("").alias("p_")).union(met.select("p_").distinct())  # the empty prefix is in any text
+    short, piece = prefixes.where("size(inner_) = 0").select("p_"), 256
+    lengths = [r[0] for r in short.select(F.length("p_")).distinct().collect()]  # at most `chars` numbers
     for n in lengths:
         starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t_") - n + 1), F.lit(piece))).alias("i_")
         cuts = texts.where(F.length("t_") >= n).select("t_", starts).select(F.substring(F.col("t_"), F.col("i_"), F.lit(piece + n - 1)).alias("c_"))
         subs = cuts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("c_") - n + 1), lambda i: F.substring(F.col("c_"), i, F.lit(n)))).alias("p_"))
-        found = found.union(subs.join(rows.where(F.length("p_") == n).select("p_").distinct(), "p_", "left_semi").distinct())
+        found = found.union(subs.join(short.where(F.length("p_") == n), "p_", "left_semi").distinct())
     return rows.join(found, "p_", "left_anti").drop("p_")
 
 
@@ -132,10 +157,7 @@ def map_reduce(notes: DataFrame, model, merge, budget: int, by: str = "book", or
     model and merge are vectorised functions of (batch texts) given as pandas UDFs; each round is written out,
     so a lost job starts again at its last round. A work with one note needs no merge; all others get at least one.
     """
-    from pyspark.sql import Window
-
     from scriptorium.operators.batching import batches, within
-    from scriptorium.session import durable
 
     rows = durable(notes.select(by, order, model(F.col(text)).alias(text)), "notes")
     while True:

@@ -144,12 +144,14 @@ def dedup_key_pages(spark, sf_dir):
     return news.longest_first(pages, "dedup_key", F.col("n"), "page_id", "source").select("page_id", "dedup_key")
 
 
-@query("""WITH r AS (SELECT doc_id, text, source, row_number() OVER (PARTITION BY left(text, 40) ORDER BY length(text) DESC, doc_id) AS k FROM documents),
-g AS (SELECT left(text, 40) AS head, list_sort(list(DISTINCT source)) AS all_sources FROM documents GROUP BY 1)
-SELECT doc_id, array_to_string(list_filter(all_sources, lambda x: x <> source), ',') AS carried FROM r JOIN g ON left(r.text, 40) = g.head WHERE k = 1""")
+@query(r"""WITH t AS (SELECT *, sha256(regexp_replace(text, '[ \n]+', ' ', 'g')) AS whole FROM documents),
+r AS (SELECT doc_id, whole, source, row_number() OVER (PARTITION BY whole ORDER BY length(text) DESC, doc_id) AS k FROM t),
+g AS (SELECT whole, list_sort(list(DISTINCT source)) AS all_sources FROM t GROUP BY 1)
+SELECT doc_id, array_to_string(list_filter(all_sources, lambda x: x <> source), ',') AS carried FROM r JOIN g USING (whole) WHERE k = 1""")
 def dedup_documents_longest(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").withColumn("head", F.left("text", F.lit(40)))
-    best = news.longest_first(docs, "head", F.length("text"), "doc_id", "source")
+    """Texts that differ in their spacing only are one; the key is of the whole text."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"), F.sha2(F.regexp_replace("text", "[ \n]+", " "), 256).alias("whole"))
+    best = news.longest_first(docs, "whole", F.col("n"), "doc_id", "source")
     return best.select("doc_id", F.array_join("also_carried_by", ",").alias("carried"))
 
 
@@ -412,11 +414,11 @@ def new_files(spark, sf_dir):
 
 
 @query(r"""WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages),
-w AS (SELECT 'w' || (page_id % 3) AS watch_id, url, page_id % 2 AS kind, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages WHERE page_id % 10 = 0)
+w AS (SELECT 'w' || (page_id // 50) AS watch_id, url, page_id % 2 AS kind, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages)
 SELECT DISTINCT w.watch_id, u.url FROM u JOIN w ON (w.kind = 0 AND u.host = w.host) OR (w.kind = 1 AND u.url = w.url)""")
 def mark_harvested(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
-    chosen = p.where("page_id % 10 = 0").select(F.concat(F.lit("w"), (F.col("page_id") % 3).cast("string")).alias("watch_id"), "url", (F.col("page_id") % 2).alias("kind"))
+    chosen = p.select(F.concat(F.lit("w"), F.expr("page_id div 50").cast("string")).alias("watch_id"), "url", (F.col("page_id") % 2).alias("kind"))
     none = F.array().cast("array<string>")
     watches = chosen.groupBy("watch_id").agg(F.collect_list(F.when(F.col("kind") == 0, F.col("url"))).alias("addresses"), F.collect_list(F.when(F.col("kind") == 1, F.col("url"))).alias("harvested")).withColumn("seen", none)
     return catalog.belongs(p.select("url").distinct(), watches)
@@ -492,24 +494,25 @@ def split_fallback(spark, sf_dir):
     return segment.split_chapters(lines, ["source", "name"], title="name").groupBy("source", "title").agg(F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("""WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)
-SELECT source, CASE WHEN i >= 3 THEN 'Part ' || (i // 3) || ' · ' ELSE '' END || 'Chapter ' || i AS title, 1::BIGINT AS n FROM n""")
+@query("""WITH n AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents)
+SELECT source, CASE WHEN i >= 3 THEN 'Part ' || (i // 3) || ' · ' ELSE '' END || 'Chapter ' || i AS title, 1::BIGINT AS n,
+1 + (i % 2 = 0)::INT + len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n_lines FROM n""")
 def heading_levels(spark, sf_dir):
-    """Markdown of parts and chapters: a part before every third chapter, prefix of those after it."""
+    """Markdown of parts and chapters, a document each: a part before every third chapter, prefix of those after it."""
     from pyspark.sql import Window
 
     d = load(spark, sf_dir, "documents").withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     part = F.when(F.col("i") % 3 == 0, F.concat(F.lit("# Part "), F.floor(F.col("i") / 3).cast("string"), F.lit("\n"))).otherwise("")
-    body = F.concat(part, F.lit("## Chapter "), F.col("i").cast("string"), F.lit(" ##\n```\n# no heading\n```"), F.when(F.col("i") % 2 == 0, "\n### deeper").otherwise(""))
-    lines = tx.lines_of(d.select("source", "i", body.alias("text")), "text").select("source", (F.col("i").cast("long") * 1000 + F.col("pos")).alias("pos"), "line")
+    body = F.concat(part, F.lit("## Chapter "), F.col("i").cast("string"), F.lit(" ##\n```\n# no heading\n```"), F.when(F.col("i") % 2 == 0, "\n### deeper").otherwise(""), F.lit("\n"), F.col("text"))
+    lines = tx.lines_of(d.select("source", "i", body.alias("text")), "text").select("source", (F.col("i").cast("long") * 1_000_000 + F.col("pos")).alias("pos"), "line")
     out = segment.assemble_levels(segment.markdown_items(lines, ["source"]), ["source"])
-    return out.groupBy("source", "title").agg(F.countDistinct("idx").alias("n"))
+    return out.groupBy("source", "title").agg(F.countDistinct("idx").alias("n"), F.count(F.lit(1)).alias("n_lines"))
 
 
-@query("""SELECT source, doc_id, (doc_id % 2 = 0)::INT::BIGINT AS headings, (CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS texts FROM documents""")
+@query("""SELECT source, doc_id, (doc_id % 2 = 0)::INT::BIGINT AS headings, (doc_id % 2 + doc_id % 2 + len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')))::BIGINT AS texts FROM documents""")
 def markdown_fence(spark, sf_dir):
     d = load(spark, sf_dir, "documents")
-    body = F.when(F.col("doc_id") % 2 == 0, F.lit("# Head [x](y)\n\ntext")).otherwise(F.lit("```py\n# Head\n```\n![text](z)"))
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Head [x](y)\n\n"), "text")).otherwise(F.concat(F.lit("```py\n# Head\n"), "text", F.lit("\n```\n![text](z)")))
     items = segment.markdown_items(tx.lines_of(d.select("source", "doc_id", body.alias("text")), "text"), ["source", "doc_id"])
     return items.groupBy("source", "doc_id").agg(F.count("level").alias("headings"), F.count_if(F.col("level").isNull()).alias("texts"))
 
@@ -589,15 +592,15 @@ def progress(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'http://h/' || doc_id AS f, 'http://h/' || (doc_id * 2 + 1) AS t FROM documents UNION ALL SELECT 'http://h/' || doc_id, 'http://h/' || (doc_id * 2 + 2) FROM documents),
-r AS (SELECT 'http://h/0' AS url, 0 AS depth UNION ALL SELECT e.t, r.depth + 1 FROM r JOIN e ON e.f = r.url WHERE r.depth < 5) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
+r AS (SELECT 'http://h/0' AS url, 0 AS depth UNION ALL SELECT e.t, r.depth + 1 FROM r JOIN e ON e.f = r.url) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def crawl_frontier(spark, sf_dir):
-    """A tree of pages over doc_id, five levels deep (63 pages)."""
+    """A tree of pages over all documents, to its end."""
     d = load(spark, sf_dir, "documents")
     page = lambda c: F.concat(F.lit("http://h/"), c.cast("string"))
     edges = d.select(page(F.col("doc_id")).alias("from_url"), F.explode(F.array(F.struct(page(F.col("doc_id") * 2 + 1).alias("href"), F.lit(0).alias("pos")), F.struct(page(F.col("doc_id") * 2 + 2).alias("href"), F.lit(1).alias("pos")))).alias("l"))
     edges = edges.select("from_url", "l.href", F.lit("next").alias("anchor"), "l.pos")
     starts = spark.createDataFrame([("http://h/0#top", 0)], "url string, ord int")
-    return catalog.crawl(edges, starts, depth=5, max_pages=100)[0].select("url", "depth")
+    return catalog.crawl(edges, starts, depth=64, max_pages=None)[0].select("url", "depth")
 
 
 FEED_ITEM = "'<item><title>' || doc_id || '</title><link>http://n/' || doc_id || '</link></item>'"

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from scriptorium.plans import catalogue
+from scriptorium.plans import catalogue, listings  # noqa: F401
 
 
 @pytest.fixture(scope="module")
