@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,6 +210,47 @@ def test_repeats_small_vocabulary(spark):
     assert sorted(map(tuple, got.collect()), key=str) == repeats_brute(rows, 8)
 
 
+def test_paths_compact_through_joins(spark):
+    """A long copied text is one path, its source at its coordinates; a common passage within other texts splits no more than it must."""
+    rng = random.Random(31)
+    text = words(rng, 900, 10**6)
+    rows = [(7, " ".join(text)), (9, " ".join(text)), (3, " ".join(words(rng, 40, 10**6) + text[200:500] + words(rng, 60, 10**6)))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    spans = [r for r in substring_dedup.repeated_spans(docs).collect() if r["digest"] is not None]
+    found = {r["doc_id"]: sorted((r["start"], r["words"], r["source"]) for r in spans if r["doc_id"] == r2) for r in spans for r2 in [r["doc_id"]]}
+    assert sorted(found) == [7, 9]
+    assert len(found[7]) == 1 and found[7][0][2] == 3 and found[7][0][0] >= 200 and sum(found[7][0][:2]) <= 500 and found[7][0][1] > 200
+    assert len(found[9]) == 3 and {x[2] for x in found[9]} == {3, 7}
+    for r in spans:
+        source = dict(rows)[r["source"]]
+        own = dict(rows)[r["doc_id"]].split()[r["start"] : r["start"] + r["words"]]
+        assert " ".join(own) in source and hashlib.sha256(" ".join(own).encode()).digest() == r["digest"]
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == repeats_brute(rows, 50)
+
+
+def test_compaction_of_chains(spark):
+    """Chains of any length against a plain walk."""
+    rng = random.Random(6)
+    nodes = list(range(1, 400))
+    rng.shuffle(nodes)
+    chains, at = [], 0
+    while at < len(nodes):
+        n = rng.choice([1, 2, 3, 50])
+        chains.append(nodes[at : at + n])
+        at += n
+    rows = [(v, (c[i + 1] if i + 1 < len(c) else 0), (c[i + 1] if i + 1 < len(c) else 0), 2 + ci, 1 + v % 5) for ci, c in enumerate(chains) for i, v in enumerate(c)]
+    got = substring_dedup.compacted(spark.createDataFrame(rows, "node long, next_low long, next_high long, passes long, n int"))
+    assert {tuple(r) for r in got.collect()} == {(c[0], sum(1 + v % 5 for v in c)) for c in chains}
+
+
+def test_words_are_held_against_the_source(spark, monkeypatch):
+    """Spans whose words aren't those at the source's coordinates stay, whatever the hashes say."""
+    monkeypatch.setattr(substring_dedup, "_open_paths", lambda window: lambda batches: (pa.RecordBatch.from_arrays([pa.array([r["node"] for w in b.column(2).to_pylist() for r in w], pa.int64()), *(pa.nulls(sum(map(len, b.column(2).to_pylist())), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())), pa.array([b"wrong"] * sum(map(len, b.column(2).to_pylist())), pa.binary())], names=["node", "path", "place", "window", "doc_id", "digest"]) for b in batches))
+    text = " ".join(words(random.Random(1), 200, 10**6))
+    got = substring_dedup.remove_repeats(spark.createDataFrame([(1, text), (2, text)], SCHEMA)).collect()
+    assert [r["n_removed"] for r in got] == [0, 0]
+
+
 def test_repeats_edges(spark):
     docs = spark.createDataFrame([(1, "x y", 3, "z")], "doc_id long, text string, mark long, node string")
     assert tuple(substring_dedup.remove_repeats(docs).first()) == (1, 2, 0, "x y")
