@@ -41,9 +41,9 @@ SHINGLE = 5
 PERCENT = 75
 PARITY_BITS = 1024
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of text for each shingle, about, the slots for each, and the shingles that are summed up in one range, about.
-SHINGLE_BYTES, SLOTS_EACH, RANGE_SHINGLES = 6, 8, 1 << 22
+SHINGLE_BYTES, SLOTS_EACH, RANGE_SHINGLES = 6, 8, 1 << 21
 #: Ranges at least, so that all cores have some.
 LEAST_RANGES = 64
 #: A list of more entries is dealt out by class while lists of one class are dropped.
