@@ -1,8 +1,11 @@
 """Approximate nearest neighbours by cosine with cross-polytope hashing.
 
 Vectors are turned by fast Hadamard pseudo-rotations (three rounds of random signs and a Hadamard
-transform) and land in the bucket of the nearest signed axis; a query probes its nearest axes in each of
-several tables. Bucket and query blocks of bounded size meet in one task each and give their best pairs,
+transform) and land in the bucket of the nearest signed axis, or of one axis in each of several rotations
+where the vectors are so many that a bucket of one axis would be large. A query probes the nearest buckets in
+each of several tables; how many is measured: a bounded sample of queries is compared with all vectors, and as
+many buckets are probed as their true neighbours need for the recall aimed at. Where even all probes that may be
+made fall short of it, every query is compared with all. Bucket and query blocks of bounded size meet in one task each and give their best pairs,
 scored on the original vectors in double precision. Equal vectors are one entry with their smallest
 identifiers, so neither a very common vector nor its queries fill a bucket.
 """
@@ -19,9 +22,10 @@ from pyspark.sql import functions as F
 from scriptorium.session import durable
 
 NEAREST = 5
-#: Tables, and axes probed in each. Nearly uniform vectors of 64 dimensions, as the driver's, need 4 x 32 for a
-#: recall of 0.98; clustered ones need a fraction of it.
-TABLES, PROBES = 4, 32
+#: Tables, and buckets probed in each at most.
+TABLES, MOST_PROBES = 4, 1024
+#: Queries whose true neighbours the number of probes is measured on, and the share of these to be found.
+SAMPLE_QUERIES, RECALL = 256, 0.96
 ROUNDS = 3
 #: Entries and queries that meet in one task at most, about.
 ENTRY_BLOCK, QUERY_BLOCK = 8192, 2048
@@ -70,6 +74,40 @@ def axes(y: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(-signed, axis=1, kind="stable")[:, :n]
 
 
+def depth_of(entries: int, d: int) -> int:
+    """Rotations that make up a bucket, so that one of them holds about ENTRY_BLOCK of uniform vectors or more."""
+    signed, depth = 2 << max(0, int(d - 1).bit_length()), 1
+    while entries / signed ** (depth + 1) >= ENTRY_BLOCK / signed:
+        depth += 1
+    return depth
+
+
+def buckets(x: np.ndarray, table: int, depth: int, n: int) -> np.ndarray:
+    """The n nearest buckets of unit vectors in a table: the sums of their axes' lengths order combinations of one axis a rotation."""
+    code, length = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for j in range(depth):
+        y = rotate(x, table * depth + j)
+        top = axes(y, n)
+        own = np.take_along_axis(np.stack([y, -y], axis=2).reshape(len(y), -1), top, 1)
+        code = (code[:, :, None] * (2 * y.shape[1]) + top[:, None, :]).reshape(len(x), -1)
+        length = (length[:, :, None] + own[:, None, :]).reshape(len(x), -1)
+        best = np.argsort(-length, axis=1, kind="stable")[:, :n]
+        code, length = np.take_along_axis(code, best, 1), np.take_along_axis(length, best, 1)
+    return code
+
+
+def probes_for(queries: np.ndarray, found: np.ndarray, tables: int, depth: int, recall: float = RECALL, most: int = MOST_PROBES) -> int | None:
+    """The least number of probes a table that finds so many of the pairs (a query and a true neighbour, as unit vectors); null if none does."""
+    need = np.full(len(queries), most)
+    for t in range(tables):
+        for i in range(0, len(queries), 64):  # the queries' buckets are `most` numbers each
+            at = buckets(queries[i : i + 64], t, depth, most) == buckets(found[i : i + 64], t, depth, 1)
+            need[i : i + 64] = np.minimum(need[i : i + 64], np.where(at.any(axis=1), at.argmax(axis=1), most))
+    need = np.sort(need)
+    last = int(need[max(0, int(np.ceil(recall * len(need))) - 1)]) + 1
+    return last if last <= most else None
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows, x in matrices(batch.column(1)):
@@ -78,8 +116,8 @@ def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _dealt(tables: int, probes: int):
-    """(key, vector, ...) to a row for each table and probed axis."""
+def _dealt(tables: int, depth: int, probes: int):
+    """(key, vector, ...) to a row for each table and probed bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,11 +127,11 @@ def _dealt(tables: int, probes: int):
                 rows = np.flatnonzero(d == size)
                 x = unit(np.frombuffer(b"".join([vectors[i] for i in rows])).reshape(len(rows), size))
                 for t in range(tables):
-                    found = axes(rotate(x, t), probes)
+                    found = buckets(x, t, depth, probes)
                     part = batch.take(pa.array(np.repeat(rows, found.shape[1])))
                     n = len(part)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, t, np.int32)), pa.array(found.reshape(-1).astype(np.int32)), *part.columns], names=["table", "axis", *part.schema.names]
+                        [pa.array(np.full(n, t, np.int32)), pa.array(found.reshape(-1)), *part.columns], names=["table", "bucket", *part.schema.names]
                     )
 
     return run
@@ -124,10 +162,11 @@ def _best(most: int):
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES, probes: int | None = None, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of the candidates found, best first, ties to the smaller identifier.
 
-    is_query is a condition on the identifier. Candidates are all rows but the query's own. Vectors that
+    is_query is a condition on the identifier. probes: buckets probed in each table; if null, as many as a sample of
+    SAMPLE_QUERIES queries needs for the recall. Candidates are all rows but the query's own. Vectors that
     are null, zero, empty or hold null or non-finite components take no part, nor do rows without an
     identifier; only vectors of equal length are compared. A query whose probes find fewer than k is
     compared with all vectors, in blocks. A repeated identifier counts once for each distinct vector.
@@ -156,9 +195,25 @@ def nearest(vectors: DataFrame, is_query, k: int = NEAREST, tables: int = TABLES
         by = [*keys, "qb", "vb"]
         return qs.groupBy(*by).cogroup(vs.groupBy(*by)).applyInArrow(_best(most), "key binary, vec_id long, score double")
 
-    dealt_q = queries.mapInArrow(_dealt(tables, probes), "table int, axis int, key binary, vector binary, d int")
-    dealt_v = entries.mapInArrow(_dealt(tables, 1), "table int, axis int, key binary, vector binary, d int, ids array<long>")
-    found = durable(meet(dealt_q, dealt_v, ["d", "table", "axis"]).distinct(), "candidates")
+    sizes = entries.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    depth = depth_of(sizes["n"], sizes["d"]) if sizes else 1
+    if probes is None:
+        # Bounded: SAMPLE_QUERIES queries and k neighbours of each, for one length of vectors.
+        sample = queries.where(F.col("d") == (sizes["d"] if sizes else 0)).orderBy("key").limit(SAMPLE_QUERIES)
+        sample = durable(sample, "sampled-queries")
+        truth = meet(sample, entries.where(F.col("d") == (sizes["d"] if sizes else 0)).select("key", "vector", "d", "ids"), ["d"]).distinct()
+        nearest_first = Window.partitionBy("key").orderBy(F.desc("score"), "vec_id")
+        truth = truth.withColumn("at", F.row_number().over(nearest_first)).where(F.col("at") <= most).select("key", "vec_id")
+        other = rows.select("vec_id", F.col("key").alias("other"), F.col("vector").alias("found"))
+        pairs = truth.join(other, "vec_id").where("key <> other").join(sample.select("key", "vector"), "key").select("vector", "found").collect()
+        stacked = lambda name: unit(np.stack([np.frombuffer(p[name]) for p in pairs]))
+        probes = probes_for(stacked("vector"), stacked("found"), tables, depth, recall) if pairs else 1
+    if probes is None:
+        found = durable(meet(queries, entries.select("key", "vector", "d", "ids"), ["d"]).distinct(), "candidates")
+    else:
+        dealt_q = queries.mapInArrow(_dealt(tables, depth, probes), "table int, bucket long, key binary, vector binary, d int")
+        dealt_v = entries.mapInArrow(_dealt(tables, depth, 1), "table int, bucket long, key binary, vector binary, d int, ids array<long>")
+        found = durable(meet(dealt_q, dealt_v, ["d", "table", "bucket"]).distinct(), "candidates")
     few = queries.join(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most), "key", "left_anti")
     few = durable(few, "few-found")
     if not few.isEmpty():

@@ -378,6 +378,52 @@ def test_recall(spark, data):
     assert len(got) == 5 * (ids % 50 == 0).sum() and hit >= 0.9 * len(got)
 
 
+def clustered(n, d=32, groups=200, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, d))
+    return centres[rng.integers(0, groups, n)] + 0.05 * rng.normal(size=(n, d))
+
+
+def test_recall_on_clusters(spark):
+    """Few probes are enough there: the candidates are a small share of all, and the neighbours found are the true ones."""
+    x = neighbours.unit(clustered(4000))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(docs, lambda i: i % 50 == 0).toPandas()
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(set(np.argsort(-s)[:5]) & set(g.vec_id))
+    assert len(got) == 5 * 80 and hit >= 0.9 * len(got)
+    queries = x[::50]
+    true = np.argsort(-(queries @ x.T - 9 * (np.arange(4000) == np.arange(0, 4000, 50)[:, None])), axis=1)[:, :5]
+    probes = neighbours.probes_for(np.repeat(queries, 5, axis=0), x[true.reshape(-1)], 4, 1)
+    seen = np.zeros((80, 4000), bool)
+    for t in range(4):
+        own = neighbours.buckets(x, t, 1, 1)[:, 0]
+        for p in neighbours.buckets(queries, t, 1, probes).T:
+            seen |= own == p[:, None]
+    assert seen.mean() < 0.1 and np.take_along_axis(seen, true, 1).mean() >= 0.95
+
+
+def test_buckets_of_two_rotations():
+    x = neighbours.unit(np.random.default_rng(3).normal(size=(5, 8)))
+    assert neighbours.depth_of(100, 64) == 1 and neighbours.depth_of(10**7, 64) == 2 and neighbours.depth_of(10**9, 64) == 3
+    got = neighbours.buckets(x, 1, 2, 256)
+    signed = [np.stack([y, -y], axis=2).reshape(5, -1) for y in (neighbours.rotate(x, 2), neighbours.rotate(x, 3))]
+    for i in range(5):
+        sums = (signed[0][i][:, None] + signed[1][i][None, :]).reshape(-1)
+        assert sorted(got[i]) == list(range(256)) and np.allclose(sums[got[i]], np.sort(sums)[::-1])
+    assert neighbours.probes_for(x, x, 2, 2) == 1 and neighbours.probes_for(x, -x, 1, 1, most=1) is None
+
+
+def test_queries_against_all_where_probes_fall_short(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "probes_for", lambda *_: None)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(6).normal(size=(150, 6)))]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()} == nearest_brute(rows)
+
+
 def test_rotation_keeps_lengths():
     x = neighbours.unit(np.random.default_rng(2).normal(size=(7, 24)))
     y = neighbours.rotate(x, 3)
