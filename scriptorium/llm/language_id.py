@@ -26,6 +26,8 @@ ORDER = 4
 #: Distinct labelled texts that a language's model is fitted from at most, and their bytes (one text at least, whole);
 #: every fifth of them calibrates the rejection.
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 8 << 20
+#: Bits of a mark by which the marks are counted before the least are taken.
+LEAD_BITS = 10
 #: Models that are broadcast at once.
 MODEL_BYTES = 256 << 20
 #: Letters that the unigram model reckons with.
@@ -36,7 +38,7 @@ SHARPNESS = 4.0
 #: q being their deviation times sqrt(n) that QUANTILE of them stay below.
 SLACK_BITS, SPREADS, QUANTILE = 1.0, 3.0, 0.99
 #: Bytes of text that are scored at once; a longer text is scored alone.
-SCORED_BYTES = 2 << 20
+SCORED_BYTES = 1 << 20
 
 _B = 0x9E3779B97F4A7C15 | 1
 _WEIGHTS = np.array([pow(_B, j + 1, 1 << 64) for j in range(16)], np.uint64)
@@ -223,8 +225,14 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str | Column = "doc_id",
     marked = labelled.withColumn("mark", F.xxhash64("text").bitwiseAND(0x7FFFFFFFFFFFFFFF))
     # Texts that share a mark count as one; each task keeps the smallest marks it has, and the least of those are taken.
     marks = marked.select("lang", "mark", F.octet_length("text").cast("long").alias("bytes")).mapInArrow(_least_marks, "lang string, mark long, bytes long")
+    marks = durable(marks.groupBy("lang", "mark").agg(F.max("bytes").alias("bytes")), "task-marks")
+    # Counts of the marks' leading bits tell beyond which of them none can be among the least, so that a language's window stays small.
+    lead = F.shiftright("mark", 63 - LEAD_BITS)
+    counts = marks.groupBy("lang", lead.alias("lead")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("so_far", F.sum("n").over(Window.partitionBy("lang").orderBy("lead")))
+    bounds = durable(counts.groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("so_far") >= SAMPLE_ROWS, F.col("lead"))), F.max("lead")).alias("last")), "mark-bounds")
     ordered = Window.partitionBy("lang").orderBy("mark")
-    chosen = marks.groupBy("lang", "mark").agg(F.max("bytes").alias("bytes")).withColumns({"place": F.row_number().over(ordered), "so_far": F.sum("bytes").over(ordered)})
+    chosen = marks.join(bounds, "lang").where(lead <= F.col("last")).withColumns({"place": F.row_number().over(ordered), "so_far": F.sum("bytes").over(ordered)})
     chosen = durable(chosen.where((F.col("place") <= SAMPLE_ROWS) & ((F.col("so_far") <= SAMPLE_BYTES) | (F.col("place") == 1))).select("lang", "mark"), "sample-marks")
     # Written out, the marks are a plain table, which Spark broadcasts while it is small.
     sample = marked.join(chosen, ["lang", "mark"]).groupBy("lang", "mark").agg(F.min("text").alias("text"))

@@ -27,9 +27,9 @@ END_ID = 2
 #: Pieces partitioned at once; the state is one row of window sums for each.
 BATCH_PIECES = 2048
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 2 << 20
 #: Words whose ids a worker remembers; beyond that it keeps those of its last batch.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 400_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
