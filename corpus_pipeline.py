@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to packed training sequences.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the
-next stage's docs. All but the last keep the columns of documents.
+next stage's docs. All but the last keep the columns of documents, whatever their names, and further ones. An
+empty table stays empty in every stage; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,31 +21,31 @@ from scriptorium.session import durable, load
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or far from every language that the labelled rows teach, go."""
+    """Documents without letters (null ones among them), or far from every language that the labelled rows teach, go. Repeated rows share their fate."""
     prepare(spark)
     return keep_identified(docs, docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the one with the largest doc_id stays."""
+    """Of equal texts, the one with the largest doc_id stays; null and empty texts are equal, repeated rows are copies, a null doc_id is the smallest."""
     prepare(spark)
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    """Of each group of linked documents, the one with the smallest doc_id stays; without words each doc_id stays, repeated rows once, a null doc_id only alone."""
     prepare(spark)
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it; those not taken go."""
+    """Each document as often as its source's target takes it; those not taken go. Texts without words stay once; null sources are one source; of repeated rows one stands for all."""
     prepare(spark)
     return take_mix(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences of 4096 tokens."""
+    """The pieces of the documents in sequences of 4096 tokens; null texts are empty, repeated rows are packed each for itself."""
     prepare(spark)
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
