@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm.components import components
 from scriptorium.llm.rows import keep_rows
 from scriptorium.llm.words import chunks, grams, mix, pack_sorted, unpack_sorted, words
+from scriptorium.llm.workers import forget
 from scriptorium.session import durable
 
 SHINGLE = 5
@@ -112,6 +113,7 @@ def _summaries(k: int, bits: int, range_bits: int):
     """Chunks to a row for each document, and one for each range with the slots of the chunk's classes, repeated as often as they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
                 classes: dict[int, np.ndarray] = {}
@@ -173,6 +175,7 @@ def _index(k: int, percent: int, bits: int, boundary: int):
     """
 
     def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         levels: dict[int, bytes] = {}
         text, own = None, set()
         for batch in tables:

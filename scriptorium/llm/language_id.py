@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm.words import mix, slices
+from scriptorium.llm.workers import forget
 from scriptorium.session import durable
 
 ORDER = 4
@@ -180,6 +181,7 @@ def _applied(shared, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
 
+        forget()
         names = np.array([x[0] for x in shared.value], object)
         models = [pickle.loads(x[1]) for x in shared.value]
         means, spreads = (np.array([x[i] for x in shared.value]) for i in (2, 3))

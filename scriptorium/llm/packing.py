@@ -9,7 +9,6 @@ window is short of the capacity is left to padding, about 1 % of it with batches
 
 from __future__ import annotations
 
-import functools
 import heapq
 import os
 from collections.abc import Iterator
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm.words import slices
+from scriptorium.llm.workers import remembered
 
 CAPACITY = 4096
 END_ID = 2
@@ -102,10 +102,9 @@ class WordEncoder:
             yield b"".join(map(known, words)) + self.end
 
 
-@functools.lru_cache(maxsize=2)
 def encoder_of(path: str, end_id: int | None) -> WordEncoder:
-    """One for each worker process, which keeps what it knows between tasks."""
-    return WordEncoder(path, end_id)
+    """One for each worker process, which keeps what it knows between tasks of packing."""
+    return remembered(("packing", path, end_id), lambda: WordEncoder(path, end_id))
 
 
 def difference(sizes: list[int], windows: int) -> np.ndarray:

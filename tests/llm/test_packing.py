@@ -112,3 +112,15 @@ def test_query(spark, data):
     assert sums.max() <= 4096 and 4096 * len(sums) - sums.sum() <= 0.05 * sums.sum()
     for r in got.itertuples():
         assert r.ids_crc32 == zlib.crc32(np.asarray(docs[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(docs[r.doc_id])
+
+
+def test_workers_keep_one_operator(monkeypatch):
+    from scriptorium.llm import workers
+
+    monkeypatch.setattr(workers, "_kept", {})
+    first = packing.encoder_of(PATH, 2)
+    assert packing.encoder_of(PATH, 2) is first
+    packing.encoder_of(PATH, None)
+    assert packing.encoder_of(PATH, 2) is not first
+    workers.forget()
+    assert not workers._kept
