@@ -19,6 +19,9 @@ from scriptorium.llm.packing import pack
 from scriptorium.llm.queries import prepare
 from scriptorium.session import durable, load
 
+#: Words that packing's workers remember here, where executors hold the buffers of the stages before, too.
+MEMORY_WORDS = 300_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters (null ones among them), or far from every language that the labelled rows teach, go. Repeated rows share their fate."""
@@ -47,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 4096 tokens; null texts are empty, repeated rows are packed each for itself."""
     prepare(spark)
-    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), memory_words=MEMORY_WORDS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -28,7 +28,7 @@ END_ID = 2
 BATCH_PIECES = 2048
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
 ENCODED_BYTES = 4 << 20
-#: Words whose ids a worker remembers; beyond that it keeps those of its last batch.
+#: Words whose ids a worker remembers, unless a caller says otherwise; beyond that it keeps those of its last batch.
 MEMORY_WORDS = 800_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -42,13 +42,14 @@ class WordEncoder:
     drops it: then a text's ids are those of its words, one after another.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID):
+    def __init__(self, path: str, end_id: int | None = END_ID, memory_words: int = MEMORY_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
         self.known: dict[bytes, bytes] = {}
+        self.memory_words = memory_words
         ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
         self.folds = ids("AbZ") == ids("abz")
         # Where the model marks the ends of words, many words can be encoded as one text and told apart again.
@@ -94,7 +95,7 @@ class WordEncoder:
             found.append((raw.lower() if self.folds and b"<|" not in raw else raw).split())
         distinct = set().union(*found)
         new = distinct.difference(self.known)
-        if len(self.known) + len(new) > MEMORY_WORDS:
+        if len(self.known) + len(new) > self.memory_words:
             self.known = {w: self.known[w] for w in distinct if w in self.known}
         self._learn(new)
         known = self.known.__getitem__
@@ -102,9 +103,9 @@ class WordEncoder:
             yield b"".join(map(known, words)) + self.end
 
 
-def encoder_of(path: str, end_id: int | None) -> WordEncoder:
+def encoder_of(path: str, end_id: int | None, memory_words: int = MEMORY_WORDS) -> WordEncoder:
     """One for each worker process, which keeps what it knows between tasks of packing."""
-    return remembered(("packing", path, end_id), lambda: WordEncoder(path, end_id))
+    return remembered(("packing", path, end_id, memory_words), lambda: WordEncoder(path, end_id, memory_words))
 
 
 def difference(sizes: list[int], windows: int) -> np.ndarray:
@@ -161,18 +162,18 @@ def near_equal(sizes: list[int], capacity: int) -> list[list[int]]:
     return [x for x in out if x]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text", memory_words: int = MEMORY_WORDS) -> DataFrame:
     """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit).
 
     Each token lies in exactly one piece; the pieces of a sequence follow each other from offset 0.
     Null text counts as empty: with an end id it gives one piece of one token, without one none.
     Texts of any length are cut as they come. Repeated rows are packed each for itself. An empty table
     gives no rows; other columns are ignored, whatever their names. tokenizer_path must be readable on
-    the executors.
+    the executors. memory_words bounds the words whose ids a worker remembers (about 0.2 kB each); it changes time, not results.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(tokenizer_path, end_id)
+        encoder = encoder_of(tokenizer_path, end_id, memory_words)
         serial = TaskContext.get().partitionId() << 40
         rest: list[tuple] = []
 

@@ -33,6 +33,13 @@ def test_encoder_on_any_text(text):
     assert np.frombuffer(got, "<u4").tolist() == plain(text)
 
 
+def test_memory_changes_no_ids():
+    encoder = packing.WordEncoder(PATH, memory_words=3)
+    for text in TEXTS * 2:
+        assert np.frombuffer(next(encoder.encode([text])), "<u4").tolist() == plain(text)
+        assert len(encoder.known) <= 3 + 3 * len(set((text or "").lower().split()))
+
+
 def test_encoder_other_kinds():
     path = public_tokenizers.path("byte_bpe_50k.json")
     # Its words keep their leading space: not a tokenizer for this encoder, but single words agree.
