@@ -13,8 +13,10 @@ from scriptorium.llm.lm_score import score_documents
 from scriptorium.llm.mixing import mix
 from scriptorium.llm.neighbours import nearest
 from scriptorium.llm.packing import pack
+from scriptorium.llm.quality_rules import judge_quality
 from scriptorium.llm.substring_dedup import remove_repeats
 from scriptorium.llm.url_filter import RULES, judge_urls
+from scriptorium.llm.vector_codes import compress
 from scriptorium.llm.warc import round_trip
 from scriptorium.session import load, ship
 
@@ -150,6 +152,83 @@ FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN reach r ON r.a = d.doc_
 """
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    judged = judge_quality(load(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: Regular expressions of the character classes, in the operator's order; what is in none is the last.
+_CLASSES = [
+    r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[.,;:!?]", r"""['"()-]""", r"[#*$%&|<>]",
+    r"[\x{80}-\x{2FF}]", r"[\x{300}-\x{7FF}]", r"[\x{800}-\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]",
+]
+
+
+def _op11_sql() -> str:
+    counts = [f"length(text) - length(regexp_replace(text, '{c.replace(chr(39), chr(39) * 2)}', '', 'g'))" for c in _CLASSES]
+    counts.append(f"length(text) - {' - '.join(f'({c})' for c in counts)}")
+    listed = ", ".join(f"({c})::BIGINT" for c in counts)
+    part = "p * log2(2 * p / (p + q)) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
+    return rf"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(generate_series(1, len(ws) - 2)) AS s, ws FROM w WHERE len(ws) >= 3),
+grams AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, ws[s], ws[s + 1], ws[s + 2]) AS n FROM starts),
+covered AS (SELECT doc_id, count(DISTINCT s + i) AS n FROM grams, (SELECT unnest([0, 1, 2]) AS i) WHERE n > 1 GROUP BY doc_id),
+rows AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM rows WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id),
+base AS (SELECT w.doc_id, lang, text, ws, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, [{listed}] AS classes,
+    len(ws) < 50 OR 100 * coalesce(covered.n, 0) > 50 * len(ws) AS base_failed
+    FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id LEFT JOIN dups ON w.doc_id = dups.doc_id),
+held AS (SELECT lang, text, any_value(ws) AS ws, any_value(classes) AS classes, count(*) AS n, sum(count(*)) OVER (PARTITION BY lang) AS all_rows FROM base WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang, text),
+times AS (SELECT lang, ws, classes, CASE WHEN n > 1 AND n * 1000 > all_rows THEN 1 ELSE n END AS n FROM held),
+counted AS (SELECT lang, word, sum(n)::BIGINT AS n FROM (SELECT lang, n, unnest(list_transform(ws, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS word FROM times) GROUP BY lang, word),
+totals AS (SELECT lang, sum(n) AS total FROM counted GROUP BY lang HAVING sum(n) >= 5000),
+common AS (SELECT c.lang, word, n::DOUBLE / total AS q FROM counted c JOIN totals t ON c.lang = t.lang WHERE n * 500 >= total),
+bins AS (SELECT lang, word, q FROM common UNION ALL SELECT t.lang, NULL, greatest(0, 1 - coalesce(sum(q), 0)) FROM totals t LEFT JOIN common c ON t.lang = c.lang GROUP BY t.lang),
+kinds AS (SELECT lang, i, sum(x * n)::DOUBLE AS x FROM (SELECT lang, n, unnest(classes) AS x, generate_subscripts(classes, 1) AS i FROM times) GROUP BY lang, i),
+shares AS (SELECT lang, i, x / sum(x) OVER (PARTITION BY lang) AS q FROM kinds WHERE lang IN (SELECT lang FROM totals)),
+own AS (SELECT doc_id, lang, x::DOUBLE / length(text) AS p, i FROM (SELECT doc_id, lang, text, unnest(classes) AS x, generate_subscripts(classes, 1) AS i FROM base WHERE length(text) >= 300)),
+class_far AS (SELECT doc_id, sqrt(greatest(0, 0.5 * (sum({part}) + 1 - sum(q)))) AS d FROM own o JOIN shares s ON o.lang = s.lang AND o.i = s.i WHERE p > 0 GROUP BY doc_id),
+placed AS (SELECT doc_id, t.lang, n_words, c.word FROM (SELECT doc_id, lang, n_words, translate(unnest(ws), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word FROM base WHERE n_words >= 50) t
+    JOIN totals ON t.lang = totals.lang LEFT JOIN common c ON t.lang = c.lang AND t.word = c.word),
+mine AS (SELECT doc_id, lang, word, count(*)::DOUBLE / any_value(n_words) AS p FROM placed GROUP BY doc_id, lang, word),
+word_far AS (SELECT doc_id, sqrt(greatest(0, 0.5 * (sum({part}) + 1 - sum(q)))) AS d FROM mine m JOIN bins b ON m.lang = b.lang AND m.word IS NOT DISTINCT FROM b.word GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(c.d <= 0.32, true) AND coalesce(v.d <= 0.2 + 2.0 / sqrt(n_words), true) AS kept
+FROM base b LEFT JOIN class_far c ON b.doc_id = c.doc_id LEFT JOIN word_far v ON b.doc_id = v.doc_id
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return compress(load(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql() -> str:
+    s = """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (SELECT vec_id, label, p, list_slice(v, p * (len(v) // 4) + 1, (p + 1) * (len(v) // 4)) AS x FROM kept, (SELECT unnest([0, 1, 2, 3]) AS p)),
+long AS (SELECT vec_id, p, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM cut),
+book0 AS (SELECT p, e, i, x AS c FROM long JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < 256)"""
+    for r in range(5):
+        s += f""",
+near{r} AS (SELECT vec_id, p, min(d * 256 + e) AS best FROM (SELECT l.vec_id, l.p, b.e, sum((l.x - b.c) * (l.x - b.c))::BIGINT AS d FROM long l JOIN book{r} b ON l.p = b.p AND l.i = b.i GROUP BY ALL) GROUP BY ALL)"""
+        if r < 4:
+            s += f""",
+mean{r} AS (SELECT p, e, i, s, n FROM (SELECT l.p, n.best % 256 AS e, l.i, sum(l.x)::BIGINT AS s, count(*) AS n FROM long l JOIN near{r} n ON l.vec_id = n.vec_id AND l.p = n.p GROUP BY ALL)),
+book{r + 1} AS (SELECT b.p, b.e, b.i, CASE WHEN m.n IS NULL THEN b.c ELSE (m.s - ((m.s % m.n) + m.n) % m.n) // m.n END AS c FROM book{r} b LEFT JOIN mean{r} m ON b.p = m.p AND b.e = m.e AND b.i = m.i)"""
+    return s + """,
+coded AS (SELECT k.vec_id, k.label, string_agg(lpad(lower(to_hex(best % 256)), 2, '0'), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM kept k JOIN near4 n ON k.vec_id = n.vec_id GROUP BY k.vec_id, k.label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) FROM book4) AS codebooks_sha256 FROM coded
+"""
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -162,6 +241,8 @@ def queries() -> dict:
         "op8_neighbours": op8_neighbours,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_quality_rules": op11_quality_rules,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
@@ -172,4 +253,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": OP5_SQL,
         "op9_exact_dedup": OP9_SQL,
         "op10_jaccard_join": OP10_SQL,
+        "op11_quality_rules": _op11_sql(),
+        "op13_vector_codes": _op13_sql(),
     }

@@ -140,3 +140,61 @@ def grams(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(mix(hashes, salt) * up[:-1], out=sums[1:])
     return mix((sums[k:] - sums[:n]) * down[:n], salt + k)
+
+
+def byte_table(characters: bytes) -> np.ndarray:
+    """Which bytes are among these."""
+    table = np.zeros(256, bool)
+    table[list(characters)] = True
+    return table
+
+
+_AS_LOWER = np.arange(256, dtype=np.uint8)
+_AS_LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def lower_az(data: np.ndarray) -> np.ndarray:
+    return _AS_LOWER[data]
+
+
+class Spans(NamedTuple):
+    first: int  #: the first document's row in the batch
+    at: np.ndarray  #: document i has the spans at[i] to at[i + 1]
+    edges: np.ndarray  #: and the bytes edges[i] to edges[i + 1]
+    data: np.ndarray  #: the texts' bytes
+    inside: np.ndarray  #: which of them are in a span
+    starts: np.ndarray  #: each span's first byte
+    ends: np.ndarray  #: and the one after its last
+
+
+def spans(column: pa.Array, separators: np.ndarray) -> Iterator[Spans]:
+    """The runs of bytes that are no separators, within each text of a column, some documents at a time; null has none."""
+    column = column.cast(pa.large_string()).fill_null("")
+    if not len(column):
+        return
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    for i, j in slices(column):
+        part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        inside = ~separators[part]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        cut = edges[(edges > 0) & (edges < len(part))]
+        begins[cut] = inside[cut]
+        ends[cut - 1] = inside[cut - 1]
+        s = np.flatnonzero(begins)
+        yield Spans(i, np.searchsorted(s, edges), edges, part, inside, s, np.flatnonzero(ends) + 1)
+
+
+def span_texts(data: np.ndarray, inside: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The spans as texts, from their bytes and sizes."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside])))
+
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(each text's number, the distinct texts): equal texts have equal numbers."""
+    coded = texts.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
