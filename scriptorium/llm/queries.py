@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.llm.collocations import collocations
 from scriptorium.llm.exact_dedup import exact_dedup
 from scriptorium.llm.jaccard_join import near_duplicates
 from scriptorium.llm.language_id import held_out, identify
@@ -203,6 +204,31 @@ FROM base b LEFT JOIN class_far c ON b.doc_id = c.doc_id LEFT JOIN word_far v ON
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return collocations(load(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4]) AS k),
+starts AS (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS s FROM w, sizes WHERE len(ws) >= k),
+counts AS (SELECT lang, k, phrase, count(*) AS n FROM (SELECT lang, k, array_to_string(ws[s:s + k - 1], ' ') AS phrase FROM starts) GROUP BY ALL HAVING count(*) >= 30),
+cand AS (SELECT lang, k AS size, phrase, n AS a, string_split(phrase, ' ') AS ws FROM counts WHERE k >= 2),
+cuts AS (SELECT lang, phrase, size, a, ws, unnest(generate_series(1, size - 1)) AS k FROM cand),
+scored AS (SELECT c.lang, c.phrase, a, c.k, l.n AS l, r.n AS r, (2000000::HUGEINT * a) // (l.n + r.n) AS score FROM cuts c
+    JOIN counts l ON c.lang = l.lang AND l.phrase = array_to_string(ws[1:c.k], ' ') JOIN counts r ON c.lang = r.lang AND r.phrase = array_to_string(ws[c.k + 1:size], ' ')),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM scored) WHERE i = 1),
+subs AS (SELECT c.lang, c.size, ws, a, m.k AS m, unnest(generate_series(1, c.size - m.k + 1)) AS s FROM cand c, sizes m WHERE m.k >= 2 AND m.k < c.size),
+longer AS (SELECT lang, array_to_string(ws[s:s + m - 1], ' ') AS phrase, max(a) AS most FROM subs GROUP BY ALL),
+kept AS (SELECT w.* FROM worst w LEFT JOIN longer g ON w.lang = g.lang AND w.phrase = g.phrase WHERE g.most IS NULL OR 100 * g.most < 80 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT d.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked d JOIN totals t ON d.lang = t.lang WHERE rank <= 2000
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return compress(load(spark, sf_dir, "embeddings"))
@@ -242,6 +268,7 @@ def queries() -> dict:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_quality_rules": op11_quality_rules,
+        "op12_collocations": op12_collocations,
         "op13_vector_codes": op13_vector_codes,
     }
 
@@ -254,5 +281,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_exact_dedup": OP9_SQL,
         "op10_jaccard_join": OP10_SQL,
         "op11_quality_rules": _op11_sql(),
+        "op12_collocations": OP12_SQL,
         "op13_vector_codes": _op13_sql(),
     }
