@@ -57,20 +57,46 @@ def upsert_days(stream: DataFrame, path: str, key: str, size: str, arrival: str,
 
 
 def unseen(stream: DataFrame, harvested: str, out: str, checkpoint: str) -> DataStreamWriter:
-    """Files of watches that were not harvested before, appended to `out` and to the harvested table."""
+    """Files of watches that were not harvested before, added to `out` and to the harvested table.
 
-    def step(batch: DataFrame, _: int) -> None:
+    Each batch has a folder of its own in both, stream=.../batch=..., which a second try of the batch overwrites, and what it holds its files against
+    leaves out its own folder: a failure at any point, between the two writes too, leaves neither doubles nor gaps.
+    """
+    import hashlib
+
+    mine = hashlib.md5(checkpoint.encode()).hexdigest()[:12]  # a stream keeps its checkpoint; another one counts its batches anew
+
+    def step(batch: DataFrame, number: int) -> None:
         from scriptorium.session import durable
 
         spark = batch.sparkSession
-        known = spark.read.schema("watch_id string, url string").parquet(harvested)
+        known = harvested_files(spark, harvested).where(~((F.col("stream") == mine) & (F.col("batch") >= number)))
         fresh = durable(catalog.new_files(batch.dropDuplicates(["watch_id", "url"]), known), "fresh-files")
-        fresh.write.mode("append").parquet(out)
-        fresh.select("watch_id", "url").write.mode("append").parquet(harvested)
+        folder = f"stream={mine}/batch={number}"
+        fresh.write.mode("overwrite").parquet(f"{out.rstrip('/')}/{folder}")
+        fresh.select("watch_id", "url").write.mode("overwrite").parquet(f"{harvested.rstrip('/')}/{folder}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
+def harvested_files(spark: SparkSession, path: str) -> DataFrame:
+    """(watch_id, url, stream, batch) of what was harvested so far."""
+    from pyspark.errors import AnalysisException
+
+    schema = "watch_id string, url string, stream string, batch long"
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def start_harvested(files: DataFrame, path: str) -> None:
+    """The files (watch_id, url) that were harvested before any stream."""
+    files.select("watch_id", "url").distinct().write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream=before/batch=-1")
+
+
 class SessionProcessor(StatefulProcessor):
     """Arbitrary state by session: turns' JSON folded in their order of arrival."""
 
