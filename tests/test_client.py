@@ -59,8 +59,8 @@ ODD = ["<![x[y]]>text", "<![CDATA[ x", "<!", "<![if !IE]><p>a</p><![endif]>", "<
 def test_odd_markup(html):
     hx.html_to_lines(html)
     hx.split_by_headings(html * 4)
-    hx.candidates(html, "book")
-    hx.candidates(html, "news")
+    hx.main_block(html, "book")
+    hx.main_block(html, "news")
     hx.anchors(html, "http://[bad")
     hx.anchors(html, "http://a/")
     assert hx.book_meta(html + "<meta property='og:image' content='http://[x'>", "http://[bad")["cover"] == ""
