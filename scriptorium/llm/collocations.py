@@ -1,11 +1,14 @@
 """Phrase collocations by merged count-min sketches and an exact second pass.
 
 Texts are cut at sentence punctuation and line ends into pieces, pieces into words, and every run of one to four words of a
-piece is an n-gram of its language. The first pass sketches: each chunk of texts adds its n-grams, by hash, to slots in each of
-ROWS rows of counters. The rows are as wide as the corpus needs (about a slot for every 4 to 8 bytes of text), and are dealt out in ranges of
-slots: a range's task merges the chunks' lists of slots and sends every chunk those of its slots that reached the threshold. Sums
-of slots never are below an n-gram's own count, so nothing frequent is lost. The second pass counts, for each chunk, only the
-n-grams whose slots reached it in all rows, by the words themselves, and Spark adds these counts up exactly.
+piece is an n-gram of its language. The first pass sketches: every few MB of text, a task adds its n-grams, by hash, to slots in each of
+ROWS rows of counters. The rows are as wide as the corpus needs (a slot for every 32 bytes of text, or some four n-grams that no other equals),
+and are dealt out in ranges of slots: a range's task merges all tasks' lists of slots and keeps those that reached the threshold. Sums
+of slots never are below an n-gram's own count, so nothing frequent is lost. The second pass counts only the n-grams whose slots
+reached it in all rows, by the words themselves, and Spark adds these counts up exactly.
+
+How the second pass learns of the slots depends on their number: up to KNOWN_SLOTS they are sent to every task; beyond that texts are
+put in chunks, the chunks' own slots meet those that reached the threshold range by range, and each chunk gets back its own.
 
 A phrase's score compares its count with those of the two parts that its worst cut leaves. Parts of a frequent phrase are at
 least as frequent, so all counts that are needed are among the survivors. Phrases that mostly occur in one longer phrase are subsumed.
@@ -13,6 +16,7 @@ least as frequent, so all counts that are needed are among the survivors. Phrase
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import byte_table, chunks, lower_az, mix, numbered, pack_sorted, span_texts, spans, unpack_sorted
-from scriptorium.llm.workers import forget
+from scriptorium.llm.words import byte_table, chunks, lower_az, mix, numbered, pack_sorted, slices, span_texts, spans, unpack_sorted
+from scriptorium.llm.workers import forget, remembered
 from scriptorium.session import durable
 
 LONGEST, LEAST, TOP, SUBSUMED = 4, 30, 2000, 80
@@ -31,16 +35,23 @@ LONGEST, LEAST, TOP, SUBSUMED = 4, 30, 2000, 80
 BREAKS = byte_table(b".,;:!?\n\x0b\x0c\r")
 SPACES = byte_table(b" \t")
 #: Rows of counters, bits of the number of counters in a range, and bytes of text for each range.
-ROWS, RANGE_BITS, RANGE_TEXT = 2, 20, 1 << 22
+ROWS, RANGE_BITS, RANGE_TEXT = 2, 20, 1 << 25
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
-
-_LISTS = "chunk long, row int, part int, packed binary"
+#: Slots that are sent to every task at most.
+KNOWN_SLOTS = 4_000_000
+#: Bytes of text that a task of the second pass counts at least, where there are twice as many tasks as cores: a phrase is a row of each task that meets it.
+COUNT_TEXT = 64 << 20
+#: New counts that a task adds up at once, or as many as it holds, and phrases whose sums it holds before it gives them out.
+NEW_COUNTS, HELD_PHRASES = 400_000, 1_500_000
+
+_SLOTS = "row int, part int, packed binary"
+_HITS = "chunk long, row int, part int, packed binary"
 _COUNTED = "lang string, phrase string, n long"
 
 
-def _grams(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, pa.Array, list[tuple[np.ndarray, np.ndarray]]]]:
-    """(lang, text) to, some documents at a time: each word's language and number, the words by number, (langs by number), and for k = 1 to LONGEST
+def _grams(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, pa.Array, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(lang, text) to, some documents at a time: each word's language and number, the words and the languages by number, and for k = 1 to LONGEST
     the first words' places of all n-grams of k words, and their hashes."""
     langs = rows.column(0).cast(pa.string()).dictionary_encode()
     names = langs.dictionary
@@ -64,67 +75,99 @@ def _grams(rows: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Ar
                 gram = mix(gram[:n] * np.uint64(0x9E3779B97F4A7C15) + word[k - 1 :], 32 + k)
                 at = np.flatnonzero((breaks[:n] == breaks[k - 1 :]) & (doc[:n] == doc[k - 1 :]))
             found.append((at, gram[at]))
-        yield lang, ids, known, size, names, found
+        yield lang, ids, known, names, found
 
 
 def slots(grams: np.ndarray, row: int, ranges: int) -> np.ndarray:
-    """Their counters in a row: the range in the upper bits. ranges is a power of two."""
-    bits = RANGE_BITS + ranges.bit_length() - 1
-    return mix(grams, 41 + row) >> np.uint64(64 - bits)
+    """Their counters in a row: the range in the upper bits."""
+    h = mix(grams, 41 + row)
+    return ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32) << np.uint64(RANGE_BITS)) | (h & np.uint64((1 << RANGE_BITS) - 1))
+
+
+def _lists(found: list[np.ndarray], ranges: int) -> Iterator[tuple[int, int, bytes]]:
+    """(row, range, sorted slots in it, repeats included) of n-grams."""
+    every = np.concatenate(found)
+    found.clear()
+    low = np.uint64((1 << RANGE_BITS) - 1)
+    for row in range(ROWS):
+        own = np.sort(slots(every, row, ranges))
+        edges = np.searchsorted(own, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(RANGE_BITS))
+        for i in np.flatnonzero(np.diff(edges)):
+            yield row, int(i), pack_sorted(own[edges[i] : edges[i + 1]] & low)
+
 
+def _batch(rows: list[tuple], **kinds) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
 
-def _sketch(ranges: int):
-    """Chunks to the sorted slots of their n-grams, repeats included, in each row and range."""
+
+def _sketch(ranges: int, most: int):
+    """(lang, text) to the lists of their n-grams' slots, `most` bytes of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
+        found, size = [], 0
         for batch in batches:
-            for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
-                found: list[np.ndarray] = []
-                for rows in pa.ipc.open_stream(text.as_buffer()):
-                    for *_, grams in _grams(rows):
-                        found += [g for _, g in grams]
-                every = np.concatenate(found) if found else np.zeros(0, np.uint64)
-                del found
-                for row in range(ROWS):
-                    own = np.sort(slots(every, row, ranges))
-                    edges = np.searchsorted(own, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(RANGE_BITS))
-                    parts = np.flatnonzero(np.diff(edges))
-                    low = np.uint64((1 << RANGE_BITS) - 1)
-                    packed = [pack_sorted(own[edges[i] : edges[i + 1]] & low) for i in parts]
-                    n = len(parts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, chunk), pa.int64()), pa.array(np.full(n, row), pa.int32()), pa.array(parts, pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "row", "part", "packed"]
-                    )
+            for i, j in slices(batch.column(1)):
+                part = batch.slice(i, j - i)
+                for *_, grams in _grams(part):
+                    found += [g for _, g in grams]
+                size += part.column(1).nbytes
+                if found and size >= most:
+                    yield _batch(list(_lists(found, ranges)), row=pa.int32(), part=pa.int32(), packed=pa.binary())
+                    size = 0
+        if found:
+            yield _batch(list(_lists(found, ranges)), row=pa.int32(), part=pa.int32(), packed=pa.binary())
 
     return run
 
 
 def _merge(least: int):
-    """A range's lists of all chunks to those of each chunk's slots whose sums are least or more. Lists are held as they come, packed."""
+    """A range's lists to its slots whose sums are least or more; lists are added one by one."""
 
     def run(key: tuple[pa.Scalar, ...], lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << RANGE_BITS, np.int64)
-        held = []
         for batch in lists:
-            for chunk, packed in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist()):
-                own = unpack_sorted(packed)
+            for packed in batch.column("packed"):
+                own = unpack_sorted(packed.as_py())
                 first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 counters[own[first]] += np.diff(first, append=len(own))
-                held.append((chunk, packed))
-        reached = counters >= least
-        for chunk, packed in held:
-            own = unpack_sorted(packed)
-            own = np.unique(own[reached[own]])
-            if len(own):
-                one = [chunk, key[0].as_py(), key[1].as_py(), pack_sorted(own)]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "row", "part", "packed"])
+        reached = np.flatnonzero(counters >= least).astype(np.uint64)
+        if len(reached):
+            yield _batch([(key[0].as_py(), key[1].as_py(), len(reached), pack_sorted(reached))], row=pa.int32(), part=pa.int32(), n=pa.int64(), packed=pa.binary())
 
     # Spark reads how groups are passed from the hints, which are not in a closure's reach as names.
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "lists": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
+class Reached:
+    """The slots of each row that reached the threshold; most others are told by a table of bits of their numbers."""
+
+    def __init__(self, found: list[tuple[int, int, bytes]], ranges: int):
+        self.ranges = ranges
+        self.rows, self.maybe = [], []
+        for row in range(ROWS):
+            parts = [unpack_sorted(packed) + (np.uint64(part) << np.uint64(RANGE_BITS)) for r, part, packed in found if r == row]
+            self.rows.append(np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64))
+            table = np.zeros(1 << max(10, min(25, (16 * len(self.rows[-1])).bit_length())), bool)
+            table[self.rows[-1] & np.uint64(len(table) - 1)] = True
+            self.maybe.append(table)
+
+    def holds(self, grams: np.ndarray) -> np.ndarray:
+        """Which places of these n-grams have slots among them in all rows."""
+        at = np.arange(len(grams))
+        for row, (known, maybe) in enumerate(zip(self.rows, self.maybe)):
+            if not len(known):
+                return at[:0]
+            own = slots(grams, row, self.ranges)
+            some = np.flatnonzero(maybe[own & np.uint64(len(maybe) - 1)])
+            own = own[some]
+            some = some[known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own]
+            at, grams = at[some], grams[some]
+        return at
+
+
 def _number(pairs: np.ndarray) -> np.ndarray:
     return np.unique(pairs, return_inverse=True)[1]
 
@@ -144,52 +187,109 @@ def phrases(ids: np.ndarray, known: pa.Array, lang: np.ndarray, names: pa.Array,
     return pa.table({"lang": names.take(pa.array(lang[at][first])), "phrase": text, "n": n})
 
 
-def _count(ranges: int):
-    """A chunk's texts and its slots that reached the threshold to the counts of its n-grams that may have, and of all its words with a null phrase."""
+def _counts(rows: pa.RecordBatch, reached: Reached) -> Iterator[pa.Table]:
+    """(lang, text) to the counts of the n-grams that may be frequent, and of all words with a null phrase."""
+    for lang, ids, words, names, grams in _grams(rows):
+        yield pa.table({"lang": names, "phrase": pa.nulls(len(names), pa.large_string()), "n": np.bincount(lang, minlength=len(names))})
+        for k, (at, gram) in enumerate(grams, 1):
+            live = reached.holds(gram)
+            if len(live):
+                yield phrases(ids, words, lang, names, at[live], k)
+
+
+def _summed(held: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(["lang", "phrase", "n"])
+
+
+def _given(total: pa.Table) -> Iterator[pa.RecordBatch]:
+    for b in total.to_batches(max_chunksize=50_000):
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("phrase").cast(pa.string()), b.column("n")], names=["lang", "phrase", "n"])
+
+
+def _count(found: list[tuple[int, int, bytes]], ranges: int):
+    """(lang, text) to the counts of what may be frequent, added up over a task as long as they are few."""
+    mark = uuid.uuid4().hex  # a worker keeps the table of one plan between its tasks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reached = remembered(("phrases", mark), lambda: Reached(found, ranges))
+        total, held = None, []
+        for batch in batches:
+            for table in _counts(batch, reached):
+                held.append(table)
+                if sum(map(len, held)) > max(NEW_COUNTS, 0 if total is None else len(total)):
+                    total, held = _summed(held if total is None else [total, *held]), []
+                    if len(total) > HELD_PHRASES:
+                        yield from _given(total)
+                        total = None
+        if held or total is not None:
+            yield from _given(_summed(held if total is None else [total, *held]))
+
+    return run
+
+
+def _own_slots(ranges: int):
+    """Chunks to the lists of their n-grams' slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        for batch in batches:
+            for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
+                found = [g for rows in pa.ipc.open_stream(text.as_buffer()) for *_, grams in _grams(rows) for _, g in grams]
+                if found:
+                    yield _batch([(chunk, *x) for x in _lists(found, ranges)], chunk=pa.int64(), row=pa.int32(), part=pa.int32(), packed=pa.binary())
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's list of a range, and the range's slots that reached the threshold, to those of the chunk."""
+    for batch in batches:
+        rows = []
+        for chunk, row, part, mine, all_ in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.intersect1d(unpack_sorted(mine), unpack_sorted(all_))
+            if len(own):
+                rows.append((chunk, row, part, pack_sorted(own)))
+        yield _batch(rows, chunk=pa.int64(), row=pa.int32(), part=pa.int32(), packed=pa.binary())
+
+
+def _count_chunk(ranges: int):
+    """A chunk's texts and its slots that reached the threshold to the counts of what may be frequent."""
 
     def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits: list[list[np.ndarray]] = [[] for _ in range(ROWS)]
-        text = None
+        found, text = [], None
         for batch in tables:
-            for row, part, packed in zip(batch.column("row").to_pylist(), batch.column("part").to_pylist(), batch.column("packed").to_pylist()):
+            for row, part, packed in zip(*(batch.column(c).to_pylist() for c in ("row", "part", "packed"))):
                 if row is None:
                     text = packed
                 else:
-                    hits[row].append(unpack_sorted(packed) + (np.uint64(part) << np.uint64(RANGE_BITS)))
-        known = [np.sort(np.concatenate(x)) if x else np.zeros(0, np.uint64) for x in hits]
-        held: list[pa.Table] = []
-        for rows in pa.ipc.open_stream(text):
-            for lang, ids, words, _, names, grams in _grams(rows):
-                n = np.bincount(lang, minlength=len(names))
-                held.append(pa.table({"lang": names, "phrase": pa.nulls(len(names), pa.large_string()), "n": n}))
-                for k, (at, gram) in enumerate(grams, 1):
-                    for row, reached in enumerate(known):
-                        own = slots(gram, row, ranges)
-                        place = np.minimum(np.searchsorted(reached, own), max(0, len(reached) - 1))
-                        live = reached[place] == own if len(reached) else np.zeros(len(own), bool)
-                        at, gram = at[live], gram[live]
-                    if len(at):
-                        held.append(phrases(ids, words, lang, names, at, k))
+                    found.append((row, part, packed))
+        reached = Reached(found, ranges)
+        held = [t for rows in pa.ipc.open_stream(text) for t in _counts(rows, reached)]
         if held:
-            total = pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("n", "sum")])
-            for b in total.to_batches(max_chunksize=50_000):
-                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("phrase").cast(pa.string()), b.column("n_sum")], names=["lang", "phrase", "n"])
+            yield from _given(_summed(held))
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "tables": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
 
 
-def frequent(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES, known_slots: int = KNOWN_SLOTS) -> DataFrame:
     """(lang, phrase, n): the exact counts of all n-grams of one to LONGEST words that occur `least` times or more in a language; a null phrase has all its words."""
     rows = docs.select(F.coalesce(docs[f"`{lang_col}`"], F.lit("und")).alias("lang"), docs[f"`{text_col}`"].alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    ranges = 1 << max(0, -(-size // RANGE_TEXT) - 1).bit_length()
-    # Written out, so that both passes see the same chunks.
-    held = durable(rows.mapInArrow(chunks(chunk_bytes, 1), "chunk long, packed binary"), "phrase-chunks")
-    hits = held.mapInArrow(_sketch(ranges), _LISTS).groupBy("row", "part").applyInArrow(_merge(least), _LISTS)
-    none = F.lit(None).cast("int")
-    whole = held.select("chunk", none.alias("row"), none.alias("part"), "packed")
-    counted = durable(hits, "phrase-hits").union(whole).groupBy("chunk").applyInArrow(_count(ranges), _COUNTED)
+    ranges = max(1, -(-size // RANGE_TEXT))
+    merged = rows.mapInArrow(_sketch(ranges, chunk_bytes), _SLOTS).groupBy("row", "part").applyInArrow(_merge(least), "row int, part int, n long, packed binary")
+    reached = durable(merged, "phrase-slots")
+    if (reached.agg(F.sum("n").alias("n")).first()["n"] or 0) <= known_slots:
+        found = [(r["row"], r["part"], bytes(r["packed"])) for r in reached.collect()]  # bounded: about two bytes for each of known_slots
+        tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // COUNT_TEXT))
+        counted = rows.coalesce(tasks).mapInArrow(_count(sorted(found), ranges), _COUNTED)
+    else:
+        # Written out, so that both passes see the same chunks.
+        held = durable(rows.mapInArrow(chunks(chunk_bytes, 1), "chunk long, packed binary"), "phrase-chunks")
+        both = held.mapInArrow(_own_slots(ranges), _HITS).join(reached.select("row", "part", F.col("packed").alias("all")), ["row", "part"]).select("chunk", "row", "part", "packed", "all")
+        hits = durable(both.mapInArrow(_meet, _HITS), "phrase-hits")
+        none = F.lit(None).cast("int")
+        counted = hits.union(held.select("chunk", none.alias("row"), none.alias("part"), "packed")).groupBy("chunk").applyInArrow(_count_chunk(ranges), _COUNTED)
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull())
 
 

@@ -25,17 +25,17 @@ def prose(rng, n, words, weights):
 
 def sample_docs(seed=5):
     rng = random.Random(seed)
-    vocabulary = {"en": [f"word{i}" for i in range(300)] + ["the", "of", "And", "to."], "fr": [f"mot{i}é" for i in range(300)] + ["le", "Là,", "de"]}
+    vocabulary = {"en": [f"word{i}" for i in range(3000)] + ["the", "of", "And", "to."], "fr": [f"mot{i}é" for i in range(3000)] + ["le", "Là,", "de"]}
     rows, i = [], 0
     for lang, words in vocabulary.items():
-        weights = [1] * 300 + [60] * (len(words) - 300)
+        weights = [1] * 3000 + [600] * (len(words) - 3000)
         for _ in range(120):
             rows.append((i, prose(rng, rng.randint(30, 260), words, weights) + rng.choice(["", "\n\nline one\nline one\n x", "\t#*$%"]), lang))
             i += 1
-    rows += [(i, prose(rng, 200, vocabulary["fr"], [1] * 303), "en"), (i + 1, "%%% ### " * 100, "en"), (i + 2, " ".join(f"{w}&&&" for w in vocabulary["en"]), "en")]
-    rows += [(i + 3, None, "en"), (i + 4, "", None), (None, "a b c a b c", "en"), (i + 5, "a b c " * 40, "en"), (i + 6, prose(rng, 90, vocabulary["en"], [1] * 304), None), (i + 7, prose(rng, 90, vocabulary["en"], [1] * 304), "xx")]
+    rows += [(i, prose(rng, 200, vocabulary["fr"], [1] * 3003), "en"), (i + 1, "%%% ### " * 100, "en"), (i + 2, " ".join(f"{w}&&&" for w in vocabulary["en"][-304:]), "en")]
+    rows += [(i + 3, None, "en"), (i + 4, "", None), (None, "a b c a b c", "en"), (i + 5, "a b c " * 40, "en"), (i + 6, prose(rng, 90, vocabulary["en"], [1] * 3004), None), (i + 7, prose(rng, 90, vocabulary["en"], [1] * 3004), "xx")]
     rows += [rows[3]] * 40  # one text in many rows
-    rows.append((i + 8, prose(rng, 60_000, vocabulary["en"], [1] * 300 + [60] * 4), "en"))  # a very long text
+    rows.append((i + 8, prose(rng, 60_000, vocabulary["en"], [1] * 3000 + [600] * 4), "en"))  # a very long text
     return rows
 
 
@@ -169,12 +169,12 @@ def phrase_docs(seed=11):
     return rows
 
 
-@pytest.mark.parametrize("chunk_bytes", [4 << 20, 3000])
-def test_collocations(spark, chunk_bytes, monkeypatch):
+@pytest.mark.parametrize("chunk_bytes,known_slots", [(4 << 20, 4_000_000), (3000, 4_000_000), (3000, 0)])
+def test_collocations(spark, chunk_bytes, known_slots, monkeypatch):
     rows = phrase_docs()
     if chunk_bytes < 1 << 20:
         monkeypatch.setattr(collocations, "RANGE_TEXT", 1 << 15)  # several ranges
-    got = collocations.collocations(docs_of(spark, rows), chunk_bytes=chunk_bytes)
+    got = collocations.collocations(docs_of(spark, rows), chunk_bytes=chunk_bytes, known_slots=known_slots)
     assert sorted(map(tuple, got.collect())) == sorted(phrases_brute(rows))
 
 
@@ -195,10 +195,13 @@ def test_sketch_never_underestimates():
     rng = np.random.default_rng(1)
     grams = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     for row in range(collocations.ROWS):
-        at = collocations.slots(grams, row, 4)
-        assert at.max() < 4 << collocations.RANGE_BITS
-        assert len(np.unique(at >> np.uint64(collocations.RANGE_BITS))) == 4
-        assert (at == collocations.slots(grams, row, 4)).all()
+        at = collocations.slots(grams, row, 5)
+        assert at.max() < 5 << collocations.RANGE_BITS
+        assert len(np.unique(at >> np.uint64(collocations.RANGE_BITS))) == 5
+        assert (at == collocations.slots(grams, row, 5)).all()
+    lists = [(r, p, collocations.pack_sorted(np.unique(collocations.unpack_sorted(x)))) for r, p, x in collocations._lists([grams[:1000]], 5)]
+    reached = collocations.Reached(lists, 5)
+    assert set(range(1000)) <= set(reached.holds(grams).tolist()) and len(reached.holds(grams)) < 1100
 
 
 # ---------------------------------------------------------------- vector codes
