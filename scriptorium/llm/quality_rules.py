@@ -82,15 +82,17 @@ def repeated_lines(data: np.ndarray, edges: np.ndarray, starts: np.ndarray) -> n
     breaks = np.flatnonzero(data == 0x0A)
     begins = np.union1d(edges[:-1][np.diff(edges) > 0], breaks + 1)
     begins = begins[begins < len(data)]
+    if not len(begins):
+        return np.zeros(len(edges) - 1, np.int64)
     ends = np.append(begins[1:], len(data))
-    ends = ends - (data[ends - 1] == 0x0A) if len(ends) else ends
+    ends = ends - (data[ends - 1] == 0x0A)
     worded = np.searchsorted(starts, ends) > np.searchsorted(starts, begins)
     doc = np.searchsorted(edges, begins, "right") - 1
     ids, _ = numbered(span_texts(data, data != 0x0A, ends - begins))
     own, docs = ids[worded], doc[worded]
-    distinct = np.unique(docs * (int(ids.max()) + 1 if len(ids) else 1) + own)
-    n = len(edges) - 1
-    return np.bincount(docs, minlength=n) - np.bincount(distinct // (int(ids.max()) + 1 if len(ids) else 1), minlength=n)
+    wide, n = int(ids.max()) + 1, len(edges) - 1
+    distinct = np.unique(docs * wide + own)
+    return np.bincount(docs, minlength=n) - np.bincount(distinct // wide, minlength=n)
 
 
 def _sums(of: np.ndarray, edges: np.ndarray) -> np.ndarray:
