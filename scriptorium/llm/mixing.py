@@ -1,15 +1,14 @@
 """Mixing of sources to target weights by subset-sum budget fitting.
 
 Documents are counted by source and exact length. A source's target is met by whole rounds of all its
-documents and a remaining budget below one round. That budget is spread evenly over the lengths, and
-what rounding leaves is fitted by bounded-knapsack dynamic programming over the lengths' remaining
-counts. The documents that fill each length's count are picked by a seeded hash; a length that many
+documents and a remaining budget below one round. That budget is met by bounded-knapsack dynamic programming over
+the lengths and their counts, around an even start that it can undo: no choice of documents comes nearer. The documents that fill each length's count are picked by a seeded hash; a length that many
 documents share is dealt over buckets of that hash, so no group has to meet in one task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
@@ -20,57 +19,88 @@ from scriptorium.llm.rows import keep_rows
 from scriptorium.session import durable
 
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Words that are left to the dynamic program at least, where the budget has so many: its memory is a few bits for each.
-PROGRAM_WORDS = 1 << 16
+#: Sums on either side of its start that the dynamic program looks at first.
+WINDOW = 1 << 16
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int = 0) -> list[int]:
-    """How many documents of each length to take, so that their words come as near the budget as the program can bring them.
+def _nearest(sums: np.ndarray, free: int, most: int, unit: int, budget: int) -> tuple[int, int, int]:
+    """(distance, the sum's place, copies of the free length) of the nearest total to the budget; sums are those of the other lengths, in units."""
+    copies = np.stack([np.clip((budget // unit - sums) // free + i, 0, most) for i in (0, 1)])
+    totals = unit * (sums + free * copies)
+    far = np.abs(totals - budget)
+    at = np.lexsort((totals.reshape(-1), far.reshape(-1)))[0]
+    return int(far.reshape(-1)[at]), int(at % len(sums)), int(copies.reshape(-1)[at])
+
 
-    Each length first gives its share. Of the rest, PROGRAM_WORDS and at least twice the longest document's words go to
-    the dynamic program, so that it can still combine any lengths; what is beyond is taken length by length, in seeded
-    order. The program's answer is the nearest sum to what it was given; with many lengths that is the budget itself.
+def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int = 0) -> list[int]:
+    """How many documents of each length to take, so that their words come as near the budget as any choice can.
+
+    Start: each length's share of the budget, topped up in seeded order. The program then reaches sums around it: a bit for each sum, and for
+    each packet of 1, 2, 4, ... documents of a length a shift up, for documents more, or down, for fewer. The length with the most words is
+    left out of it, since any number of its documents can be taken in the end. The sums looked at are first those within WINDOW of the start;
+    if none is as near as the lengths' common divisor allows, four times as many, up to all that can matter: with a longest
+    document of L, a choice that is nearest differs from the start in 4 L + 1 documents at most, as
+    their lengths can be put in an order in which no partial sum leaves 2 L, and documents between two equal partial sums can be left out.
     """
-    total = sum(n * c for n, c in zip(lengths, counts))
+    live = [i for i, (n, c) in enumerate(zip(lengths, counts)) if n > 0 and c > 0]
+    taken = [0] * len(lengths)
+    total = sum(lengths[i] * counts[i] for i in live)
     if budget <= 0 or total == 0:
-        return [0] * len(lengths)
-    taken = [min(c, c * budget // total) for c in counts]
-    rest = budget - sum(n * t for n, t in zip(lengths, taken))
-    order = [int(i) for i in np.random.default_rng(seed).permutation(len(lengths)) if lengths[i] > 0]
-    window = max(PROGRAM_WORDS, 2 * max(lengths))
-    for i in order:
-        if rest <= window:
-            break
-        more = min(counts[i] - taken[i], (rest - window) // lengths[i] + 1)
+        return taken
+    if budget >= total:
+        return [c if n > 0 else 0 for n, c in zip(lengths, counts)]
+    unit = math.gcd(*(lengths[i] for i in live))
+    allowed = min(budget % unit, unit - budget % unit)
+    free = max(live, key=lambda i: (lengths[i] * counts[i], -lengths[i]))
+    others = [live[i] for i in np.random.default_rng(seed).permutation(len(live)) if live[i] != free]
+    for i in others:
+        taken[i] = counts[i] * budget // total
+    rest = budget - sum(lengths[i] * taken[i] for i in others)
+    rest -= lengths[free] * min(counts[free], max(0, rest) // lengths[free])
+    for i in others:
+        more = min(counts[i] - taken[i], max(0, rest) // lengths[i])
         taken[i] += more
         rest -= more * lengths[i]
-    # reach: a bit for each reachable sum; states: what was reachable before each packet of documents.
-    limit = 2 * rest
-    mask = (1 << (limit + 1)) - 1
-    reach, states = 1, []
-    for i in order:
-        left, size = counts[i] - taken[i], 1
-        while left > 0 and not reach >> rest & 1:
-            packet = min(size, left)
-            if packet * lengths[i] > limit:
+    start = sum(lengths[i] * taken[i] for i in others) // unit
+    room = sum(lengths[i] * counts[i] for i in others) // unit
+    longest = max(lengths[i] for i in live) // unit
+    enough = min(max(start, room - start), (4 * longest + 1) * longest)
+    window = min(WINDOW, enough)
+    while True:
+        mask = (1 << (2 * window + 1)) - 1
+        reach, states = 1 << window, []
+
+        def nearest(reach: int) -> tuple[int, int, int]:
+            bits = np.unpackbits(np.frombuffer(reach.to_bytes(2 * window // 8 + 1, "little"), np.uint8), bitorder="little")
+            offsets = np.flatnonzero(bits) - window
+            far, at, copies = _nearest(start + offsets, lengths[free] // unit, counts[free], unit, budget)
+            return far, int(offsets[at]), copies
+
+        best = nearest(reach)
+        for i in others:
+            if best[0] == allowed:
                 break
-            states.append((reach, i, packet))
-            reach |= reach << (packet * lengths[i]) & mask
-            left -= packet
-            size *= 2
-        if reach >> rest & 1:
+            for sign, left in ((1, counts[i] - taken[i]), (-1, taken[i])):
+                size = 1
+                while left > 0:
+                    packet = min(size, left)
+                    shift = packet * lengths[i] // unit
+                    if shift > 2 * window:
+                        break
+                    states.append((reach, i, sign * packet))
+                    reach |= (reach << shift) & mask if sign > 0 else reach >> shift
+                    left -= packet
+                    size *= 2
+            best = nearest(reach)
+        if best[0] == allowed or window >= enough:
             break
-    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reach >> (rest + 1)
-    goal = below
-    if above:
-        nearest = rest + 1 + (above & -above).bit_length() - 1
-        if nearest - rest < rest - below:
-            goal = nearest
+        window = min(4 * window, enough)
+    _, offset, taken[free] = best
+    at = offset + window
     for before, i, packet in reversed(states):
-        if not before >> goal & 1:
+        if not before >> at & 1:
             taken[i] += packet
-            goal -= packet * lengths[i]
+            at -= packet * lengths[i] // unit
     return taken
 
 

@@ -260,22 +260,41 @@ def test_languages_of_few_texts(spark, texts):
 # ---------------------------------------------------------------- mixing
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(1, 60), st.integers(1, 6), min_size=1, max_size=8), st.integers(0, 200))
-def test_budget_is_the_nearest_sum(counts, budget):
-    lengths, n = list(counts), list(counts.values())
-    total = sum(a * b for a, b in counts.items())
-    budget = min(budget, total)
-    taken = mixing.fit_budget(lengths, n, budget)
+@pytest.mark.parametrize("window", [2, 50, mixing.WINDOW])
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(0, 60), st.integers(0, 5), min_size=1, max_size=5), st.integers(1, 6), st.integers(0, 2000), st.integers(0, 9))
+def test_budget_is_the_nearest_sum(window, counts, unit, budget, seed):
+    """Of all sums of all choices, not only those above some start."""
+    lengths, n = [a * unit for a in counts], list(counts.values())
+    sums = {0}
+    for a, c in zip(lengths, n):
+        sums = {x + a * k for x in sums for k in range(c + 1)}
+    before, mixing.WINDOW = mixing.WINDOW, window
+    try:
+        taken = mixing.fit_budget(lengths, n, budget, seed)
+    finally:
+        mixing.WINDOW = before
     assert all(0 <= t <= c for t, c in zip(taken, n))
-    start = [c * budget // total for c in n]
-    sums = {sum(a * b for a, b in zip(lengths, start))}
-    for a, c, s in zip(lengths, n, start):
-        sums = {x + a * k for x in sums for k in range(c - s + 1)}
     got = sum(a * t for a, t in zip(lengths, taken))
     assert abs(got - budget) == min(abs(x - budget) for x in sums)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_budget_of_even_lengths(seed):
+    """The one document of odd length decides, wherever the order has it."""
+    lengths = [*range(2, 2001, 2), 1]
+    half = sum(lengths) // 4 * 2
+    for budget in (half, half + 1):
+        taken = mixing.fit_budget(lengths, [1] * len(lengths), budget, seed)
+        assert sum(a * t for a, t in zip(lengths, taken)) == budget
+
+
+def test_budget_out_of_reach():
+    assert mixing.fit_budget([1000, 7], [1_000_000, 3], 500_000_500) == [500_000, 3]
+    assert mixing.fit_budget([38, 9], [2, 3], 35) == [1, 0]
+    assert mixing.fit_budget([5], [3], 100) == [3] and mixing.fit_budget([], [], 5) == [] and mixing.fit_budget([0], [9], 5) == [0]
+
+
 def test_large_budgets():
     rng = random.Random(4)
     lengths = rng.sample(range(50, 9000), 300)
