@@ -26,9 +26,28 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+@lru_cache(maxsize=1)
+def _unsettled() -> str:
+    """A pattern of the characters without which a text is in normal form C: marks, what is never in that form, and what can join the one before it."""
+    joining = {d.split()[1] for d in (unicodedata.decomposition(chr(c)) for c in range(0xC0, 0x1F000)) if len(d.split()) == 2 and d[0] != "<"}
+    found = [c for c in range(0x300, 0x30000) if unicodedata.combining(chr(c)) or f"{c:04X}" in joining or 0x1161 <= c <= 0x1175 or 0x11A8 <= c <= 0x11C2 or not unicodedata.is_normalized("NFC", chr(c))]
+    ranges: list[list[int]] = []
+    for c in found:
+        if ranges and c == ranges[-1][1] + 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+#: Ranges of characters that always are in normal form C: to the spacing modifiers, Latin with several marks, dashes and quotes, CJK, Hangul syllables.
+SETTLED = [(0x00, 0x2FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x3001, 0x3029), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
+
+
 def nfc(c: Column) -> Column:
-    """Normal form C. ASCII is in it already: Python gets a null for it."""
-    return F.coalesce(_nfc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    """Normal form C. Where a text can only be in it already, Python gets a null for it. The long pattern is for texts with characters out of the ordinary."""
+    settled = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in SETTLED)
+    return F.coalesce(_nfc(F.when(c.rlike(f"[^{settled}]"), F.when(c.rlike(_unsettled()), c))), c)
 
 
 @lru_cache(maxsize=1)

@@ -12,40 +12,50 @@ from scriptorium.functions.text import STOP_WORDS, keywords
 from scriptorium.session import durable
 
 
+#: Common words that a pair must have among the rarest of the smaller set before it is compared.
+SHARED_RARE = 3
+
+
 def fuzzy_pairs(threads: DataFrame, resolved: DataFrame, thread_id: str, thread: str, resolved_id: str, text: str, least: int = 2, share: float = 0.5) -> DataFrame:
     """(thread_id, resolved_id, shared): at least two common keywords, and half of the smaller set's (JN-09).
 
-    Words are ordered from rare to common. Of the smaller set only as many of the rarest are looked up as must
-    hold a common one; the commonest words, which would pair everything, are rarely among them.
+    Words are ordered from rare to common. Of the smaller set only as many of the rarest are looked up as must hold SHARED_RARE of the
+    common ones (all that are needed, if fewer); the commonest words, which would pair everything, are rarely among them. Only pairs that share so many have their
+    words fetched and compared.
     """
-    a = durable(threads.select(F.col(thread_id).alias("id"), keywords(F.col(thread)).alias("k")).where(F.size("k") >= least).distinct(), "threads")
-    b = durable(resolved.select(F.col(resolved_id).alias("id"), keywords(F.col(text)).alias("k")).where(F.size("k") >= least).distinct(), "resolved")
-    counts = a.select(F.explode("k").alias("w")).union(b.select(F.explode("k").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    counts = durable(counts, "word-counts")
+    sets = lambda rows, id_col, col: durable(rows.select(F.col(id_col).alias("id"), keywords(F.col(col)).alias("k")).where(F.size("k") >= least).distinct().withColumn("mark", F.xxhash64("k")), "keyword-sets")
+    a, b = sets(threads, thread_id, thread), sets(resolved, resolved_id, text)
+    counts = durable(a.select(F.explode("k").alias("w")).union(b.select(F.explode("k").alias("w"))).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "word-counts")
 
     def ranked(rows: DataFrame) -> DataFrame:
-        words = rows.select("id", F.xxhash64("k").alias("mark"), F.size("k").alias("size"), F.explode("k").alias("w")).join(counts, "w")
+        words = rows.select("id", "mark", F.size("k").alias("size"), F.explode("k").alias("w")).join(counts, "w")
         place = F.row_number().over(Window.partitionBy("id", "mark").orderBy("n", "w"))
         need = F.greatest(F.lit(least), F.ceil(F.col("size") * share))
-        return durable(words.select("id", "mark", "size", "w", (place <= F.col("size") - need + 1).alias("rare")), "ranked-words")
+        hits = F.least(F.lit(SHARED_RARE), need)
+        return durable(words.select("id", "mark", "size", "w", hits.alias("hits"), (place <= F.col("size") - need + hits).alias("rare")), "ranked-words")
 
-    x, y = (ranked(r).toDF(f"{p}_id", f"{p}_mark", f"{p}_size", "w", f"{p}_rare") for r, p in ((a, "a"), (b, "b")))
+    x, y = (ranked(r).toDF(*(f"{p}_{c}" if c != "w" else c for c in ("id", "mark", "size", "w", "hits", "rare"))) for r, p in ((a, "a"), (b, "b")))
     pair = ["a_id", "a_mark", "b_id", "b_mark"]
-    small = x.where("a_rare").join(y, "w").where("a_size <= b_size").select(*pair)
-    large = y.where("b_rare").join(x, "w").where("b_size < a_size").select(*pair)
-    both = small.union(large).distinct()
-    sets = lambda r, p: r.select(F.col("id").alias(f"{p}_id"), F.xxhash64("k").alias(f"{p}_mark"), F.col("k").alias(f"{p}_k"))
-    both = both.join(sets(a, "a"), ["a_id", "a_mark"]).join(sets(b, "b"), ["b_id", "b_mark"])
+    small = x.where("a_rare").join(y, "w").where("a_size <= b_size").select(*pair, F.col("a_hits").alias("hits"))
+    large = y.where("b_rare").join(x, "w").where("b_size < a_size").select(*pair, F.col("b_hits").alias("hits"))
+    both = small.union(large).groupBy(*pair, "hits").agg(F.count(F.lit(1)).alias("n")).where("n >= hits").select(*pair)
+    own = lambda rows, p: rows.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "mark", "k")))
+    both = both.join(own(a, "a"), ["a_id", "a_mark"]).join(own(b, "b"), ["b_id", "b_mark"])
     both = both.withColumn("shared", F.size(F.array_intersect("a_k", "b_k")).cast("long"))
     close = (F.col("shared") >= least) & (F.col("shared") / F.least(F.size("a_k"), F.size("b_k")) >= share)
     return both.where(close).select(F.col("a_id").alias(thread_id), F.col("b_id").alias(resolved_id), "shared")
 
 
+#: Characters of the runs that prefixes without inner words are looked up by, and starts of runs that are taken from a text at once.
+GRAM, PIECE = 3, 256
+
+
 def not_contained(fresh: DataFrame, known: DataFrame, text: str, within: str, chars: int = 40) -> DataFrame:
     """Fresh rows whose first characters are in no known text, in any case (JN-10).
 
     A prefix of three words or more is looked up by the rarest of its inner words, which any text that holds it has
-    as a whole word, and only then compared. Shorter ones meet all substrings of their few lengths.
+    as a whole word. Others, such as short ones and those of scripts without spaces, are looked up by the rarest of their runs of GRAM characters (all of a
+    shorter one). Only then texts are compared.
     """
     rows = fresh.withColumn("p_", F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(chars))))
     texts = durable(known.select(F.lower(within).alias("t_")).where("t_ <> ''").distinct().withColumn("id_", F.xxhash64("t_")), "known-texts")
@@ -56,13 +66,18 @@ def not_contained(fresh: DataFrame, known: DataFrame, text: str, within: str, ch
     anchor = inner.groupBy("p_").agg(F.min(F.struct(F.coalesce("n_", F.lit(0)).alias("n_"), "w_"))["w_"].alias("w_"))
     met = anchor.join(tokens, "w_").select("p_", "id_").join(texts, "id_").where(F.contains("t_", F.col("p_")))
     found = texts.limit(1).select(F.lit("").alias("p_")).union(met.select("p_").distinct())  # the empty prefix is in any text
-    short, piece = prefixes.where("size(inner_) = 0").select("p_"), 256
-    lengths = [r[0] for r in short.select(F.length("p_")).distinct().collect()]  # at most `chars` numbers
-    for n in lengths:
-        starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t_") - n + 1), F.lit(piece))).alias("i_")
-        cuts = texts.where(F.length("t_") >= n).select("t_", starts).select(F.substring(F.col("t_"), F.col("i_"), F.lit(piece + n - 1)).alias("c_"))
-        subs = cuts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("c_") - n + 1), lambda i: F.substring(F.col("c_"), i, F.lit(n)))).alias("p_"))
-        found = found.union(subs.join(short.where(F.length("p_") == n), "p_", "left_semi").distinct())
+    rest = durable(prefixes.where("size(inner_) = 0").select("p_", F.least(F.lit(GRAM), F.length("p_")).alias("k_")), "short-prefixes")
+    for n in [r["k_"] for r in rest.select("k_").distinct().collect()]:  # GRAM numbers at most
+        grams = lambda c, n=n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(F.col(c), i, F.lit(n)))
+        of_prefix = durable(rest.where(F.col("k_") == n).select("p_", F.explode(F.array_distinct(grams("p_"))).alias("g_")), "prefix-grams")
+        starts = F.explode(F.sequence(F.lit(1), F.length("t_") - n + 1, F.lit(PIECE))).alias("i_")
+        pieces = texts.where(F.length("t_") >= n).select("id_", "t_", starts).select("id_", F.substring(F.col("t_"), F.col("i_"), F.lit(PIECE + n - 1)).alias("c_"))
+        of_text = pieces.select("id_", F.explode(F.array_distinct(grams("c_"))).alias("g_")).join(of_prefix.select("g_").distinct(), "g_", "left_semi").distinct()
+        of_text = durable(of_text, "text-grams")
+        often = of_text.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"))
+        anchor = of_prefix.join(often, "g_", "left").groupBy("p_").agg(F.min(F.struct(F.coalesce("n_", F.lit(0)).alias("n_"), "g_"))["g_"].alias("g_"))
+        met = anchor.join(of_text, "g_").select("p_", "id_").join(texts, "id_").where(F.contains("t_", F.col("p_")))
+        found = found.union(met.select("p_").distinct())
     return rows.join(found, "p_", "left_anti").drop("p_")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as tx
 from scriptorium.operators import batching, catalog, cleaning, news, segment
 from scriptorium.operators import session as sess
-from scriptorium.session import load, ship
+from scriptorium.session import durable, load, ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -58,11 +58,23 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx.lines_of(load(spark, sf_dir, "documents").select("source", "doc_id", "text"), "text")
 
 
+def normal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of texts that are normalised whole, before they are split: a line break joins no character."""
+    d = load(spark, sf_dir, "documents")
+    return tx.lines_of(d.select("source", "doc_id", tx.nfc(F.col("text")).alias("text")), "text")
+
+
+def cleaned_lines(lines: DataFrame) -> DataFrame:
+    # Written out, so that Spark knows how few repeated lines there are.
+    boilerplate = durable(cleaning.detect_boilerplate(lines, "source", "doc_id", SHARE), "boilerplate")
+    return cleaning.clean(lines, ["source", "doc_id"], boilerplate=boilerplate, book="source", normalise=False)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate and repeats out, counted by book."""
     ship(spark)
-    lines = doc_lines(spark, sf_dir)
-    kept = cleaning.clean(lines, ["source", "doc_id"], boilerplate=cleaning.detect_boilerplate(lines, "source", "doc_id", SHARE), book="source")
+    lines = normal_lines(spark, sf_dir)
+    kept = cleaned_lines(lines)
     raw = lines.groupBy("source").agg(F.countDistinct("doc_id").alias("n_docs"), F.count(F.lit(1)).alias("n_lines_raw"))
     return raw.join(kept.groupBy("source").agg(F.count(F.lit(1)).alias("n_lines_clean")), "source", "left").select("source", "n_docs", "n_lines_raw", F.coalesce("n_lines_clean", F.lit(0)).alias("n_lines_clean"))
 
@@ -86,8 +98,7 @@ def boilerplate_lines(spark, sf_dir):
 
 @query(f"WITH {LINES}, {BOILER}, {CLEAN} SELECT source, doc_id, pos, line FROM kept")
 def clean_lines(spark, sf_dir):
-    lines = doc_lines(spark, sf_dir)
-    out = cleaning.clean(lines, ["source", "doc_id"], boilerplate=cleaning.detect_boilerplate(lines, "source", "doc_id", SHARE), book="source")
+    out = cleaned_lines(normal_lines(spark, sf_dir))
     return out.select("source", "doc_id", F.col("pos").cast("long").alias("pos"), "line")
 
 

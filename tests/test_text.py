@@ -115,3 +115,22 @@ def test_split_reply(spark):
 @given(st.text(max_size=40))
 def test_json_never_raises(text):
     tx.first_json(text)
+
+
+def test_normal_form(spark):
+    """Python is only asked where it can matter, and no text that isn't in normal form passes by."""
+    import random
+    import re
+    import unicodedata
+
+    pattern = re.compile(re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), tx._unsettled()))
+    for a, b in tx.SETTLED:
+        assert not any(pattern.search(chr(c)) for c in range(a, b + 1))
+    rng = random.Random(3)
+    pool = [chr(c) for c in range(0x20, 0x30000) if not 0xD800 <= c < 0xE000]
+    marks = [c for c in pool if unicodedata.combining(c)]
+    texts = ["".join(rng.choice(marks if rng.random() < 0.3 else pool) for _ in range(rng.randint(1, 4))) for _ in range(20_000)]
+    texts += ["plain", "", "e\u0301", "Tiếng Việt", "Tie\u0302\u0301ng", "\u1112\u1161\u11ab", "\uac00\u11a8", "中文", "\u212b", "a\u0327\u0301", "a\u0301\u0327"]
+    assert all(unicodedata.is_normalized("NFC", t) or pattern.search(t) for t in texts)
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", tx.nfc(F.col("t")).alias("n")).collect()
+    assert all(r["n"] == (None if r["t"] is None else unicodedata.normalize("NFC", r["t"])) for r in rows)
