@@ -21,14 +21,12 @@ from pyspark.sql import functions as F
 from scriptorium.llm.words import chunks, mix, words
 from scriptorium.session import durable
 
-#: Bits of the number of words that the unigram models reckon with at least; where the corpus has more, all of those.
-WORD_BITS = 18
 #: Words that the unigram model counts for in each bigram context.
 PRIOR = 32.0
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 6 << 20
-#: Bits of the number of ranges that hashes are dealt into.
-RANGE_BITS = 10
+#: Bytes of text for each range that hashes are dealt into, about: there are as many ranges as the corpus needs.
+RANGE_TEXT = 8 << 20
 
 _COUNTS = "chunk long, part int, words long, learned long, tokens long, packed binary"
 
@@ -55,6 +53,13 @@ def _pack(columns: list[np.ndarray]) -> bytes:
     return np.array([len(x) for x in frames], "<u4").tobytes() + b"".join(frames)
 
 
+def _keys(packed: bytes, n: int) -> np.ndarray:
+    """The first column alone."""
+    size = int(np.frombuffer(packed, "<u4", 1)[0])
+    planes = np.frombuffer(zstandard.decompress(packed[4 * n : 4 * n + size]), np.uint8)
+    return np.cumsum(planes.reshape(8, -1).T.copy().view(np.uint64).reshape(-1))
+
+
 def _unpack(packed: bytes, n: int) -> np.ndarray:
     columns, start = [], 4 * n
     for size in np.frombuffer(packed, "<u4", n).tolist():
@@ -73,11 +78,15 @@ def _tally(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return every[first], np.diff(first, append=len(every))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(bits: int):
     """Chunks to the counts of their keys in each range: in the target and in all, then those of them that end a text.
 
-    A word's count as a context is that of its occurrences less those that end a text.
+    A word's count as a context is that of its occurrences less those that end a text. The upper bits of a key are its range.
     """
+    return lambda batches: _counted(batches, bits)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
             found: list[list[np.ndarray]] = [[] for _ in range(4)]
@@ -97,7 +106,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, n in tallies:
                 columns.append(np.zeros(len(own), np.int64))
                 columns[-1][np.searchsorted(own, x)] = n
-            edges = np.searchsorted(own >> np.uint64(64 - RANGE_BITS), np.arange((1 << RANGE_BITS) + 1, dtype=np.uint64))
+            edges = np.append(np.searchsorted(own, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(own))
             packed = [_pack([x[a:b] for x in columns]) for a, b in zip(edges[:-1], edges[1:])]
             none = pa.nulls(len(packed), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -106,20 +115,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _add(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A range's counts of all chunks to their sums, for each chunk at its own keys, with the range's distinct words and its tokens."""
-    chunks, parts = [], []
-    for batch in tables:
-        chunks += batch.column("chunk").to_pylist()
-        parts += [_unpack(x, 5) for x in batch.column("packed").to_pylist()]
-    at = np.cumsum([0, *(x.shape[1] for x in parts)])
-    every = np.concatenate(parts, axis=1)
-    del parts
-    known, of = np.unique(every[0], return_inverse=True)
-    sums = np.stack([np.bincount(of, weights=x, minlength=len(known)) for x in every[1:]])
+    """A range's counts of all chunks to their sums, for each chunk at its own keys, with the range's distinct words and its tokens.
+
+    Chunks' counts are held as they came, packed; only their keys are brought together, and counts added chunk by chunk.
+    """
+    held = [x for batch in tables for x in zip(batch.column("chunk").to_pylist(), batch.column("packed").to_pylist())]
+    known = np.unique(np.concatenate([_keys(packed, 5) for _, packed in held]))
+    sums = np.zeros((4, len(known)), np.int64)
+    for _, packed in held:
+        own = _unpack(packed, 5)
+        sums[:, np.searchsorted(known, own[0])] += own[1:].astype(np.int64)  # a chunk has each key once
     word = (known & np.uint64(1)).astype(bool)
     learned, tokens = (int(x[word].sum()) for x in sums[:2])
-    for i, chunk in enumerate(chunks):
-        mine = of[at[i] : at[i + 1]]
+    for chunk, packed in held:
+        mine = np.searchsorted(known, _keys(packed, 5))
         # The zeros stand where keys would.
         packed = _pack([np.zeros(len(mine), np.uint64), *(x[mine] for x in sums)])
         one = [chunk, key[0].as_py(), int(word.sum()), learned, tokens, packed]
@@ -143,52 +152,45 @@ def losses(counts: tuple[np.ndarray, ...], own: tuple[np.ndarray, ...], tokens:
     return -np.log2((pair + PRIOR * single) / (before + PRIOR))
 
 
-def _score(least_words: int):
+def _score(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A chunk's rows and its sums of each range to its documents' scores."""
-
-    def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        vocabulary, totals, text = 0, [0, 0], b""
-        for batch in tables:
-            for part, known, learned, tokens, packed in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "learned", "tokens", "packed"))):
-                if part is None:
-                    text = packed
-                else:
-                    sums[part] = _unpack(packed, 5)[1:]
-                    vocabulary, totals = vocabulary + known, [totals[0] + learned, totals[1] + tokens]
-        table = np.concatenate([sums.pop(i) for i in sorted(sums)], axis=1).astype(np.float64)
-        contexts = table[:2] - table[2:]
-        vocabulary = max(vocabulary, least_words)
-        held, sizes, found = [], [], []
-        for batch in pa.ipc.open_stream(text):
-            for w in words(batch.column(1)):
-                held.append(batch.slice(w.first, len(w.at) - 1))
-                sizes.append(np.diff(w.at))
-                found += keys(w.hashes, w.at)
-        own, of = np.unique(np.concatenate(found), return_inverse=True)
-        del found
-        if len(own) != table.shape[1]:
-            raise ValueError("a chunk's sums are not those of its keys")
-        start = 0
-        for batch, size in zip(held, sizes):
-            n = int(size.sum())
-            places = of[start : start + 3 * n].reshape(3, n)
-            start += 3 * n
-            doc = np.repeat(np.arange(len(size)), size)
-            less = tuple(own_counts(doc, x, len(own)) for x in places)
-            mine = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), size)
-            mean = []
-            for m, off in enumerate((tuple(x * mine for x in less), less)):
-                counts = (table[m, places[0]], contexts[m, places[1]], table[m, places[2]])
-                bits = losses(counts, off, float(totals[m]), vocabulary)
-                mean.append(np.bincount(doc, weights=bits, minlength=len(size)) / np.maximum(size, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size.astype(np.int64)), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
-            )
-
-    # Spark reads how groups are passed from the hints, which are not in a closure's reach as names.
-    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "tables": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    return run
+    sums: dict[int, np.ndarray] = {}
+    vocabulary, totals, text = 0, [0, 0], b""
+    for batch in tables:
+        for part, known, learned, tokens, packed in zip(*(batch.column(x).to_pylist() for x in ("part", "words", "learned", "tokens", "packed"))):
+            if part is None:
+                text = packed
+            else:
+                sums[part] = _unpack(packed, 5)[1:]
+                vocabulary, totals = vocabulary + known, [totals[0] + learned, totals[1] + tokens]
+    table = np.concatenate([sums.pop(i) for i in sorted(sums)], axis=1).astype(np.float64)
+    contexts = table[:2] - table[2:]
+    held, sizes, found = [], [], []
+    for batch in pa.ipc.open_stream(text):
+        for w in words(batch.column(1)):
+            held.append(batch.slice(w.first, len(w.at) - 1))
+            sizes.append(np.diff(w.at))
+            found += keys(w.hashes, w.at)
+    own, of = np.unique(np.concatenate(found), return_inverse=True)
+    del found
+    if len(own) != table.shape[1]:
+        raise ValueError("a chunk's sums are not those of its keys")
+    start = 0
+    for batch, size in zip(held, sizes):
+        n = int(size.sum())
+        places = of[start : start + 3 * n].reshape(3, n)
+        start += 3 * n
+        doc = np.repeat(np.arange(len(size)), size)
+        less = tuple(own_counts(doc, x, len(own)) for x in places)
+        mine = np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(bool), size)
+        mean = []
+        for m, off in enumerate((tuple(x * mine for x in less), less)):
+            counts = (table[m, places[0]], contexts[m, places[1]], table[m, places[2]])
+            bits = losses(counts, off, float(totals[m]), vocabulary)
+            mean.append(np.bincount(doc, weights=bits, minlength=len(size)) / np.maximum(size, 1))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(size.astype(np.int64)), pa.array(mean[0]), pa.array(mean[1]), pa.array(mean[0] - mean[1])], names=["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
+        )
 
 
 def score_documents(docs: DataFrame, in_target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,7 +205,9 @@ def score_documents(docs: DataFrame, in_target: Column, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(in_target, F.lit(False)).alias("target"))
     # Written out, so that counts and scores are those of one reading.
     held = durable(rows.mapInArrow(chunks(CHUNK_BYTES, 1), "chunk long, packed binary"), "scored-chunks")
-    sums = held.mapInArrow(_count, _COUNTS).groupBy("part").applyInArrow(_add, _COUNTS)
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("n")).first()["n"] or 0
+    bits = max(4, (size // RANGE_TEXT).bit_length())
+    sums = held.mapInArrow(_count(bits), _COUNTS).groupBy("part").applyInArrow(_add, _COUNTS)
     none = F.lit(None)
     whole = held.select("chunk", none.cast("int").alias("part"), *(none.cast("long").alias(x) for x in ("words", "learned", "tokens")), "packed")
-    return sums.union(whole).groupBy("chunk").applyInArrow(_score(1 << WORD_BITS), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    return sums.union(whole).groupBy("chunk").applyInArrow(_score, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -454,9 +454,9 @@ def test_rotation_keeps_lengths():
 
 
 def scores_brute(rows):
-    """The same models over whole words: what the hashed slots give while no two words share one."""
+    """The same models over whole words."""
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
-    v = 1 << lm_score.WORD_BITS
+    v = len({w for t in tokens for w in t})
 
     def counts(chosen):
         w, c, p = Counter(), Counter(), Counter()
@@ -514,13 +514,12 @@ def test_scores_tell_all_words_apart(spark):
         assert got == pytest.approx(want, abs=1e-9)
 
 
-def test_vocabulary_grows(spark, monkeypatch):
+@pytest.mark.parametrize("range_text", [1 << 30, 64])
+def test_vocabulary_and_ranges_grow(spark, monkeypatch, range_text):
+    """The vocabulary is the corpus's own; hundreds of ranges and chunks give what few do."""
     rng = random.Random(10)
-    rows = [(i, " ".join(f"w{(i + 7 * k + rng.randrange(40)) % 256}" for k in range(90)), i % 3 == 1) for i in range(60)] + [(60, None, True), (61, " ", False)]
-    assert len({w for _, t, _ in rows for w in (t or "").split()}) == 256
-    monkeypatch.setattr(lm_score, "WORD_BITS", 2)
-    monkeypatch.setattr(lm_score, "CHUNK_TOKENS", 500, raising=False)
-    got = scored(spark, rows)
-    monkeypatch.setattr(lm_score, "WORD_BITS", 8)  # as many as there are
-    for x, want in zip(got, scores_brute(rows)):
+    rows = [(i, " ".join(f"w{(i + 7 * k + rng.randrange(40)) % 256}" for k in range(90)), i % 3 == 1) for i in range(60)] + [(60, None, True), (61, " ", False), (62, "long " * 30_000, False)]
+    monkeypatch.setattr(lm_score, "RANGE_TEXT", range_text)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2000)
+    for x, want in zip(scored(spark, rows), scores_brute(rows)):
         assert x == pytest.approx(want, abs=1e-9)
