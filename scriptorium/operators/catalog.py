@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +61,10 @@ def write_back(stored: DataFrame, values: DataFrame, key: str) -> DataFrame:
     return joined.select(*(F.coalesce(F.col(f"new_.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in stored.columns))
 
 
+#: Levels of a walk that are read as one table after that.
+LEVELS_A_TABLE = 12
+
+
 def walk_pages(edges: DataFrame, starts: DataFrame, limit: int = 300) -> DataFrame:
     """(work, url): the pages of a list that are reached from a work's first page by links to pages, `limit` for each work (OPS-02).
 
@@ -66,15 +72,40 @@ def walk_pages(edges: DataFrame, starts: DataFrame, limit: int = 300) -> DataFra
     round would exceed a work's limit, the first by address stay.
     """
     links = durable(edges.where(F.col("href").rlike(PAGE_LINK)).select("from_url", F.substring_index("href", "#", 1).alias("to")).distinct(), "page-links")
-    seen = durable(starts.select("work", F.substring_index("url", "#", 1).alias("url")).distinct(), "pages")
-    last = seen
-    while not last.isEmpty():
-        found = last.join(links, F.col("url") == F.col("from_url")).select("work", F.col("to").alias("url")).distinct().join(seen, ["work", "url"], "left_anti")
+    levels = [durable(starts.select("work", F.substring_index("url", "#", 1).alias("url")).distinct(), "pages")]
+    while not levels[-1].isEmpty():
+        # Each level is written once; what was seen is their union.
+        seen = functools.reduce(DataFrame.union, levels)
+        found = levels[-1].join(links, F.col("url") == F.col("from_url")).select("work", F.col("to").alias("url")).distinct().join(seen, ["work", "url"], "left_anti")
         held = seen.groupBy("work").agg(F.count(F.lit(1)).alias("held_"))
         place = F.row_number().over(Window.partitionBy("work").orderBy("url"))
-        last = durable(found.withColumn("place_", place).join(held, "work").where(F.col("place_") + F.col("held_") <= limit).select("work", "url"), "next-pages")
-        seen = durable(seen.union(last), "pages")
-    return seen
+        levels.append(durable(found.withColumn("place_", place).join(held, "work").where(F.col("place_") + F.col("held_") <= limit).select("work", "url"), "next-pages"))
+        if len(levels) % LEVELS_A_TABLE == 0:  # neither a plan of hundreds of tables nor a table written again each level
+            levels = [durable(functools.reduce(DataFrame.union, levels[:-1]), "pages"), levels[-1]]
+    return functools.reduce(DataFrame.union, levels)
+
+
+def unique_slugs(rows: DataFrame, slug: str, order: str, out: str = "slug") -> DataFrame:
+    """rows with a slug that no other row has: the first row of each slug keeps it, the others get -2, -3, ... without those that are slugs of their own (SCL-07).
+
+    A made-up slug can't meet one made from another: theirs would have one more number at the end, which is what is looked for.
+    """
+    bare = rows.withColumn("base_", F.col(slug))
+    numbered = F.regexp_extract("base_", "^(.*)-([1-9][0-9]{0,8})$", 2).try_cast("int")
+    taken = bare.select("base_").distinct().select(F.regexp_extract("base_", "^(.*)-([1-9][0-9]{0,8})$", 1).alias("t_"), numbered.alias("n_")).where("n_ >= 2").groupBy("t_").agg(F.sort_array(F.collect_set("n_")).alias("taken_"))
+    placed = bare.withColumn("place_", F.row_number().over(Window.partitionBy("base_").orderBy(order))).join(taken, F.col("base_") == F.col("t_"), "left").drop("t_")
+    number = F.aggregate(F.coalesce("taken_", F.array().cast("array<int>")), F.col("place_"), lambda at, n: at + (n <= at).cast("int"))
+    unique = F.when(F.col("place_") == 1, F.col("base_")).otherwise(F.concat("base_", F.lit("-"), number.cast("string")))
+    return placed.withColumn(out, unique).drop("base_", "place_", "taken_")
+
+
+def first_rows(rows: DataFrame, by: list[str], order: list, limit: int, columns: list[str] | None = None) -> DataFrame:
+    """The first rows of each group in an order (SRT-05): 30 items of a feed, 60 pages, 300 files or titles, 50 failures.
+
+    Spark drops what is beyond the limit in each task before rows are shuffled, so a group's size doesn't matter. `at` has their place.
+    """
+    kept = rows.select(*columns) if columns else rows
+    return kept.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("at") <= limit)
 
 
 def memory_lookup(rows: DataFrame, memory: DataFrame, key: str = "key") -> DataFrame:

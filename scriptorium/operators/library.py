@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,3 +228,22 @@ def settings(stored: dict | None, defaults: dict | None = None) -> dict:
     out["ai"] = base.get("ai", {}) | ((stored or {}).get("ai") or {})
     out["threads"], out["delay"] = min(32, max(1, int(out.get("threads", 1)))), max(0, out.get("delay", 0))
     return out
+
+
+def merged_settings(stored: Column) -> Column:
+    """The same over a column of stored settings as JSON; what is no JSON, and null, counts as nothing stored."""
+
+    @F.pandas_udf("string")
+    def merge(s: pd.Series) -> pd.Series:
+        return s.map(_merged)
+
+    return merge(F.coalesce(stored, F.lit("{}")))
+
+
+def _merged(raw: str) -> str:
+    try:
+        found = json.loads(raw)
+        out = settings(found if isinstance(found, dict) else {})
+    except (TypeError, ValueError):  # no JSON, or values that are no numbers where some must be
+        out = settings({})
+    return json.dumps(out, ensure_ascii=False)

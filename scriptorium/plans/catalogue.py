@@ -193,11 +193,8 @@ def file_names(spark, sf_dir):
 n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS r FROM s)
 SELECT p_partkey, CASE WHEN r = 1 THEN slug ELSE slug || '-' || r END AS slug FROM n""")
 def slug_unique(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = load(spark, sf_dir, "part").select("p_partkey", tx.slug(F.col("p_name")).alias("slug"))
-    r = F.row_number().over(Window.partitionBy("slug").orderBy("p_partkey"))
-    return rows.select("p_partkey", F.when(r == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), r.cast("string"))).alias("slug"))
+    return catalog.unique_slugs(rows, "slug", "p_partkey")
 
 
 @query(r"""WITH n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(left(text, 200), '[<>:"/\\|?*\x00-\x1f]', '', 'g'), '\s+', ' ', 'g'), ' .') AS name FROM documents),

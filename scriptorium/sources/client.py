@@ -36,13 +36,18 @@ def text_of(body: bytes, named: str = "") -> str:
 
 
 def fetch_one(url: str, get: Callable[[str], tuple[int, bytes, str]], retries: int = 4, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str | None, int]:
-    """(status, text or null, tries) of one URL; get gives status, body and named encoding, or raises OSError (SRC-20)."""
+    """(status, text or null, tries) of one URL; get gives status, body and named encoding, or raises (SRC-20).
+
+    An OSError is tried again as a bad status is; any other error is the URL's own and gives status 0 at once.
+    """
     status = 0
     for n, pause in enumerate([*pauses(retries), None], 1):
         try:
             status, body, named = get(url)
         except OSError:
             status = 0
+        except Exception:  # a malformed URL raises what the caller's client likes to
+            return 0, None, n
         else:
             if status not in RETRIED:
                 return status, text_of(body, named) if status < 400 else None, n
@@ -51,15 +56,23 @@ def fetch_one(url: str, get: Callable[[str], tuple[int, bytes, str]], retries: i
     return status, None, retries + 1
 
 
+def host_of(url: str | None) -> str:
+    """A URL's host, empty for what is none."""
+    try:
+        return urlparse(url or "").netloc
+    except ValueError:
+        return ""
+
+
 def fetch(urls: DataFrame, get: Callable[[str], tuple[int, bytes, str]], retries: int = 4, spacing: float = 0.4, sleep: Callable[[float], None] = time.sleep, url: str = "url") -> DataFrame:
-    """(url, status, text, tries). A host's URLs go to one task, which keeps `spacing` seconds between its calls."""
+    """(url, status, text, tries). A host's URLs go to one task, which keeps `spacing` seconds between its calls. What is no URL, null too, gets status 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         due: dict[str, float] = {}
         for pdf in batches:
             rows = []
             for u in pdf["url"]:
-                host = urlparse(u).netloc
+                host = host_of(u)
                 if (wait := due.get(host, 0.0) - time.monotonic()) > 0:
                     sleep(wait)
                 due[host] = time.monotonic() + spacing

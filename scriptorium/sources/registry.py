@@ -5,8 +5,10 @@ A source gives four tables, each as a function of (spark, argument): search, boo
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -78,21 +80,29 @@ class ChapterSource(DataSource):
 
 
 class _ChapterReader(DataSourceReader):
+    """Folders are listed and files opened through pyarrow's file systems, so that a path may be in any store that it knows."""
+
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://")
+        self.path = path.rstrip("/")
+
+    def _at(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{quote(os.path.abspath(self.path))}")
 
     def partitions(self):
-        import os
+        from pyarrow import fs
 
-        return [InputPartition(x) for x in sorted(os.listdir(self.path)) if os.path.isdir(os.path.join(self.path, x))]
+        files, root = self._at()
+        return [InputPartition(i.base_name) for i in sorted(files.get_file_info(fs.FileSelector(root)), key=lambda i: i.path) if i.type == fs.FileType.Directory]
 
     def read(self, partition):
-        import os
-
-        folder = os.path.join(self.path, partition.value)
-        for name in sorted(os.listdir(folder)):
-            stem, _, ext = name.rpartition(".")
-            if ext == "txt" and stem.isdigit():
-                with open(os.path.join(folder, name), encoding="utf-8") as f:
-                    title, _, text = f.read().partition("\n")
+        from pyarrow import fs
+
+        files, root = self._at()
+        for i in sorted(files.get_file_info(fs.FileSelector(f"{root}/{partition.value}")), key=lambda i: i.path):
+            stem, _, ext = i.base_name.rpartition(".")
+            if i.is_file and ext == "txt" and stem.isdigit():
+                with files.open_input_stream(i.path) as f:
+                    title, _, text = f.read().decode().partition("\n")
                 yield partition.value, int(stem), title.strip() or f"Chương {int(stem)}", text

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from scriptorium.plans import catalogue, listings, services  # noqa: F401
+from scriptorium.plans import catalogue, listings, services, works  # noqa: F401
 
 
 @pytest.fixture(scope="module")
