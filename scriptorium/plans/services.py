@@ -210,3 +210,66 @@ def stream_ledgers(spark, sf_dir):
     finally:
         spark.conf.set(provider, before)
     return rows.select("session", "turns", "compactions", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+# ---------------------------------------------------------------- feeds and links (SRC-05, SRC-19, AGG-15, OPS-01)
+
+FEED_SQL = """f AS (SELECT user_id::VARCHAR AS id, event_id, event_type, value, date_trunc('second', ts) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events),
+c AS (SELECT c_custkey::VARCHAR AS id, n_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _user_feeds(spark, sf_dir) -> DataFrame:
+    """Each user's last 40 events as an RSS file; the files are written and scanned: (id, name, country, lang, category, xml). Users of no customer have no country."""
+    from scriptorium.operators.catalog import first_rows
+
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    last = first_rows(e, ["user_id"], [F.desc("ts"), "event_id"], 40)
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    item = tag("item", F.concat(tag("title", F.concat_ws(" ", "event_type", F.col("value").cast("string"))), tag("link", F.concat(F.lit("http://news.example/e/"), F.col("event_id").cast("string"))), tag("pubDate", F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss '+0000'")), tag("description", F.lit("<![CDATA[<p>About it</p>]]>"))))
+    files = last.groupBy(F.col("user_id").cast("string").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", item.alias("x")))), lambda r: r["x"]), "").alias("items"))
+    at = new_path(spark, "feeds")
+    files.select("id", F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed</title>'), "items", F.lit("</channel></rss>")).alias("value")).write.partitionBy("id").text(at)
+    scanned = spark.read.option("wholetext", "true").schema("value string, id string").text(at)
+    nation = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").cast("string").alias("id"), F.col("n_name").alias("country"))
+    return scanned.join(nation, "id", "left").select("id", F.col("id").alias("name"), "country", F.lit("en").alias("lang"), F.lit("").alias("category"), F.trim("value").alias("xml"))
+
+
+@query(f"WITH {FEED_SQL} SELECT id AS source_id, k - 1 AS place, event_type || ' ' || value::VARCHAR AS title, 'http://news.example/e/' || event_id AS link, ts AS published_at, country FROM f LEFT JOIN c USING (id) WHERE k <= 30")
+def user_feeds(spark, sf_dir):
+    """The first 30 items of every feed."""
+    from scriptorium.sources.feeds import articles
+
+    rows = articles(_user_feeds(spark, sf_dir))
+    return rows.select("source_id", F.col("place").cast("long").alias("place"), "title", "link", F.col("published_at").cast("timestamp_ntz").alias("published_at"), "country")
+
+
+PROBE_SQL = f"""{FEED_SQL}, p AS (SELECT id, country, least(40, max(k)) AS items, round((epoch(TIMESTAMP '2024-02-01') - epoch(max(ts))) / 3600, 1) AS age_hours, least(40, max(k)) >= 3 AS alive FROM f LEFT JOIN c USING (id) GROUP BY id, country)"""
+
+
+@query(f"WITH {PROBE_SQL} SELECT id, country, items, age_hours, alive FROM p")
+def feeds_probed(spark, sf_dir):
+    from scriptorium.sources.feeds import probe
+
+    return probe(_user_feeds(spark, sf_dir), F.lit("2024-02-01 00:00:00").cast("timestamp"))
+
+
+@query(f"WITH {PROBE_SQL} SELECT country, count(*) FILTER (alive) AS alive, count(*) FILTER (NOT alive) AS dead FROM p GROUP BY country")
+def feeds_by_country(spark, sf_dir):
+    from scriptorium.sources.feeds import health, probe
+
+    return health(probe(_user_feeds(spark, sf_dir), F.lit("2024-02-01 00:00:00").cast("timestamp")))
+
+
+@query(r"""WITH starts AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages),
+a AS (SELECT regexp_replace(url, '#.*$', '') AS from_url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) AS site, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+l AS (SELECT site || regexp_replace(href, '#.*$', '') AS url FROM a WHERE starts_with(href, '/'))
+SELECT url, 0 AS depth FROM starts UNION ALL SELECT DISTINCT url, 1 FROM l WHERE url NOT IN (SELECT url FROM starts)""")
+def links_crawl(spark, sf_dir):
+    """All pages and what they link to on their own hosts, one level deep and without a cap."""
+    from scriptorium.operators.catalog import crawl
+
+    pages = load(spark, sf_dir, "pages")
+    edges = pages.select(F.substring_index("url", "#", 1).alias("from_url"), F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    starts = pages.select("url", F.col("page_id").alias("ord"))
+    found = crawl(edges.withColumn("anchor", F.lit("")), starts, depth=1, max_pages=None)[0]
+    return found.select("url", F.col("depth").cast("int").alias("depth"))
