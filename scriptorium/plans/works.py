@@ -198,3 +198,71 @@ def stream_threads(spark, sf_dir):
     finally:
         spark.conf.set(provider, before)
     return rows.select(F.col("session_id").cast("long").alias("session_id"), "turns", "n_threads")
+
+
+# ---------------------------------------------------------------- markup that regular expressions can follow (PRJ-01/04/05/06, SRC-03, SRT-06, PRJ-08)
+
+UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+GONE = r"(?is)<style.*?</style>|<script.*?</script>|<!--.*?-->|<!DOCTYPE[^>]*>"
+
+
+@query(rf"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(html, '{GONE}|<nav.*?</nav>|<footer.*?(</footer>|$)|<div class="ad">.*?</div>', '', 'g'), '<br>|</?p>|</h1>|</li>|</div>', chr(10), 'g') AS t FROM pages),
+l AS (SELECT page_id, unnest(string_split({UNESCAPE.format("regexp_replace(t, '<[^>]*>', '', 'g')")}, chr(10))) AS line, generate_subscripts(string_split(regexp_replace(t, '<[^>]*>', '', 'g'), chr(10)), 1) AS i FROM bare),
+k AS (SELECT page_id, i, trim(regexp_replace(line, '[ \t\r\f\v]+', ' ', 'g')) AS line FROM l)
+SELECT page_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM k WHERE line <> '' GROUP BY page_id""")
+def page_lines(spark, sf_dir):
+    """The lines of every page's tree."""
+    from scriptorium.functions.html import lines_udf
+
+    rows = load(spark, sf_dir, "pages").select("page_id", lines_udf("html").alias("lines")).where("size(lines) > 0")
+    return rows.select("page_id", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("digest"))
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract_all(replace(replace(regexp_replace(html, '{GONE}', '', 'g'), '<p>', '</p><p>'), '</article>', '</p></article>'), '(?s)<(?:p|li)>(.*?)(?:</p>|</li>)', 1) AS ps FROM pages),
+l AS (SELECT page_id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p),
+k AS (SELECT page_id, i, trim(regexp_replace({UNESCAPE.format("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS x FROM l),
+m AS (SELECT *, lag(x) OVER (PARTITION BY page_id ORDER BY i) AS before FROM k WHERE length(x) >= 25)
+SELECT page_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY i)) AS digest FROM m WHERE before IS NULL OR before <> x GROUP BY page_id""")
+def page_paragraphs(spark, sf_dir):
+    from scriptorium.functions.html import paragraphs_udf
+
+    rows = load(spark, sf_dir, "pages").select("page_id", paragraphs_udf("html").alias("ps")).where("size(ps) > 0")
+    return rows.select("page_id", F.size("ps").cast("long").alias("n"), F.md5(F.array_join("ps", "\n")).alias("digest"))
+
+
+def _score_sql(breaks: int, depth: int, least: int) -> str:
+    return rf"""WITH a AS (SELECT page_id, regexp_extract(regexp_replace(html, '{GONE}', '', 'g'), '(?s)<article>(.*?)(</article>|<footer|$)', 1) AS x FROM pages),
+s AS (SELECT page_id, x, list_filter(list_transform(regexp_split_to_array(x, '<[^>]*>'), lambda t: trim({UNESCAPE.format("t")}, ' ' || chr(9) || chr(10) || chr(13))), lambda t: t <> '') AS ts FROM a),
+n AS (SELECT page_id, length(array_to_string(ts, ' ')) AS chars, len(regexp_extract_all(x, '<p>|<br>')) AS breaks FROM s)
+SELECT page_id, chars + {breaks} * breaks + {depth} AS score FROM n WHERE chars >= {least}"""
+
+
+@query(_score_sql(14, 0, 250))
+def news_scores(spark, sf_dir):
+    """The score of every page's main block, which in these pages is the article."""
+    from scriptorium.functions.html import main_content
+
+    return main_content(load(spark, sf_dir, "pages"), "news").select("page_id", "score")
+
+
+@query(_score_sql(12, 3 * 5, 300))
+def book_scores(spark, sf_dir):
+    from scriptorium.functions.html import main_content
+
+    return main_content(load(spark, sf_dir, "pages"), "book").select("page_id", "score")
+
+
+@query(rf"""WITH t AS (SELECT page_id, trim({UNESCAPE.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")}, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM pages)
+SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(t, '^\s*\[[^\]]{{1,20}}\]\s*', ''), '\s*[-|–]\s*[^-|–]{{0,40}}$', ''), ' ' || chr(9) || chr(10) || chr(13)), ''), 'Truyen') AS title FROM t""")
+def work_titles(spark, sf_dir):
+    from scriptorium.functions.html import book_meta_udf
+
+    return load(spark, sf_dir, "pages").select("page_id", book_meta_udf("html", "url").getField("title").alias("title"))
+
+
+@query(rf"""WITH t AS (SELECT page_id, trim(regexp_replace({UNESCAPE.format("regexp_replace(html, '<[^>]+>', ' ', 'g')")}, '\s+', ' ', 'g')) AS t FROM pages)
+SELECT page_id, CASE WHEN length(t) > 400 THEN regexp_replace(left(t, 400), ' [^ ]*$', '') || '…' ELSE t END AS summary FROM t""")
+def cleaned_summaries(spark, sf_dir):
+    from scriptorium.functions.html import summary_udf
+
+    return load(spark, sf_dir, "pages").select("page_id", summary_udf("html").alias("summary"))
