@@ -180,7 +180,8 @@ def references(docs: DataFrame, measured: DataFrame) -> DataFrame:
     off = texts.select("lang", "text", "less").mapInArrow(_plain_words, "lang string, word string, n long")
     counted = measured.where(F.col("word").isNotNull()).select("lang", "word", "n").union(off).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = durable(counted.where("n > 0"), "word-counts")
-    totals = counted.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_REFERENCE)
+    # Written out, so that Spark knows how few they are and need not shuffle words by their language.
+    totals = durable(counted.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LEAST_REFERENCE), "word-totals")
     common = counted.join(totals, "lang").where(F.col("n") * COMMON_IN >= F.col("total"))
     words = common.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("word", (F.col("n") / F.col("total")).alias("share")))).alias("common"))
     each = lambda rows, sign: rows.select("lang", *(((F.col("classes")[i]) * sign).alias(c) for i, c in enumerate(CLASSES)))
