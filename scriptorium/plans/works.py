@@ -266,3 +266,19 @@ def cleaned_summaries(spark, sf_dir):
     from scriptorium.functions.html import summary_udf
 
     return load(spark, sf_dir, "pages").select("page_id", summary_udf("html").alias("summary"))
+
+
+@query(rf"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*', 0) AS site, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS href FROM pages), l AS (SELECT page_id, site, {UNESCAPE.format("href")} AS href FROM a)
+SELECT page_id, count(*) AS n, md5(string_agg(DISTINCT CASE WHEN contains(href, ']') THEN 'a[href=' || href || ']' ELSE 'a[href="' || replace(trim(href), '"', '\"') || '"]' END, ' ' ORDER BY CASE WHEN contains(href, ']') THEN 'a[href=' || href || ']' ELSE 'a[href="' || replace(trim(href), '"', '\"') || '"]' END)) AS selectors,
+min(site || href) AS first FROM l GROUP BY page_id""")
+def selector_repairs(spark, sf_dir):
+    """Selectors with bare values for every link of the pages, quoted; and the links against their pages."""
+    from scriptorium.sources.client import absolute_links, quoted_selectors
+
+    href = F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), F.lit(1))
+    decoded = F.col("href")
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        decoded = F.replace(decoded, F.lit(entity), F.lit(sign))
+    rows = load(spark, sf_dir, "pages").select("page_id", "url", F.explode(href).alias("href")).withColumn("href", decoded)
+    rows = rows.select("page_id", quoted_selectors(F.concat(F.lit("a[href="), "href", F.lit("]"))).alias("selector"), absolute_links("href", "url").alias("link"))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.sort_array(F.collect_set("selector")), " ")).alias("selectors"), F.min("link").alias("first"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.udf import vectorised
+
 # Answers after which another try may help; pauses of 0.8 seconds, doubled each time, 8 at most.
 RETRIED = {408, 425, 429, 500, 502, 503, 504, 521, 522, 524}
 FIRST_PAUSE, LONGEST_PAUSE = 0.8, 8.0
@@ -110,3 +112,13 @@ def quoted_selector(selector: str) -> str:
     """A selector with the attribute values quoted that are not (SCL-22)."""
     quoted = lambda m: '[{}="{}"]'.format(m["name"], m["value"].strip().replace('"', '\\"'))
     return _BARE_VALUE.sub(quoted, selector)
+
+
+@vectorised("string")
+def quoted_selectors(selectors: pd.Series) -> pd.Series:
+    return selectors.map(quoted_selector, na_action="ignore")
+
+
+@vectorised("string")
+def absolute_links(links: pd.Series, bases: pd.Series) -> pd.Series:
+    return pd.Series([absolute_link(x, b or "") for x, b in zip(links, bases)], dtype=object)
