@@ -105,7 +105,7 @@ def digests(articles: DataFrame, names: DataFrame, order: list[Column]) -> DataF
     block = F.concat_ws("\n", F.concat(F.lit("* "), F.col("title")), F.nullif("summary", F.lit("")), F.nullif("link", F.lit("")))
     placed = articles.withColumn("at_", F.row_number().over(Window.partitionBy("day", "category").orderBy(*order)))
     parts = placed.groupBy("day", "category").agg(F.sort_array(F.collect_list(F.struct("at_", block.alias("b")))).alias("parts"))
-    named = parts.join(F.broadcast(names), "category", "left").withColumn("name", F.coalesce("name", "category"))
+    named = parts.join(names, "category", "left").withColumn("name", F.coalesce("name", "category"))
     return named.select("day", "category", "name", F.concat("name", F.lit("\n\n"), F.array_join(F.transform("parts", lambda p: p["b"]), "\n\n")).alias("text"))
 
 
