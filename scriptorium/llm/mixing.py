@@ -76,13 +76,18 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int = 0
             far, at, copies = _nearest(start + offsets, lengths[free] // unit, counts[free], unit, budget)
             return far, int(offsets[at]), copies
 
-        best = nearest(reach)
+        # A bit for each sum with which copies of the free length make a total as near as can be: the program ends as soon as it reaches one.
+        wanted = np.zeros(2 * window + 1, np.uint8)
+        for goal in {budget // unit, -(-budget // unit)}:
+            if abs(unit * goal - budget) == allowed:
+                step, far = lengths[free] // unit, goal - start
+                least, most = max(0, -((window - far) // step)), min(counts[free], (window + far) // step)
+                wanted[far - np.arange(least, most + 1, dtype=np.int64) * step + window] = 1
+        goals = int.from_bytes(np.packbits(wanted, bitorder="little").tobytes(), "little")
         for i in others:
-            if best[0] == allowed:
-                break
             for sign, left in ((1, counts[i] - taken[i]), (-1, taken[i])):
                 size = 1
-                while left > 0:
+                while left > 0 and not reach & goals:
                     packet = min(size, left)
                     shift = packet * lengths[i] // unit
                     if shift > 2 * window:
@@ -91,7 +96,9 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, seed: int = 0
                     reach |= (reach << shift) & mask if sign > 0 else reach >> shift
                     left -= packet
                     size *= 2
-            best = nearest(reach)
+            if reach & goals:
+                break
+        best = nearest(reach)
         if best[0] == allowed or window >= enough:
             break
         window = min(4 * window, enough)
