@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import heapq
 import os
+from bisect import bisect
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import slices
+from scriptorium.llm.words import byte_table, lower_az, numbered, slices, span_texts, spans
 from scriptorium.llm.workers import remembered
 
+#: ASCII white space, at which words end.
+SPACE = byte_table(bytes([0x20, *range(0x09, 0x0E)]))
+
 CAPACITY = 4096
 END_ID = 2
 #: Pieces partitioned at once; the state is one row of window sums for each.
@@ -29,12 +34,16 @@ BATCH_PIECES = 2048
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
 ENCODED_BYTES = 4 << 20
 #: Words whose ids a worker remembers, unless a caller says otherwise; beyond that it keeps those of its last batch.
-MEMORY_WORDS = 800_000
+MEMORY_WORDS = 1_500_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")), ("ids", pa.binary())])
 
 
+def _is_letters(word: bytes) -> bool:
+    return word.isalpha() or not word.isascii() and word.decode("utf-8", "replace").isalpha()
+
+
 class WordEncoder:
     """Token ids of texts, as bytes of little-endian unsigned 32-bit integers.
 
@@ -79,13 +88,21 @@ class WordEncoder:
         if self.ends is None:
             self.known.update(self._each(list(new)))
             return
-        # A word of letters with points or commas after it is the one and then the others.
-        cores = {w: c for w in new if (c := w.rstrip(b".,")) and c.decode("utf-8", "replace").isalpha()}
-        self.known.update(self._letters([c for c in set(cores.values()) if c not in self.known]))
-        tails = {w[len(c) :] for w, c in cores.items()} - {b""}
-        self.known.update(self._each([w for w in tails.union(new.difference(cores)) if w not in self.known]))
+        letters, ended, others = [], {}, []
+        for w in new:
+            if _is_letters(w):
+                letters.append(w)
+            elif (c := w.rstrip(b".,")) != w and c and _is_letters(c):
+                ended[w] = c  # a word of letters with points or commas after it is the one and then the others
+            else:
+                others.append(w)
         known = self.known
-        known.update({w: known[c] + known[w[len(c) :]] for w, c in cores.items() if len(w) > len(c)})
+        letters += {c for c in ended.values() if c not in known and c not in new}
+        others += {t for w, c in ended.items() if (t := w[len(c) :]) not in known and t not in new}
+        known.update(self._letters(letters))
+        known.update(self._each(others))
+        for w, c in ended.items():
+            known[w] = known[c] + known[w[len(c) :]]
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         found = []
@@ -103,46 +120,101 @@ class WordEncoder:
             yield b"".join(map(known, words)) + self.end
 
 
+    def encode_column(self, column: pa.Array) -> Iterator[bytes]:
+        """The same over a column of texts, where each distinct word of a stretch is looked up once and ids are gathered by its number."""
+        for s in spans(column, SPACE, ENCODED_BYTES):
+            if self.folds and b"<|" in s.data.tobytes():
+                yield from self.encode(column.slice(s.first, len(s.at) - 1).to_pylist())
+                continue
+            numbers, words = numbered(span_texts(lower_az(s.data) if self.folds else s.data, s.inside, s.ends - s.starts))
+            distinct = words.cast(pa.large_binary()).to_pylist()
+            found = list(map(self.known.get, distinct))
+            new = {w: i for i, (w, x) in enumerate(zip(distinct, found)) if x is None}
+            if len(self.known) + len(new) > self.memory_words:
+                self.known = {w: x for w, x in zip(distinct, found) if x is not None}
+            self._learn(set(new))
+            for w, i in new.items():
+                found[i] = self.known[w]
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            first = np.cumsum(size) - size
+            own = size[numbers]
+            ends = np.concatenate([[0], np.cumsum(own)])
+            ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[numbers] - ends[:-1], own) + np.arange(ends[-1])]
+            edges = ends[s.at].tolist()
+            for a, b in zip(edges[:-1], edges[1:]):
+                yield ids[a:b].tobytes() + self.end
+
+
 def encoder_of(path: str, end_id: int | None, memory_words: int = MEMORY_WORDS) -> WordEncoder:
     """One for each worker process, which keeps what it knows between tasks of packing."""
     return remembered(("packing", path, end_id, memory_words), lambda: WordEncoder(path, end_id, memory_words))
 
 
+class Partition(NamedTuple):
+    """A partial partition: the windows' sums, ascending, and what is in each; windows that are empty are left out."""
+
+    sums: list[int]
+    parts: list[tuple]
+
+
+def _with_piece(a: Partition, size: int, part: tuple, windows: int) -> None:
+    """Difference a partition with a single piece: it joins the smallest window."""
+    if len(a.sums) == windows:
+        size += a.sums.pop(0)
+        part = (part, a.parts.pop(0))
+    at = bisect(a.sums, size)
+    a.sums.insert(at, size)
+    a.parts.insert(at, part)
+
+
+def _merged(a: Partition, b: Partition, windows: int) -> Partition:
+    """Difference two partitions: the largest window of the one joins the smallest of the other, and so on."""
+    joined = []
+    for i in range(windows):
+        # Window i of a from its smallest, window i of b from its largest; empty ones come before the smallest.
+        x, y = i - (windows - len(a.sums)), len(b.sums) - 1 - i
+        if x >= 0 and y >= 0:
+            joined.append((a.sums[x] + b.sums[y], (a.parts[x], b.parts[y])))
+        elif x >= 0:
+            joined.append((a.sums[x], a.parts[x]))
+        elif y >= 0:
+            joined.append((b.sums[y], b.parts[y]))
+    joined.sort(key=lambda j: j[0])
+    return Partition([j[0] for j in joined], [j[1] for j in joined])
+
+
 def difference(sizes: list[int], windows: int) -> np.ndarray:
-    """The window of each piece: Karmarkar-Karp differencing over `windows` sums."""
-    n = len(sizes)
-    if windows <= 1 or n == 0:
-        return np.zeros(n, np.int64)
-    # A node is one partial partition, its sums descending and relative to the smallest; made[i] tells
-    # which slots of its two parts each of its slots joins.
-    heap = []
-    for i, size in enumerate(sizes):
-        sums = np.zeros(windows, np.int64)
-        sums[0] = size
-        heap.append((-int(size), i, sums))
+    """The window of each piece: Karmarkar-Karp differencing over `windows` sums.
+
+    The two partial partitions whose windows differ most are merged until one is left. Most merges bring a single piece, which is put in place
+    in a sorted list. Sums are kept whole: a partition's differences are those from its smallest window.
+    """
+    found = np.zeros(len(sizes), np.int64)
+    if windows <= 1 or not sizes:
+        return found
+    heap = [(-int(size), i, Partition([int(size)], [(i,)])) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
-    made: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-    opposite = np.arange(windows)[::-1]
+    serial = len(sizes)
     while len(heap) > 1:
-        _, left, a = heapq.heappop(heap)
-        _, right, b = heapq.heappop(heap)
-        sums = a + b[opposite]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        sums -= sums[-1]
-        made.append((left, right, order, opposite[order]))
-        heapq.heappush(heap, (-int(sums[0]), n + len(made) - 1, sums))
-    found = np.zeros(n, np.int64)
-    labels = {heap[0][1]: np.arange(windows)}
-    for node in range(n + len(made) - 1, n - 1, -1):
-        left, right, at_left, at_right = made[node - n]
-        own = labels.pop(node)
-        for part, at in ((left, at_left), (right, at_right)):
-            below = np.empty(windows, np.int64)
-            below[at] = own
-            labels[part] = below
-    for i in range(n):
-        found[i] = labels[i][0]
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heap[0]
+        if len(a.sums) < len(b.sums):
+            a, b = b, a
+        if len(b.sums) == 1:
+            _with_piece(a, b.sums[0], b.parts[0], windows)
+        else:
+            a = _merged(a, b, windows)
+        low = a.sums[0] if len(a.sums) == windows else 0
+        heapq.heapreplace(heap, (low - a.sums[-1], serial, a))
+        serial += 1
+    for window, part in enumerate(heap[0][2].parts):
+        stack = [part]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, tuple):
+                stack += x
+            else:
+                found[x] = window
     return found
 
 
@@ -196,7 +268,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             for i, j in slices(batch.column(1), ENCODED_BYTES):
                 part = batch.slice(i, j - i)
                 full = []
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_column(part.column(1))):
                     total, step = len(ids) // 4, 4 * capacity
                     for at in range(0, len(ids), step):
                         piece = (doc, at // 4, ids[at : at + step], total)

@@ -167,7 +167,7 @@ class Spans(NamedTuple):
     ends: np.ndarray  #: and the one after its last
 
 
-def spans(column: pa.Array, separators: np.ndarray) -> Iterator[Spans]:
+def spans(column: pa.Array, separators: np.ndarray, most: int = SLICE_BYTES) -> Iterator[Spans]:
     """The runs of bytes that are no separators, within each text of a column, some documents at a time; null has none."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
@@ -175,7 +175,7 @@ def spans(column: pa.Array, separators: np.ndarray) -> Iterator[Spans]:
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    for i, j in slices(column):
+    for i, j in slices(column, most):
         part, edges = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         inside = ~separators[part]
         begins, ends = inside.copy(), inside.copy()

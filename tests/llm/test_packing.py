@@ -131,3 +131,35 @@ def test_workers_keep_one_operator(monkeypatch):
     assert packing.encoder_of(PATH, 2) is not first
     workers.forget()
     assert not workers._kept
+
+
+def test_columns_encode_as_texts():
+    """Distinct words looked up once and ids gathered give what the tokenizer gives for each text."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(4)
+    texts = ["", None, " ", "<|endoftext|> X", "A.B., c,.", "日本語 テスト", ".,", "ﬁ ß İ I", "tab\tx\x0by\x0cz\r\n"] + ["".join(rng.choices("aAbB .,é%|<>&日\n\t-'1", k=rng.randint(0, 60))) for _ in range(300)]
+    for memory in (packing.MEMORY_WORDS, 40):
+        encoder = packing.WordEncoder(path, memory_words=memory)
+        got = list(encoder.encode_column(pa.array(texts, pa.string())))
+        assert got == list(packing.WordEncoder(path).encode(texts))
+        assert all(np.frombuffer(x, "<u4").tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for x, t in zip(got, texts))
+
+
+def test_differencing_of_dense_partitions():
+    """Windows that are all in use are merged from both ends."""
+    assert sorted(np_sums([8, 7, 6, 5, 4], 2)) == [14, 16]
+    for sizes, windows in (([9] * 10, 3), ([5, 5, 5], 3), ([1], 4), (list(range(1, 40)), 5)):
+        sums = np_sums(sizes, windows)
+        assert sum(sums) == sum(sizes) and max(sums) - min(sums) <= max(sizes)
+
+
+def np_sums(sizes, windows):
+    import numpy as np
+
+    return np.bincount(packing.difference(sizes, windows), weights=sizes, minlength=windows).astype(int).tolist()
