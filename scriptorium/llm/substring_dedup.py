@@ -11,10 +11,10 @@ the node that the document passes next, which is the edge. Then, by joins:
   compacted in rounds of joins, each of which doubles how far a node sees back, until every node knows its
   path's first. One row for each document that passes the first node then stands for the whole path.
 - The source of a path is its smallest document at its place there. Its words are read at those coordinates,
-  and a copy's words are held against them by SHA-256 before any of them goes.
+  and a copy's words are held against them by 128 bits of SHA-256 before any of them goes.
 - Where different runs meet in a node, one run of each kind is opened into its windows, the smallest
-  document of each window (two independent 64-bit hashes of its words) is found among them, and goes back to
-  all runs of the kind.
+  document of each window is found among them by a hash of its words, and goes back to all runs of the kind with the
+  digest of the words there, against which a copy's words are held as well.
 """
 
 from __future__ import annotations
@@ -100,11 +100,12 @@ def _all_paths(window: int):
 
 
 def digest_of(found: list[bytes]) -> bytes:
-    return hashlib.sha256(b" ".join(found)).digest()
+    """128 bits of SHA-256: there is one for each window of a run that branches, and they are shuffled."""
+    return hashlib.sha256(b" ".join(found)).digest()[:16]
 
 
 def _open_paths(window: int):
-    """(doc_id, text, wanted runs and whole paths) to the windows of those runs, and to a digest of the words of each whole path."""
+    """(doc_id, text, wanted runs and whole paths) to the windows of those runs and, without a place, the whole paths, each with a digest of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,9 +113,9 @@ def _open_paths(window: int):
             for w in words(batch.column(1)):
                 hashes = _Prefix(w.hashes, 17)
                 for i, base in enumerate(w.at[:-1].tolist()):
+                    found = (batch.column(1)[w.first + i].as_py() or "").encode("utf-8", "surrogatepass").split()
                     whole = [r for r in wanted[w.first + i] if r["path"] is None]
                     if whole:
-                        found = (batch.column(1)[w.first + i].as_py() or "").encode("utf-8", "surrogatepass").split()
                         digests = [digest_of(found[r["start"] : r["start"] + r["n"] + window - 1]) for r in whole]
                         none = pa.nulls(len(whole), pa.int64())
                         yield pa.RecordBatch.from_arrays(
@@ -126,15 +127,15 @@ def _open_paths(window: int):
                         continue
                     n = np.array([r["n"] for r in rows])
                     places = np.concatenate([np.arange(x) for x in n])
-                    starts = base + np.repeat(np.array([r["start"] for r in rows], np.int64), n) + places
+                    starts = np.repeat(np.array([r["start"] for r in rows], np.int64), n) + places
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.repeat(np.array([r["node"] for r in rows], np.int64), n)),
                             pa.array(np.repeat(np.array([r["path"] for r in rows], np.int64), n)),
                             pa.array(places.astype(np.int32)),
-                            pa.array(hashes.of(starts, starts + window).view(np.int64)),
+                            pa.array(hashes.of(base + starts, base + starts + window).view(np.int64)),
                             pa.array(np.full(len(places), ids[w.first + i], np.int64)),
-                            pa.nulls(len(places), pa.binary()),
+                            pa.array([digest_of(found[x : x + window]) for x in starts.tolist()], pa.binary()),
                         ],
                         names=["node", "path", "place", "window", "doc_id", "digest"],
                     )
@@ -143,7 +144,7 @@ def _open_paths(window: int):
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, spans of start, words and digest) to what is left; a span with a digest only counts where its words have that digest."""
+    """(doc_id, text, spans of start, words and digest) to what is left; a span only counts where its words have its digest, which is that of the words at its source."""
     for whole in batches:
         for i, j in slices(whole.column(1)):
             batch = whole.slice(i, j - i)
@@ -151,7 +152,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 found = (text or "").encode("utf-8", "surrogatepass").split()
                 total.append(len(found))
-                spans = [x for x in spans or () if x["digest"] is None or digest_of(found[x["start"] : x["start"] + x["words"]]) == x["digest"]]
+                spans = [x for x in spans or () if digest_of(found[x["start"] : x["start"] + x["words"]]) == x["digest"]]
                 if spans:
                     start, words_ = (np.array([x[k] for x in spans], np.int64) for k in ("start", "words"))
                     edge = np.zeros(len(found) + 1, np.int64)
@@ -195,7 +196,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     """(doc_id, mark, start, words, source, digest): stretches of words whose windows all start in a document with a smaller identifier.
 
     mark is xxhash64 of the text; it tells apart rows that share an identifier. digest is that of the words at the
-    source's coordinates, for whole paths; null for single windows. Spans of a document may
+    source's coordinates. Spans of a document may
     overlap. Null and short texts have none; a row without an identifier neither has nor is a source.
     """
     rows = _rows(docs, id_col, text_col)
@@ -220,16 +221,16 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     texts = rows.join(wanted, ["doc_id", "mark"]).select("doc_id", "text", "wanted")
     opened = durable(texts.mapInArrow(_open_paths(window), _OPENED), "opened-windows")
     # Rows that share identifier and text are read twice, with one digest.
-    digests = durable(opened.where("digest IS NOT NULL").groupBy("node").agg(F.first("digest").alias("digest")), "source-digests")
+    digests = durable(opened.where("place IS NULL").groupBy("node").agg(F.first("digest").alias("digest")), "source-digests")
     lead = durable(heads.join(digests, "node").select("node", "total", "digest"), "path-sources")
     spans = plain.where("doc_id > first").join(lead, "node").select("doc_id", "mark", "start", (F.col("total") + window - 1).alias("words"), F.col("first").alias("source"), "digest")
 
-    opened = opened.where("digest IS NULL").drop("digest").distinct()
-    sources = durable(opened.groupBy("node", "window").agg(F.min("doc_id").alias("source")), "window-sources")
-    by_kind = opened.join(sources, ["node", "window"]).groupBy("node", "path").agg(F.sort_array(F.collect_list(F.struct("place", "source"))).alias("windows"))
+    opened = opened.where("place IS NOT NULL").distinct()
+    sources = durable(opened.groupBy("node", "window").agg(F.min(F.struct("doc_id", "digest")).alias("source")), "window-sources")
+    by_kind = opened.select("node", "path", "place", "window").join(sources, ["node", "window"]).groupBy("node", "path").agg(F.sort_array(F.collect_list(F.struct("place", "source"))).alias("windows"))
     met = branching.select("doc_id", "mark", "node", "path", "start").join(durable(by_kind, "path-windows"), ["node", "path"])
-    met = met.select("doc_id", "mark", "start", F.explode(F.filter("windows", lambda x: x["source"] < F.col("doc_id"))).alias("x"))
-    branched = met.select("doc_id", "mark", (F.col("start") + F.col("x.place")).alias("start"), F.lit(window).cast("long").alias("words"), F.col("x.source").alias("source"), F.lit(None).cast("binary").alias("digest"))
+    met = met.select("doc_id", "mark", "start", F.explode(F.filter("windows", lambda x: x["source"]["doc_id"] < F.col("doc_id"))).alias("x"))
+    branched = met.select("doc_id", "mark", (F.col("start") + F.col("x.place")).alias("start"), F.lit(window).cast("long").alias("words"), F.col("x.source.doc_id").alias("source"), F.col("x.source.digest").alias("digest"))
     return spans.union(branched)
 
 

@@ -216,15 +216,16 @@ def test_paths_compact_through_joins(spark):
     text = words(rng, 900, 10**6)
     rows = [(7, " ".join(text)), (9, " ".join(text)), (3, " ".join(words(rng, 40, 10**6) + text[200:500] + words(rng, 60, 10**6)))]
     docs = spark.createDataFrame(rows, SCHEMA)
-    spans = [r for r in substring_dedup.repeated_spans(docs).collect() if r["digest"] is not None]
+    every = substring_dedup.repeated_spans(docs).collect()
+    spans = [r for r in every if r["words"] > 50]  # whole paths
     found = {r["doc_id"]: sorted((r["start"], r["words"], r["source"]) for r in spans if r["doc_id"] == r2) for r in spans for r2 in [r["doc_id"]]}
     assert sorted(found) == [7, 9]
     assert len(found[7]) == 1 and found[7][0][2] == 3 and found[7][0][0] >= 200 and sum(found[7][0][:2]) <= 500 and found[7][0][1] > 200
     assert len(found[9]) == 3 and {x[2] for x in found[9]} == {3, 7}
-    for r in spans:
+    for r in every:
         source = dict(rows)[r["source"]]
         own = dict(rows)[r["doc_id"]].split()[r["start"] : r["start"] + r["words"]]
-        assert " ".join(own) in source and hashlib.sha256(" ".join(own).encode()).digest() == r["digest"]
+        assert " ".join(own) in source and hashlib.sha256(" ".join(own).encode()).digest()[:16] == r["digest"]
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == repeats_brute(rows, 50)
 
 
