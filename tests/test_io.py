@@ -121,8 +121,8 @@ def test_feed(spark):
 def test_registry(spark):
     r = registry.Registry()
     r.add(registry.Source("generic", "Any", priority=999))
-    r.add(registry.Source("blh", "B", ["blhvip.vn"], 10, {"search": None}))
-    assert r.for_url("http://www.blhvip.vn/x").id == "blh" and r.for_url("http://notblhvip.vn/").id == "generic"
+    r.add(registry.Source("blh", "B", ["serial.example"], 10, {"search": None}))
+    assert r.for_url("http://www.serial.example/x").id == "blh" and r.for_url("http://notserial.example/").id == "generic"
     assert [s.id for s in r.all()] == ["blh", "generic"] and [s.id for s in r.searchable()] == ["blh"] and r.by_id("x") is None
     assert r.table(spark).count() == 2
     pages = spark.createDataFrame([("b", 1, '[{"title":"A","url":"u1","vip":true},{"title":"","url":""}]'), ("b", 2, '[{"title":"A again","url":"u1"},{"title":"B","url":"u2"}]')], "book_id string, page int, json string")
