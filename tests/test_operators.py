@@ -169,10 +169,10 @@ def test_summary(spark):
 
 
 def test_route(spark):
-    sources = spark.createDataFrame([("blh", "blhvip.vn", 10), ("sub", "m.blhvip.vn", 5), ("generic", None, 999)], "source string, domain string, priority int")
-    urls = spark.createDataFrame([("http://www.blhvip.vn/x",), ("http://m.blhvip.vn/",), ("http://notblhvip.vn/",), ("",)], "url string")
+    sources = spark.createDataFrame([("blh", "serial.example", 10), ("sub", "m.serial.example", 5), ("generic", None, 999)], "source string, domain string, priority int")
+    urls = spark.createDataFrame([("http://www.serial.example/x",), ("http://m.serial.example/",), ("http://notserial.example/",), ("",)], "url string")
     got = {r["url"]: r["source"] for r in catalog.route(urls, sources).collect()}
-    assert got == {"http://www.blhvip.vn/x": "blh", "http://m.blhvip.vn/": "sub", "http://notblhvip.vn/": "generic", "": "generic"}
+    assert got == {"http://www.serial.example/x": "blh", "http://m.serial.example/": "sub", "http://notserial.example/": "generic", "": "generic"}
 
 
 def test_crawl(spark):
