@@ -59,9 +59,9 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of texts that are normalised whole, before they are split: a line break joins no character."""
+    """Lines of texts that are normalised whole, before they are split: a line break joins no character. Written out, since they are read several times."""
     d = load(spark, sf_dir, "documents")
-    return tx.lines_of(d.select("source", "doc_id", tx.nfc(F.col("text")).alias("text")), "text")
+    return tx.lines_of(durable(d.select("source", "doc_id", tx.nfc(F.col("text")).alias("text")), "normal-texts"), "text")
 
 
 def cleaned_lines(lines: DataFrame) -> DataFrame:
