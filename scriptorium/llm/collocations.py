@@ -7,8 +7,9 @@ and are dealt out in ranges of slots: a range's task merges all tasks' lists of
 of slots never are below an n-gram's own count, so nothing frequent is lost. The second pass counts only the n-grams whose slots
 reached it in all rows, by the words themselves, and Spark adds these counts up exactly.
 
-How the second pass learns of the slots depends on their number: up to KNOWN_SLOTS they are sent to every task; beyond that texts are
-put in chunks, the chunks' own slots meet those that reached the threshold range by range, and each chunk gets back its own.
+How the second pass learns of the slots depends on their number: up to KNOWN_SLOTS they are sent to every task; beyond that, or over more than KNOWN_TEXT, texts are
+put in chunks and dealt out in shares. A range's task then adds up the chunks' lists and gives each share back those of its own slots that reached
+the threshold, so that no slot meets a text without it, and the work grows with the text alone.
 
 A phrase's score compares its count with those of the two parts that its worst cut leaves. Parts of a frequent phrase are at
 least as frequent, so all counts that are needed are among the survivors. Phrases that mostly occur in one longer phrase are subsumed.
@@ -38,15 +39,17 @@ SPACES = byte_table(b" \t")
 ROWS, RANGE_BITS, RANGE_TEXT = 2, 20, 1 << 25
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
-#: Slots that are sent to every task at most.
-KNOWN_SLOTS = 4_000_000
+#: Slots that are sent to every task at most, and bytes of text over which they are looked for at all: larger corpora have more.
+KNOWN_SLOTS, KNOWN_TEXT = 4_000_000, 1 << 30
 #: Bytes of text that a task of the second pass counts at least, where there are twice as many tasks as cores: a phrase is a row of each task that meets it.
 COUNT_TEXT = 64 << 20
+#: Bytes of text in a share, about.
+SHARE_TEXT = 12 << 20
 #: New counts that a task adds up at once, or as many as it holds, and phrases whose sums it holds before it gives them out.
 NEW_COUNTS, HELD_PHRASES = 400_000, 1_500_000
 
 _SLOTS = "row int, part int, packed binary"
-_HITS = "chunk long, row int, part int, packed binary"
+_HITS = "share int, row int, part int, packed binary"
 _COUNTED = "lang string, phrase string, n long"
 
 
@@ -206,67 +209,85 @@ def _given(total: pa.Table) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("phrase").cast(pa.string()), b.column("n")], names=["lang", "phrase", "n"])
 
 
+def _added(tables: Iterator[pa.Table], new: int = NEW_COUNTS) -> Iterator[pa.RecordBatch]:
+    """Counts added up as long as they are few, `new` of them at once."""
+    total, held = None, []
+    for table in tables:
+        held.append(table)
+        if sum(map(len, held)) > max(new, 0 if total is None else len(total)):
+            total, held = _summed(held if total is None else [total, *held]), []
+            if len(total) > HELD_PHRASES:
+                yield from _given(total)
+                total = None
+    if held or total is not None:
+        yield from _given(_summed(held if total is None else [total, *held]))
+
+
 def _count(found: list[tuple[int, int, bytes]], ranges: int):
-    """(lang, text) to the counts of what may be frequent, added up over a task as long as they are few."""
+    """(lang, text) to the counts of what may be frequent."""
     mark = uuid.uuid4().hex  # a worker keeps the table of one plan between its tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reached = remembered(("phrases", mark), lambda: Reached(found, ranges))
-        total, held = None, []
-        for batch in batches:
-            for table in _counts(batch, reached):
-                held.append(table)
-                if sum(map(len, held)) > max(NEW_COUNTS, 0 if total is None else len(total)):
-                    total, held = _summed(held if total is None else [total, *held]), []
-                    if len(total) > HELD_PHRASES:
-                        yield from _given(total)
-                        total = None
-        if held or total is not None:
-            yield from _given(_summed(held if total is None else [total, *held]))
+        yield from _added(table for batch in batches for table in _counts(batch, reached))
 
     return run
 
 
 def _own_slots(ranges: int):
-    """Chunks to the lists of their n-grams' slots."""
+    """(share, packed) of chunks to the lists of their n-grams' slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            for chunk, text in zip(batch.column("chunk").to_pylist(), batch.column("packed")):
+            for share, text in zip(batch.column("share").to_pylist(), batch.column("packed")):
                 found = [g for rows in pa.ipc.open_stream(text.as_buffer()) for *_, grams in _grams(rows) for _, g in grams]
                 if found:
-                    yield _batch([(chunk, *x) for x in _lists(found, ranges)], chunk=pa.int64(), row=pa.int32(), part=pa.int32(), packed=pa.binary())
+                    yield _batch([(share, *x) for x in _lists(found, ranges)], share=pa.int32(), row=pa.int32(), part=pa.int32(), packed=pa.binary())
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk's list of a range, and the range's slots that reached the threshold, to those of the chunk."""
-    for batch in batches:
-        rows = []
-        for chunk, row, part, mine, all_ in zip(*(c.to_pylist() for c in batch.columns)):
-            own = np.intersect1d(unpack_sorted(mine), unpack_sorted(all_))
-            if len(own):
-                rows.append((chunk, row, part, pack_sorted(own)))
-        yield _batch(rows, chunk=pa.int64(), row=pa.int32(), part=pa.int32(), packed=pa.binary())
+def _give_back(least: int):
+    """A range's lists to those of each share's slots whose sums over all shares are least or more. A range's lists are of bounded size, however many there are."""
+
+    def run(key: tuple[pa.Scalar, ...], lists: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters, held = np.zeros(1 << RANGE_BITS, np.int64), {}
+        for batch in lists:
+            for share, packed in zip(batch.column("share").to_pylist(), batch.column("packed")):
+                own = unpack_sorted(packed.as_py())
+                first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                counters[own[first]] += np.diff(first, append=len(own))
+                held.setdefault(share, []).append(pack_sorted(own[first]))
+        reached = counters >= least
+        for share in sorted(held):
+            own = np.zeros(1 << RANGE_BITS, bool)
+            for packed in held.pop(share):
+                own[unpack_sorted(packed)] = True
+            found = np.flatnonzero(own & reached).astype(np.uint64)
+            if len(found):
+                yield _batch([(share, key[0].as_py(), key[1].as_py(), pack_sorted(found))], share=pa.int32(), row=pa.int32(), part=pa.int32(), packed=pa.binary())
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "lists": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
 
 
-def _count_chunk(ranges: int):
-    """A chunk's texts and its slots that reached the threshold to the counts of what may be frequent."""
+def _count_share(ranges: int):
+    """A share's chunks and its slots that reached the threshold to the counts of what may be frequent."""
 
     def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, text = [], None
+        forget()
+        found, texts = [], []
         for batch in tables:
             for row, part, packed in zip(*(batch.column(c).to_pylist() for c in ("row", "part", "packed"))):
                 if row is None:
-                    text = packed
+                    texts.append(packed)
                 else:
                     found.append((row, part, packed))
         reached = Reached(found, ranges)
-        held = [t for rows in pa.ipc.open_stream(text) for t in _counts(rows, reached)]
-        if held:
-            yield from _given(_summed(held))
+        found.clear()
+        for text in texts:  # Spark adds up the chunks' counts, faster than a task here would again and again
+            yield from _added((table for rows in pa.ipc.open_stream(text) for table in _counts(rows, reached)), 5 * NEW_COUNTS)
 
     run.__annotations__ = {"key": tuple[pa.Scalar, ...], "tables": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     return run
@@ -277,19 +298,21 @@ def frequent(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_c
     rows = docs.select(F.coalesce(docs[f"`{lang_col}`"], F.lit("und")).alias("lang"), docs[f"`{text_col}`"].alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     ranges = max(1, -(-size // RANGE_TEXT))
-    merged = rows.mapInArrow(_sketch(ranges, chunk_bytes), _SLOTS).groupBy("row", "part").applyInArrow(_merge(least), "row int, part int, n long, packed binary")
-    reached = durable(merged, "phrase-slots")
-    if (reached.agg(F.sum("n").alias("n")).first()["n"] or 0) <= known_slots:
-        found = [(r["row"], r["part"], bytes(r["packed"])) for r in reached.collect()]  # bounded: about two bytes for each of known_slots
-        tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // COUNT_TEXT))
-        counted = rows.coalesce(tasks).mapInArrow(_count(sorted(found), ranges), _COUNTED)
-    else:
+    cores, counted = docs.sparkSession.sparkContext.defaultParallelism, None
+    if size <= KNOWN_TEXT:
+        merged = rows.mapInArrow(_sketch(ranges, chunk_bytes), _SLOTS).groupBy("row", "part").applyInArrow(_merge(least), "row int, part int, n long, packed binary")
+        reached = durable(merged, "phrase-slots")
+        if (reached.agg(F.sum("n").alias("n")).first()["n"] or 0) <= known_slots:
+            found = [(r["row"], r["part"], bytes(r["packed"])) for r in reached.collect()]  # bounded: about two bytes for each of known_slots
+            tasks = max(2 * cores, -(-size // COUNT_TEXT))
+            counted = rows.coalesce(tasks).mapInArrow(_count(sorted(found), ranges), _COUNTED)
+    if counted is None:
         # Written out, so that both passes see the same chunks.
-        held = durable(rows.mapInArrow(chunks(chunk_bytes, 1), "chunk long, packed binary"), "phrase-chunks")
-        both = held.mapInArrow(_own_slots(ranges), _HITS).join(reached.select("row", "part", F.col("packed").alias("all")), ["row", "part"]).select("chunk", "row", "part", "packed", "all")
-        hits = durable(both.mapInArrow(_meet, _HITS), "phrase-hits")
+        share = F.pmod(F.xxhash64("chunk"), F.lit(max(2 * cores, -(-size // SHARE_TEXT)))).cast("int").alias("share")
+        held = durable(rows.mapInArrow(chunks(chunk_bytes, 1), "chunk long, packed binary").select(share, "packed"), "phrase-chunks")
+        hits = durable(held.mapInArrow(_own_slots(ranges), _HITS).groupBy("row", "part").applyInArrow(_give_back(least), _HITS), "phrase-hits")
         none = F.lit(None).cast("int")
-        counted = hits.union(held.select("chunk", none.alias("row"), none.alias("part"), "packed")).groupBy("chunk").applyInArrow(_count_chunk(ranges), _COUNTED)
+        counted = hits.union(held.select("share", none.alias("row"), none.alias("part"), "packed")).groupBy("share").applyInArrow(_count_share(ranges), _COUNTED)
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | F.col("phrase").isNull())
 
 

@@ -178,6 +178,17 @@ def test_collocations(spark, chunk_bytes, known_slots, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(phrases_brute(rows))
 
 
+def test_many_slots_meet_no_text_without_them(spark, monkeypatch):
+    """Beyond KNOWN_SLOTS no range's slots are joined to every chunk, and the counts are those of the other way."""
+    rows = [(i, " ".join(f"w{(i * j) % 23} x{j % 7}." if j % 5 == 0 else f"w{(i * j) % 23} x{j % 7}" for j in range(200)), "en") for i in range(1, 60)]
+    docs, plans, durable = docs_of(spark, rows), {}, collocations.durable
+    monkeypatch.setattr(collocations, "durable", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().toString()), durable(df, name))[1])
+    monkeypatch.setattr(collocations, "RANGE_TEXT", 1 << 13)
+    few, many = (sorted(map(tuple, collocations.frequent(docs, chunk_bytes=2000, known_slots=n).collect()), key=str) for n in (4_000_000, 0))
+    assert few == many and len(few) > 100
+    assert "Join" not in plans["phrase-hits"]
+
+
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(docs_of(spark, [])).count() == 0
     assert collocations.collocations(docs_of(spark, [(1, None, "en"), (2, "a b", None)])).count() == 0
