@@ -113,12 +113,26 @@ def memory_lookup(rows: DataFrame, memory: DataFrame, key: str = "key") -> DataF
     return rows.join(memory.select(key, "value"), key, "left")
 
 
+#: Pieces that a host's URLs are dealt out in: few hosts have most of them.
+HOST_PIECES = 32
+
+
 def belongs(urls: DataFrame, watches: DataFrame) -> DataFrame:
-    """Distinct (watch_id, url): the host is one of the watch's, or the URL was harvested or seen before (JN-05): three equi joins."""
+    """Distinct (watch_id, url): the host is one of the watch's, or the URL was harvested or seen before (JN-05).
+
+    A URL has one host, so pairs by host are distinct as they are made, and known ones are those of other hosts: pairs, which may be
+    many more than URLs and watches, aren't shuffled. Tasks are as many as the session says, since what they make tells nothing of what they read.
+    """
+    dealt = lambda rows: rows.repartition(int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "host", "piece")
     hosts = watches.select("watch_id", F.explode("addresses").alias("a")).select("watch_id", url_host(F.col("a")).alias("host")).distinct()
-    by_host = urls.select("url", url_host(F.col("url")).alias("host")).join(hosts, "host").select("watch_id", "url")
-    known = [urls.select("url").join(watches.select("watch_id", F.explode(c).alias("url")), "url").select("watch_id", "url") for c in ("harvested", "seen")]
-    return by_host.union(known[0]).union(known[1]).distinct()
+    once = urls.select("url").distinct().withColumn("host", url_host(F.col("url")))
+    piece = once.withColumn("piece", F.pmod(F.xxhash64("url"), F.lit(HOST_PIECES)))
+    every = hosts.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOST_PIECES - 1).cast("long"))))
+    by_host = dealt(piece).join(dealt(every).hint("merge"), ["host", "piece"]).select("watch_id", "url")
+    both = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("harvested", "seen")))
+    known = watches.select("watch_id", F.explode(both).alias("url")).distinct().join(once, "url")
+    other = hosts.select(F.col("watch_id").alias("w"), F.col("host").alias("h"))
+    return by_host.union(known.join(other, F.col("watch_id").eqNullSafe(F.col("w")) & (F.col("host") == F.col("h")), "left_anti").select("watch_id", "url"))
 
 
 def new_files(found: DataFrame, harvested: DataFrame) -> DataFrame:

@@ -232,3 +232,13 @@ def test_map_reduce(spark):
     notes = spark.createDataFrame([("b", i, f"n{i}") for i in range(5)] + [("c", 0, "only")], "book string, batch long, text string")
     got = {r["book"]: r["text"] for r in session.map_reduce(notes, vectorised("string")(upper), vectorised("string")(squeeze), 5).collect()}
     assert got["c"] == "ONLY" and got["b"].split("+") == ["N0", "N1", "N2", "N3", "N4"]
+
+
+def test_belongs_shuffles_no_pairs(spark):
+    """Pairs are distinct as they are made: nothing is shuffled or made distinct above the join by host."""
+    urls = spark.createDataFrame([("http://a/1",), ("http://a/1",), ("http://a/2",), ("http://b/1",), ("x",)], "url string")
+    watches = spark.createDataFrame([("w", ["http://a/9", "http://a/8"], ["http://a/1", "http://b/1"], ["http://b/1", "x"]), ("v", [], ["http://a/2"], None), (None, ["http://b/3"], None, ["http://b/1"])], "watch_id string, addresses array<string>, harvested array<string>, seen array<string>")
+    got = catalog.belongs(urls, watches)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("w", "http://a/1"), ("w", "http://a/2"), ("w", "http://b/1"), ("w", "x"), ("v", "http://a/2"), (None, "http://b/1")], key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("Union")
