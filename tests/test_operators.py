@@ -242,3 +242,18 @@ def test_belongs_shuffles_no_pairs(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("w", "http://a/1"), ("w", "http://a/2"), ("w", "http://b/1"), ("w", "x"), ("v", "http://a/2"), (None, "http://b/1")], key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.lstrip().startswith("Union")
+
+
+def test_fuzzy_pairs_by_blocks(spark, monkeypatch):
+    """Common words make no rows: blocks are compared whole, and nothing is grouped by pair; several blocks a side give what one does."""
+    rows = [(i, " ".join(f"w{(i * j * j) % (7 + i % 31)}" for j in range(1, 12 + i % 5))) for i in range(120)]
+    a, b = spark.createDataFrame(rows[:70], "i int, t string"), spark.createDataFrame(rows[50:], "j long, r string")
+    sets = {i: {w for w in t.split() if len(w) >= 2} for i, t in rows}
+    want = sorted((i, j, n) for i in range(70) for j in range(50, 120) if (n := len(sets[i] & sets[j])) >= 2 and n / min(len(sets[i]), len(sets[j])) >= 0.5)
+    for block in (4096, 9):
+        monkeypatch.setattr(session, "BLOCK", block)
+        got = session.fuzzy_pairs(a, b, "i", "t", "j", "r")
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 100
+    assert dict(got.dtypes) == {"i": "int", "j": "bigint", "shared": "bigint"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Cross" in plan
