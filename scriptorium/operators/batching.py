@@ -1,7 +1,7 @@
 """Size-budgeted batches, blocks and even samples.
 
 A greedy batch's start depends on all before it, so these fold over a group's sizes in order. Spark's
-aggregate() over an ordered array keeps that in one expression; a group is one work's items.
+aggregate() over an ordered array keeps that in one expression, stretch by stretch, so that its time grows with the items; a group is one work's items.
 """
 
 from __future__ import annotations
@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 _STATE = "struct<sum:bigint,n:bigint,batch:bigint,out:array<bigint>>"
 
 
+#: Sizes that are folded before their batches are added to the others': adding copies what is there.
+STRETCH = 512
+
+
 def _fold(sizes: Column, step) -> Column:
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("batch"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(sizes, start.cast(_STATE), step, lambda s: s["out"])
+    none = F.array().cast("array<bigint>")
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("batch"), none.alias("out"))
+
+    def stretch(s, i):
+        own = _state(s["sum"], s["n"], s["batch"], none)
+        return F.aggregate(F.slice(sizes, i, F.lit(STRETCH)), own.cast(_STATE), step, lambda r: _state(r["sum"], r["n"], r["batch"], F.concat(s["out"], r["out"])))
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(sizes)), F.lit(STRETCH)), start.cast(_STATE), stretch, lambda s: s["out"])
 
 
 def _state(total: Column, n: Column, batch: Column, out: Column) -> Column:

@@ -257,3 +257,24 @@ def test_fuzzy_pairs_by_blocks(spark, monkeypatch):
     assert dict(got.dtypes) == {"i": "int", "j": "bigint", "shared": "bigint"}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Cross" in plan
+
+
+def test_long_works_are_folded_in_stretches(spark):
+    """Batches of 30,000 items: what was folded isn't copied for every item, and stretches don't show in the result."""
+    import time
+
+    def seconds(n):
+        rows = spark.range(n).select(F.lit("w").alias("w"), F.col("id"), (F.col("id") * 7919 % 400).alias("size"))
+        began = time.time()
+        got = [r["batch"] for r in batching.batches(rows, "w", "id", "size", batching.small).orderBy("id").collect()]
+        return time.time() - began, got
+
+    took, got = seconds(30_000)
+    total = count = batch = 0
+    for i, own in enumerate(got):
+        size = i * 7919 % 400
+        if count and (count >= 8 or total + size >= 1200):
+            total, count, batch = 0, 0, batch + 1
+        total, count = total + size, count + 1
+        assert own == batch
+    assert len(got) == 30_000 and seconds(60_000)[0] < 3 * took + 2
