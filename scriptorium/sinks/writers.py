@@ -7,7 +7,7 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +85,15 @@ def epub_files(books: DataFrame, chapters: DataFrame, size: int = 0, book: str =
     extra = [c for c in ("author", "url", "description", "cover", "cover_ext", "lang") if c in books.columns]
     rows = rows.join(many, book).join(books.select(book, "title", *extra), book).withColumn("name", F.concat(safe_name(F.col("title")), F.when(F.col("many"), F.concat(F.lit(" - Tap "), F.col("volume").cast("string"))).otherwise(""), F.lit(".epub")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            made = [build_epub(r, [(c["title"], list(c["lines"])) for c in r["chapters"]], r["volume"] if r["many"] else None) for r in pdf.to_dict("records")]
-            yield pdf[[book, "volume", "name"]].assign(content=made)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):  # a volume at a time: its lines take many times their bytes as Python objects
+                own = batch.slice(i, 1)
+                r = own.to_pylist()[0]
+                made = build_epub(r, [(c["title"], c["lines"]) for c in r["chapters"]], r["volume"] if r["many"] else None)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in (book, "volume", "name")), pa.array([made], pa.binary())], names=[book, "volume", "name", "content"])
 
-    return rows.mapInPandas(run, f"{book} {dict(books.dtypes)[book]}, volume int, name string, content binary")
+    return rows.mapInArrow(run, f"{book} {dict(books.dtypes)[book]}, volume int, name string, content binary")
 
 
 def write_day(articles: DataFrame, path: str) -> None:

@@ -154,3 +154,14 @@ def test_session_stream(spark, tmp_path):
     q = session_stream(stream).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: b.write.mode("append").parquet(out)).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("s", 2, 1), ("t", 1, 0)]
+
+
+def test_works_are_given_out_as_they_are_read():
+    import pandas as pd
+
+    from scriptorium.sources import readers
+
+    files = pd.DataFrame({"name": [f"{i}.txt" for i in range(40)], "content": [b"line\n" * 50_000] * 39 + [None]})
+    found = list(readers.works_of(iter([files])))
+    assert len(found) == 8 and sum(map(len, found)) == 40 and max(map(len, found)) == 5
+    assert [n for x in found for n in x["name"]] == list(files["name"])
