@@ -1,6 +1,7 @@
 """Lines to chapters: headings in plain text, levels of headings, fences, bookmarks and merged files.
 
-All of it is running sums and neighbours over one window by document and position.
+All of it is running sums and neighbours over windows by document and position. A long document can be in pieces, named by a column
+that never falls with the position: a window is one piece then, and what pieces leave to the next ones is told by a row for each.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import strip
+from scriptorium.session import durable
 
 OPENING = "Mở đầu"
 # What a chapter's heading looks like.
@@ -24,45 +26,96 @@ def _worth(n: Column, chars: Column) -> Column:
     return (n >= 3) | (chars >= 120)
 
 
-def number_lines(lines: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
-    """Blanks collapsed, empty lines out, places from 1."""
-    flat = strip(F.regexp_replace("line", r"[ \t\r\f\x0b]+", " "))
-    return lines.withColumn("line", flat).where("line <> ''").withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy(pos)))
+def _keyed(rows: DataFrame, by: list[str], piece: str | None) -> DataFrame:
+    """Rows with the key of their piece. It is a struct, since nulls within one are equal in joins, as they are in windows. Where number_rows made it, rows lie by it already."""
+    return rows if "key_" in rows.columns else rows.withColumn("key_", F.struct(*[F.col(c).alias(f"by{i}") for i, c in enumerate(by)], (F.col(piece) if piece else F.lit(0)).alias("piece")))
 
 
-def split_chapters(lines: DataFrame, by: list[str], title: str | None = None, pos: str = "pos") -> DataFrame:
+def _own(by: list[str]):
+    """All pieces of a text, in order."""
+    return Window.partitionBy(*[f"key_.by{i}" for i in range(len(by))]).orderBy("key_.piece")
+
+
+def _before(by: list[str]):
+    return _own(by).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _all(by: list[str]):
+    return _own(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def _sum(c: Column, over) -> Column:
+    return F.coalesce(F.sum(c).over(over), F.lit(0))
+
+
+def _int(c: Column) -> Column:
+    return F.coalesce(c, F.lit(False)).cast("int")
+
+
+def number_rows(rows: DataFrame, by: list[str], order: str, piece: str, name: str) -> DataFrame:
+    """Row numbers within `by` by `order`, which never falls from a piece to the next: pieces are numbered each for itself, and counted on. Their key stays."""
+    rows = _keyed(rows, by, piece)
+    counts = rows.groupBy("key_").agg(F.count(F.lit(1)).alias("n_")).select("key_", _sum(F.col("n_"), _before(by)).alias("before_"))
+    local = rows.withColumn("at_", F.row_number().over(Window.partitionBy("key_").orderBy(order)))
+    return local.join(counts, "key_").withColumn(name, F.col("before_") + F.col("at_")).drop("at_", "before_")
+
+
+def split_chapters(lines: DataFrame, by: list[str], title: str | None = None, pos: str = "pos", piece: str | None = None) -> DataFrame:
     """(by, idx, title, n, line): each line of a chapter under its number, heading and place (WIN-04, WIN-05).
 
     Two headings make chapters, what stands before the first is an opening if it is worth it; else a text
     of up to 450 lines is one chapter under the document's title, and a longer one is cut every 300 lines.
     """
     name = F.col(title) if title else F.lit("")
-    own = Window.partitionBy(*by)
-    run = own.orderBy("at")
-    rows = number_lines(lines, by, pos)
-    after = F.lead("line").over(run)
-    head = (F.length("line") <= 100) & (
-        F.col("line").rlike(HEAD) | F.col("line").rlike(HEAD_CJK) | (F.coalesce(after.rlike(DASHES), F.lit(False)) & ~F.col("line").rlike(DASHES))
-    )
-    rows = rows.withColumn("head", head)
-    rows = rows.withColumn("part", F.sum(F.col("head").cast("int")).over(run)).withColumn("heads", F.sum(F.col("head").cast("int")).over(own)).withColumn("total", F.count(F.lit(1)).over(own))
-    in_part = Window.partitionBy(*by, "part")
-    rows = rows.withColumn("in_part", F.row_number().over(in_part.orderBy("at"))).withColumn("part_title", F.first("line").over(in_part.orderBy("at")))
-    # In a part, the heading and a rule right under it are no body.
-    body = F.when(F.col("part") == 0, F.lit(True)).otherwise((F.col("in_part") > 1) & ~((F.col("in_part") == 2) & F.col("line").rlike(DASHES)))
-    rows = rows.withColumn("body", body)
-    opening = _worth(F.count(F.lit(1)).over(in_part), F.sum(F.length("line")).over(in_part))
-    rows = rows.withColumn("kept", F.col("body") & ((F.col("part") > 0) | opening)).withColumn("chapters", F.max((F.col("kept")).cast("int")).over(own))
-    by_heads = (F.col("heads") >= 2) & (F.col("chapters") > 0)
-    block = F.floor((F.col("at") - 1) / PART_LINES).cast("int")
-    rows = rows.withColumn("group", F.when(by_heads, F.col("part")).when(F.col("total") > PART_LINES * 3 / 2, block).otherwise(0))
-    heading = F.when(by_heads, F.when(F.col("part") == 0, OPENING).otherwise(F.col("part_title"))).when(
-        F.col("total") > PART_LINES * 3 / 2, F.concat(F.lit("Phần "), (block + 1).cast("string"))
-    ).otherwise(name)
-    rows = rows.where(~by_heads | F.col("kept")).withColumn("title_", heading)
-    return rows.select(
-        *by, F.dense_rank().over(own.orderBy("group")).alias("idx"), F.col("title_").alias("title"), F.row_number().over(Window.partitionBy(*by, "group").orderBy("at")).alias("n"), "line"
-    )
+    run = Window.partitionBy("key_").orderBy("pos_")
+    flat = strip(F.regexp_replace("line", r"[ \t\r\f\x0b]+", " "))  # blanks collapsed, empty lines out
+    tidy = F.explode(F.filter(F.array(flat), lambda x: x != "")).alias("line")  # made once, unlike a column that is filtered by
+    rows = _keyed(lines, by, piece).select("key_", *by, F.col(pos).alias("pos_"), name.alias("name_"), tidy)
+    short, rule = F.length("line") <= 100, F.col("line").rlike(DASHES)
+    rows = rows.withColumn("at", F.row_number().over(run)).withColumn("rule", rule).withColumn("named", short & (F.col("line").rlike(HEAD) | F.col("line").rlike(HEAD_CJK)))
+    # The line after a piece's last one is in the next piece: whether that is a rule, and the last line so a heading, is told below.
+    rows = rows.withColumn("ruled", F.lead("rule").over(run))
+    rows = rows.withColumn("head", F.col("named") | (short & F.coalesce("ruled", F.lit(False)) & ~F.col("rule"))).withColumn("may", F.col("ruled").isNull() & short & ~F.col("named") & ~F.col("rule"))
+    this = F.when(F.col("head"), F.struct("at", F.col("line").alias("title"), _int(F.col("ruled")).alias("ruled")))
+    rows = rows.withColumn("last", F.last(this, ignorenulls=True).over(run)).withColumn("former", F.lag("last").over(run))
+    # A part is whole at the next heading; it has a body, if it is more than its heading and a rule right under that.
+    whole = F.col("head") & (F.col("at") - F.col("former.at") >= 2 + F.col("former.ruled"))
+    rows = rows.withColumn("whole", F.sum(_int(whole)).over(run))
+    rows = durable(rows.select("key_", *by, "name_", "line", "at", "head", "may", "last", "whole", "rule"), "split-lines")
+
+    early = F.col("last").isNull()
+    p = rows.groupBy("key_").agg(
+        F.count(F.lit(1)).alias("rows"), F.min_by("rule", "at").alias("rule"), F.sum(_int(F.col("head"))).alias("heads"), F.max_by("last", "at").alias("last"), F.min("last.at").alias("first"), F.max("whole").alias("whole"),
+        F.max(F.when(F.col("may"), F.col("line"))).alias("tail"), F.sum(_int(early)).alias("early"), F.coalesce(F.sum(F.when(early, F.length("line"))), F.lit(0)).alias("chars"),
+    )
+    p = p.withColumn("next", F.coalesce(F.lead("rule").over(_own(by)), F.lit(False))).withColumn("before", _sum(F.col("rows"), _before(by)))
+    p = p.withColumn("turns", F.col("next") & F.col("tail").isNotNull())
+    ruled = F.greatest(F.col("last.ruled"), _int((F.col("last.at") == F.col("rows")) & F.col("next")))
+    p = p.withColumn("whole", F.col("whole") + _int(F.col("turns") & (F.col("rows") - F.col("last.at") >= 2 + F.col("last.ruled"))))
+    p = p.withColumn("first", F.col("before") + F.coalesce("first", F.when(F.col("turns"), F.col("rows"))))
+    alone = F.col("turns") & (F.col("heads") == 0)
+    p = p.withColumn("early", F.col("early") - _int(alone)).withColumn("chars", F.col("chars") - F.when(alone, F.length("tail")).otherwise(0)).withColumn("heads", F.col("heads") + _int(F.col("turns")))
+    made = lambda at, title, ruled: F.struct((F.col("before") + at).alias("at"), title.alias("title"), ruled.alias("ruled"))
+    p = p.withColumn("end", F.when(F.col("turns"), made(F.col("rows"), F.col("tail"), F.lit(1))).when(F.col("last").isNotNull(), made(F.col("last.at"), F.col("last.title"), ruled)))
+    p = p.withColumn("open", F.last("end", ignorenulls=True).over(_before(by))).withColumn("final", F.last("end", ignorenulls=True).over(_all(by)))
+    p = p.withColumn("shut", _int(F.col("first") - F.col("open.at") >= 2 + F.col("open.ruled")))
+    outside = F.col("open").isNull()
+    p = p.withColumn("total", F.sum("rows").over(_all(by))).withColumn("n0", _sum(F.when(outside, F.col("early")), _all(by))).withColumn("chars0", _sum(F.when(outside, F.col("chars")), _all(by)))
+    p = p.withColumn("opening", (F.col("n0") > 0) & _worth(F.col("n0"), F.col("chars0"))).withColumn("shut_before", _sum(F.col("whole") + F.col("shut"), _before(by)))
+    bodies = F.col("opening") | (F.sum(F.col("whole") + F.col("shut")).over(_all(by)) > 0) | F.coalesce(F.col("total") - F.col("final.at") + 1 >= 2 + F.col("final.ruled"), F.lit(False))
+    p = p.withColumn("by_heads", (F.sum("heads").over(_all(by)) >= 2) & bodies).select("key_", "rows", "before", "turns", "open", "shut", "shut_before", "total", "opening", "by_heads")
+
+    rows = rows.join(p, "key_").withColumn("own", F.col("last").isNotNull()).withColumn("last", F.coalesce(F.when(F.col("own"), made(F.col("last.at"), F.col("last.title"), F.col("last.ruled"))), F.col("open")))
+    rows = rows.withColumn("at_", F.col("before") + F.col("at")).withColumn("in_part", F.col("at_") - F.col("last.at") + 1)
+    kept = ~(F.col("turns") & (F.col("at") == F.col("rows"))) & F.when(F.col("last").isNull(), F.col("opening")).otherwise(F.col("in_part") >= 2 + F.col("last.ruled"))
+    rows = rows.where(~F.col("by_heads") | kept)
+    long, block = F.col("total") > PART_LINES * 3 / 2, F.floor((F.col("at_") - 1) / PART_LINES)
+    part = F.col("shut_before") + F.when(F.col("own"), F.col("shut") + F.col("whole")).otherwise(0) + 1 + _int(F.col("opening"))
+    in_opening = F.col("last").isNull()
+    idx = F.when(F.col("by_heads"), F.when(in_opening, 1).otherwise(part)).when(long, block + 1).otherwise(1)
+    heading = F.when(F.col("by_heads"), F.when(in_opening, OPENING).otherwise(F.col("last.title"))).when(long, F.concat(F.lit("Phần "), (block + 1).cast("string"))).otherwise(F.col("name_"))
+    n = F.when(F.col("by_heads"), F.when(in_opening, F.col("at_")).otherwise(F.col("in_part") - 1 - F.col("last.ruled"))).when(long, F.col("at_") - block * PART_LINES).otherwise(F.col("at_"))
+    return rows.select(*by, idx.cast("int").alias("idx"), heading.alias("title"), n.cast("int").alias("n"), "line")
 
 
 def chapter_level(items: DataFrame, by: list[str]) -> DataFrame:
@@ -72,28 +125,44 @@ def chapter_level(items: DataFrame, by: list[str]) -> DataFrame:
     return best.where("all >= 2 AND best.n >= 2").select(*by, F.col("best.level").alias("chapter_level"))
 
 
-def assemble_levels(items: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
+def assemble_levels(items: DataFrame, by: list[str], pos: str = "pos", piece: str | None = None) -> DataFrame:
     """(by, idx, title, n, line) from items (level or null, text): shallower headings prefix the chapters after them, deeper ones are body (WIN-06)."""
-    own = Window.partitionBy(*by)
-    run = own.orderBy(pos)
-    rows = items.join(chapter_level(items, by), by)
-    above, here = F.col("level") < F.col("chapter_level"), F.col("level") == F.col("chapter_level")
+    items = _keyed(durable(items, "items"), by, piece)
+    whole = [F.col(f"key_.by{i}") for i in range(len(by))]
+    levels = chapter_level(items.select(F.struct(*whole).alias("text_"), "level"), ["text_"])
+    levels = items.select("key_").distinct().withColumn("text_", F.struct(*whole)).join(levels, "text_").drop("text_")
+    run = Window.partitionBy("key_").orderBy(pos)
+    above, here = F.col("level") < F.col("chapter_level"), F.coalesce(F.col("level") == F.col("chapter_level"), F.lit(False))
+    rows = items.join(levels, "key_").withColumn("at", F.row_number().over(run)).withColumn("here", here).withColumn("opens", F.coalesce(above, F.lit(False)) | here)
     rows = rows.withColumn("prefix", F.last(F.when(above, F.col("text")), ignorenulls=True).over(run))
-    rows = rows.withColumn("part", F.sum(F.coalesce((above | here), F.lit(False)).cast("int")).over(run))
     # A part starts at a heading of the chapters' level or above; lines after one above belong to no chapter.
-    rows = rows.withColumn("opens", F.coalesce(here, F.lit(False)))
-    parts = Window.partitionBy(*by, "part")
-    rows = rows.withColumn("chapter", F.max(F.col("opens").cast("int")).over(parts) == 1)
-    rows = rows.withColumn("title_", F.first(F.when(F.col("opens"), F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(" · "), "text")).otherwise(F.col("text"))), ignorenulls=True).over(parts))
-    content = F.col("level").isNull() | (F.col("level") > F.col("chapter_level"))
-    rows = rows.where(content)
+    this = F.when(F.col("opens"), F.struct("at", F.col("here").alias("chapter"), F.col("text").alias("title"), "prefix"))
+    rows = rows.withColumn("last", F.last(this, ignorenulls=True).over(run))
+    rows = rows.withColumn("starts", F.sum(_int(~F.col("opens") & F.lag("here").over(run))).over(run)).withColumn("loose", F.sum(_int(~F.col("opens") & ~F.col("last.chapter"))).over(run))
+    rows = durable(rows.select("key_", *by, "text", "at", "opens", "last", "prefix", "starts", "loose"), "levelled-items")
+
+    early, loose = F.col("last").isNull(), ~F.col("opens") & ~F.col("last.chapter")
+    chars = lambda which: F.coalesce(F.sum(F.when(which, F.length("text"))), F.lit(0))
+    p = rows.groupBy("key_").agg(
+        F.count(F.lit(1)).alias("rows"), F.max_by("last", "at").alias("last"), F.max_by("prefix", "at").alias("prefix"), F.max("starts").alias("starts"), F.max("loose").alias("loose"), F.sum(_int(early)).alias("early"), chars(early).alias("early_chars"), chars(loose).alias("chars"),
+    )
+    p = p.withColumn("before", _sum(F.col("rows"), _before(by))).withColumn("prefix", F.last("prefix", ignorenulls=True).over(_before(by)))
+    prefix = F.coalesce("last.prefix", "prefix")
+    name = F.when(prefix.isNotNull(), F.concat(prefix, F.lit(" · "), "last.title")).otherwise(F.col("last.title"))
+    made = F.when(F.col("last").isNotNull(), F.struct((F.col("before") + F.col("last.at")).alias("at"), F.col("last.chapter").alias("chapter"), name.alias("title")))
+    p = p.withColumn("open", F.last(made, ignorenulls=True).over(_before(by))).withColumn("outside", ~F.coalesce("open.chapter", F.lit(False)))
+    p = p.withColumn("start", _int((F.col("early") > 0) & F.lag(F.col("last.chapter") & (F.col("last.at") == F.col("rows"))).over(_own(by))))
+    p = p.withColumn("early", F.when(F.col("outside"), F.col("early")).otherwise(0)).withColumn("chars", F.col("chars") + F.when(F.col("outside"), F.col("early_chars")).otherwise(0))
+    p = p.withColumn("starts_before", _sum(F.col("starts") + F.col("start"), _before(by))).withColumn("loose_before", _sum(F.col("loose") + F.col("early"), _before(by)))
     # All that stands in no chapter is the opening.
-    rows = rows.withColumn("group", F.when(F.col("chapter"), F.col("part")).otherwise(0))
-    group = Window.partitionBy(*by, "group")
-    rows = rows.withColumn("fine", F.col("chapter") | _worth(F.count(F.lit(1)).over(group), F.sum(F.length("text")).over(group))).where("fine")
-    return rows.select(
-        *by, F.dense_rank().over(own.orderBy("group")).alias("idx"), F.when(F.col("group") == 0, OPENING).otherwise(F.col("title_")).alias("title"), F.row_number().over(group.orderBy(pos)).alias("n"), F.col("text").alias("line")
-    )
+    n0, chars0 = F.sum(F.col("loose") + F.col("early")).over(_all(by)), F.sum("chars").over(_all(by))
+    p = p.withColumn("opening", (n0 > 0) & _worth(n0, chars0)).select("key_", "before", F.col("prefix").alias("prefix_"), "open", "start", "early", "starts_before", "loose_before", "opening")
+
+    rows = rows.where("NOT opens").join(p, "key_").withColumn("prefix", F.col("prefix_")).withColumn("own", F.col("last").isNotNull()).withColumn("last", F.coalesce(made, F.col("open")))
+    rows = rows.withColumn("chapter", F.coalesce("last.chapter", F.lit(False))).where("chapter OR opening")
+    idx = F.when(F.col("chapter"), F.col("starts_before") + F.col("start") + F.col("starts") + _int(F.col("opening"))).otherwise(1)
+    n = F.when(F.col("chapter"), F.col("before") + F.col("at") - F.col("last.at")).otherwise(F.col("loose_before") + F.when(F.col("own"), F.col("early") + F.col("loose")).otherwise(F.col("at")))
+    return rows.select(*by, idx.cast("int").alias("idx"), F.when(F.col("chapter"), F.col("last.title")).otherwise(OPENING).alias("title"), n.cast("int").alias("n"), F.col("text").alias("line"))
 
 
 def lift_title(items: DataFrame, by: list[str], pos: str = "pos") -> tuple[DataFrame, DataFrame]:
@@ -114,16 +183,21 @@ def markdown_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, r"!\[([^\]]*)\]\([^)]*\)", "$1"), r"\[([^\]]+)\]\([^)]*\)", "$1"))
 
 
-def markdown_items(lines: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
-    """(by, pos, level, text): headings and text; what is fenced is text (WIN-16, SRC-11)."""
+def markdown_items(lines: DataFrame, by: list[str], pos: str = "pos", piece: str | None = None) -> DataFrame:
+    """(by, pos, level, text): headings and text; what is fenced is text (WIN-16, SRC-11). A piece's column is kept."""
     line = F.regexp_replace("line", r"(?U)\s+$", "")
     fence = F.ltrim(line).startswith("```")
-    inside = F.sum(fence.cast("int")).over(Window.partitionBy(*by).orderBy(pos)) % 2 == 1
-    rows = lines.withColumn("l", line).withColumn("fence", fence).withColumn("inside", inside).where("NOT fence")
+    fences = F.sum(fence.cast("int")).over(Window.partitionBy(*(["key_"] if piece else by)).orderBy(pos))
+    if piece:
+        lines = _keyed(lines, by, piece)
+        counts = lines.groupBy("key_").agg(F.sum(fence.cast("int")).alias("n_")).select("key_", _sum(F.col("n_"), _before(by)).alias("before_"))
+        lines, fences = lines.join(counts, "key_"), fences + F.col("before_")
+    rows = lines.withColumn("l", line).withColumn("fence", fence).withColumn("inside", fences % 2 == 1).where("NOT fence")
     head = ~F.col("inside") & F.col("l").rlike(MD_HEAD)
     text = F.when(F.col("inside"), strip(F.col("l"))).when(head, markdown_text(F.regexp_extract("l", MD_HEAD, 2))).otherwise(markdown_text(F.col("l")))
-    rows = rows.select(*by, pos, F.when(head, F.length(F.regexp_extract("l", MD_HEAD, 1))).alias("level"), text.alias("text"))
-    return rows.where("text <> '' OR level IS NOT NULL")
+    level = F.when(head, F.length(F.regexp_extract("l", MD_HEAD, 1)))
+    item = F.filter(F.array(F.struct(level.alias("level"), text.alias("text"))), lambda x: (x["text"] != "") | x["level"].isNotNull())
+    return rows.select(*by, pos, *([piece] if piece else []), F.inline(item))
 
 
 def bookmark_ranges(marks: DataFrame, pages: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
