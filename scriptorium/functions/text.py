@@ -44,10 +44,15 @@ def _unsettled() -> str:
 SETTLED = [(0x00, 0x2FF), (0x1E00, 0x1EFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x3001, 0x3029), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3)]
 
 
+def _odd() -> str:
+    """A pattern of a character that is in none of the settled ranges. Nearly all are in the first, and are tested for that alone: a class of eight ranges takes many times as long."""
+    first, *others = (rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in SETTLED)
+    return f"[^{first}](?<![{''.join(others)}])"
+
+
 def nfc(c: Column) -> Column:
     """Normal form C. Where a text can only be in it already, Python gets a null for it. The long pattern is for texts with characters out of the ordinary."""
-    settled = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in SETTLED)
-    return F.coalesce(_nfc(F.when(c.rlike(f"[^{settled}]"), F.when(c.rlike(_unsettled()), c))), c)
+    return F.coalesce(_nfc(F.when(c.rlike(_odd()), F.when(c.rlike(_unsettled()), c))), c)
 
 
 @lru_cache(maxsize=1)

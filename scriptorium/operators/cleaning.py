@@ -66,7 +66,10 @@ def drop_repeats(lines: DataFrame, by: list[str], pos: str = "pos", line: str =
 def clean(lines: DataFrame, by: list[str], rules: Rules | None = None, boilerplate: DataFrame | None = None, book: str | None = None, normalise: bool = True) -> DataFrame:
     """FLT-01: rewrite, drop blank and decoration lines, boilerplate (of the book), unwanted lines, then repeats of the last kept line."""
     rules = (rules or Rules()).usable()
-    out = lines.withColumn("line", rewrite(F.col("line"), rules, normalise)).where((F.col("line") != "") & ~is_decor(F.col("line")))
+    # A filter on a made column makes it again for each of its tests; an array's element is made once.
+    out = lines.withColumn("line", nfc(F.col("line"))) if normalise else lines
+    tidy = F.explode(F.filter(F.array(rewrite(F.col("line"), rules, normalise=False)), lambda x: (x != "") & ~is_decor(x)))
+    out = out.select(*[tidy.alias(c) if c == "line" else F.col(c) for c in out.columns])
     if boilerplate is not None:
         out = out.join(boilerplate, [book, "line"] if book else ["line"], "left_anti")
     for pattern in rules.drop_line:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.operators import catalog, cleaning
+from scriptorium.session import durable
 
 # ---------------------------------------------------------------- listings
 
@@ -199,12 +200,14 @@ def repair(c: Column, rules: list[tuple[str, str]] | None = None) -> Column:
 def import_works(works: DataFrame, rules: cleaning.Rules | None = None, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
     """(books, chapters) of parsed works: repeated lines found on the raw text, lines cleaned, empty chapters dropped and the rest renumbered (SNK-08).
 
-    Nothing is written: the plan alone is a dry run; sinks.writers makes files of both.
+    No file is written: the plan alone is a dry run; sinks.writers makes files of both. Repeated lines, and the books of four
+    or more chapters that alone can have any, are intermediate tables, so that Spark knows how few they are.
     """
     from scriptorium.sources.readers import chapters_of
 
     lines = chapters_of(works).select("name", "idx", "title", F.posexplode("lines").alias("pos", "line"))
-    junk = cleaning.detect_boilerplate(lines, "name", "idx", threshold)
+    many = durable(works.where(F.size("chapters") >= 4).select("name").distinct(), "long-books")
+    junk = durable(cleaning.detect_boilerplate(lines.join(many, "name", "left_semi"), "name", "idx", threshold), "boilerplate")
     kept = cleaning.clean(lines, ["name", "idx"], rules, junk, book="name")
     chapters = kept.groupBy("name", "idx", "title").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]).alias("lines"))
     chapters = chapters.withColumn("idx", F.row_number().over(Window.partitionBy("name").orderBy("idx"))).withColumnRenamed("name", "book_id")
