@@ -52,7 +52,7 @@ def _int(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 
 
-def number_rows(rows: DataFrame, by: list[str], order: str, piece: str, name: str) -> DataFrame:
+def number_rows(rows: DataFrame, by: list[str], order: str | Column, piece: str, name: str) -> DataFrame:
     """Row numbers within `by` by `order`, which never falls from a piece to the next: pieces are numbered each for itself, and counted on. Their key stays."""
     rows = _keyed(rows, by, piece)
     counts = rows.groupBy("key_").agg(F.count(F.lit(1)).alias("n_")).select("key_", _sum(F.col("n_"), _before(by)).alias("before_"))
@@ -68,7 +68,7 @@ def split_chapters(lines: DataFrame, by: list[str], title: str | None = None, po
     """
     name = F.col(title) if title else F.lit("")
     run = Window.partitionBy("key_").orderBy("pos_")
-    flat = strip(F.regexp_replace("line", r"[ \t\r\f\x0b]+", " "))  # blanks collapsed, empty lines out
+    flat = strip(F.regexp_replace("line", r"[ \t\r\f\x0b]{2,}|[\t\r\f\x0b]", " "))  # blanks collapsed, empty lines out
     tidy = F.explode(F.filter(F.array(flat), lambda x: x != "")).alias("line")  # made once, unlike a column that is filtered by
     rows = _keyed(lines, by, piece).select("key_", *by, F.col(pos).alias("pos_"), name.alias("name_"), tidy)
     short, rule = F.length("line") <= 100, F.col("line").rlike(DASHES)
